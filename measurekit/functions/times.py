@@ -12,9 +12,8 @@ from measurekit.functions.text import strip
 
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
-_CLOCK = " [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$"
-_DASHED = "^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}" + _CLOCK
-_DOTTED = "^[0-9]{4}[.][0-9]{1,2}[.][0-9]{1,2}" + _CLOCK
+# year, month, day with one separator throughout, and a clock time; nothing may follow
+_SHAPE = "^[0-9]{4}([-.])[0-9]{1,2}\\1[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$"
 
 
 def hours(n: Column | int) -> Column:
@@ -28,14 +27,12 @@ def minutes(n: int) -> Column:
 def parse_time(c: Column) -> Column:
     """Wall time from `yyyy-MM-dd HH:mm:ss` or `yyyy.MM.dd HH:mm:ss`; anything else is NULL."""
     text = strip(c)
-    return F.when(text.rlike(_DASHED), text.try_cast("timestamp_ntz")).when(
-        text.rlike(_DOTTED), F.regexp_replace(text, "[.]", "-").try_cast("timestamp_ntz"))
+    return F.when(text.rlike(_SHAPE), F.replace(text, F.lit("."), F.lit("-")).try_cast("timestamp_ntz"))
 
 
-def time_format(c: Column) -> Column:
-    """dash | dot for a time that parses, else NULL."""
-    text = strip(c)
-    return F.when(parse_time(c).isNull(), F.lit(None)).when(text.rlike(_DOTTED), "dot").otherwise("dash")
+def time_format(c: Column, parsed: Column) -> Column:
+    """dash | dot for a time that parsed, else NULL."""
+    return F.when(parsed.isNull(), F.lit(None)).when(c.contains("."), "dot").otherwise("dash")
 
 
 def parse_utc(c: Column) -> Column:
@@ -75,16 +72,22 @@ def utc_candidate(local: Column, zone: str) -> Column:
     return F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
 
 
-def local_status(local: Column, zone: str, shift_minutes: int = 60) -> Column:
-    """OK | AMBIGUOUS | NONEXISTENT | UNPARSEABLE (NULL) of a wall time in `zone`, for zones that shift by `shift_minutes`."""
-    u = utc_candidate(local, zone)
-    again = (to_zone(u + minutes(shift_minutes), zone) == local) | (to_zone(u - minutes(shift_minutes), zone) == local)
+def status_of(local: Column, candidate: Column, zone: str, shift_minutes: int = 60) -> Column:
+    """OK | AMBIGUOUS | NONEXISTENT | UNPARSEABLE (NULL) of a wall time, from its `utc_candidate`.
+
+    For zones that shift by `shift_minutes`. Give the candidate as a column of its own, so it is worked out once.
+    """
+    again = (to_zone(candidate + minutes(shift_minutes), zone) == local) | (to_zone(candidate - minutes(shift_minutes), zone) == local)
     return (F.when(local.isNull(), "UNPARSEABLE")
-            .when(to_zone(u, zone) != local, "NONEXISTENT")
+            .when(to_zone(candidate, zone) != local, "NONEXISTENT")
             .when(again, "AMBIGUOUS")
             .otherwise("OK"))
 
 
+def local_status(local: Column, zone: str) -> Column:
+    return status_of(local, utc_candidate(local, zone), zone)
+
+
 def local_to_utc(local: Column, zone: str) -> Column:
     """UTC where the wall time names exactly one instant, else NULL."""
     return F.when(local_status(local, zone) == "OK", utc_candidate(local, zone))

@@ -117,7 +117,7 @@ class Contract:
 
 
 def contract_table(df: DataFrame, contracts: list[Contract]) -> DataFrame:
-    rows = [(k.metric_id, k.population, k.approved_value, k.tolerance, *(k.counts or (None, None))) for k in contracts]
+    rows = [(k.metric_id, k.population, None if k.approved_value is None else float(k.approved_value), float(k.tolerance), *(k.counts or (None, None))) for k in contracts]
     return df.sparkSession.createDataFrame(
         rows, "metric_id string, contract_population string, approved_value double, tolerance double, approved_num bigint, approved_den bigint")
 

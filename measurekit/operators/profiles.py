@@ -10,7 +10,6 @@ from measurekit.functions import stats as S
 from measurekit.functions import times as T
 from measurekit.operators.rules_events import EVENT_RULES
 
-KEYS = ("session_key", "session_id", "population")
 SESSION_RULES = ("I01", "I04", "T06", "B04", "B07", "T05", "T04")
 
 
@@ -21,11 +20,35 @@ def _shifted_out(offset: int, cfg: Config) -> Column:
     return F.coalesce(F.col("source_file").isin(files) & ~S.inside_half_open(F.hour(moved), *cfg.service_hours), F.lit(False))
 
 
+DISTINCT = {"ident_values": "ident_utc", "tray_count": "tray_id", "n_components": "component", "n_raw_components": "component_raw", "n_scales": "scale_id"}
+
+
+def distinct_counts(flagged: DataFrame) -> DataFrame:
+    """Per session key: distinct values of several columns, among counted rows (trays: among all rows, empty text left out).
+
+    The columns are stacked as (session, column, value) and made distinct in one narrow shuffle, which splits a session holding a
+    large share of all rows by its values. Several `count_distinct` beside the wide aggregate would instead copy every wide row
+    once per column.
+    """
+    c = F.col
+    counted = ~c("is_repeat")
+
+    def value(name: str) -> Column:
+        if name == "tray_id":
+            return F.nullif(c(name), F.lit(""))
+        return F.when(counted, c(name).cast("string"))
+
+    stacked = flagged.select("session_key", F.inline(F.array(*[
+        F.struct(F.lit(out).alias("which"), value(name).alias("value")) for out, name in DISTINCT.items()])))
+    values = stacked.where(c("value").isNotNull()).groupBy("session_key", "which", "value").agg(F.lit(1).alias("seen"))
+    return values.groupBy("session_key").agg(*[F.count_if(c("which") == out).alias(out) for out in DISTINCT])
+
+
 def session_profiles(flagged: DataFrame, cfg: Config) -> DataFrame:
-    """Aggregate the events of each session key. Catalyst prunes the aggregates a query does not use.
+    """One row per session key. Timing, identity and weight use rows that are not repeats ("counted"); `*_all` uses every row.
 
-    Timing, identity and weight use rows that are not repeats ("counted"); `*_all` uses every row. Distinct counts go through
-    Spark's two-phase distinct aggregate, so a session holding a large share of all rows never gathers its values in one place.
+    Everything that needs no distinct values comes from one aggregate, whose partial results combine before the shuffle; unused
+    aggregates are pruned by Catalyst. The distinct counts join it on the same key, without another shuffle.
     """
     counted = ~F.col("is_repeat")
     c = F.col
@@ -41,10 +64,11 @@ def session_profiles(flagged: DataFrame, cfg: Config) -> DataFrame:
         return pick(c(name), F.when(timed, F.struct(*key)))
 
     ident = kept("ident_utc")
-    override_files = [o.source_file for o in cfg.overrides]
-    in_override = counted & c("source_file").isin(override_files)
+    in_override = counted & c("source_file").isin([o.source_file for o in cfg.overrides])
     wall = T.raw_wall(c("event_local"), c("tz_offset_hours"))
     aggregates = {
+        "session_id": F.min("session_id"),
+        "population": F.min("population"),
         "source_snapshot_id": F.min("source_snapshot_id"),
         "events_staged": F.count("*"),
         "events_counted": F.count_if(counted),
@@ -59,23 +83,19 @@ def session_profiles(flagged: DataFrame, cfg: Config) -> DataFrame:
         "max_ident_utc": F.max(ident),
         "ident_single_local": S.single_value(c("ident_local"), text=False),
         "ident_single_utc": S.single_value(c("ident_utc"), text=False),
-        "ident_values": F.count_distinct(ident),
-        "tray_single": S.single_value(c("tray_id")),
         "min_tray": F.min(F.nullif(c("tray_id"), F.lit(""))),
         "max_tray": F.max(F.nullif(c("tray_id"), F.lit(""))),
-        "tray_count": F.count_distinct(F.nullif(c("tray_id"), F.lit(""))),
         "weight_counted": S.strict_sum(c("weight_g"), counted),
         "weight_all": S.strict_sum(c("weight_g")),
-        "n_components": F.count_distinct(kept("component")),
-        "n_raw_components": F.count_distinct(kept("component_raw")),
-        "n_scales": F.count_distinct(kept("scale_id")),
         "has_hot_scale": F.bool_or(F.coalesce(c("scale_kind") == "lammin", F.lit(False))),
         "override_events": F.count_if(in_override & c("event_local").isNotNull()),
         "override_first_wall": F.min(F.when(in_override, wall)),
         **{f"any_{rule}": F.bool_or(f"hit_{rule}") for rule in EVENT_RULES},
         **{f"tz_out_{h}": F.bool_or(counted & _shifted_out(h, cfg)) for h in range(5)},
     }
-    return flagged.groupBy(*KEYS).agg(*[agg.alias(name) for name, agg in aggregates.items()])
+    wide = flagged.groupBy("session_key").agg(*[agg.alias(name) for name, agg in aggregates.items()])
+    return (wide.join(distinct_counts(flagged), "session_key", "left").na.fill(0, list(DISTINCT))
+            .withColumn("tray_single", F.when(c("min_tray") == c("max_tray"), c("max_tray"))))
 
 
 def flag_sessions(profiles: DataFrame, cfg: Config) -> DataFrame:
@@ -185,16 +205,6 @@ def with_session_rules(sessions: DataFrame, repeated: DataFrame, versions: DataF
     return with_rule_ids(joined, cfg)
 
 
-def with_core_rules(sessions: DataFrame, cfg: Config) -> DataFrame:
-    """Rule ids without the B05 and I06 groupings, for results over sessions that are not quarantined.
-
-    B05 is never more than a note, and I06 concerns crossover sessions only, which I01 has quarantined.
-    """
-    if cfg.catalogue["I01"].handling != "QUARANTINE":
-        raise ValueError("the short form holds only while crossover sessions are quarantined")
-    return with_rule_ids(sessions.withColumns({"hit_B05": F.lit(False), "hit_I06": F.lit(False), "identical": F.lit(None).cast("boolean")}), cfg)
-
-
 def with_rule_ids(sessions: DataFrame, cfg: Config) -> DataFrame:
     """error / warn / info rule ids as sorted `;` lists, plus the two WARN flags the metrics use."""
     hits = {**{r: F.col(f"any_{r}") for r in EVENT_RULES}, **{r: F.col(f"hit_{r}") for r in (*SESSION_RULES, "B05", "I06")}}

@@ -237,7 +237,7 @@ def daily_by_population(sessions: DataFrame, cfg: Config) -> DataFrame:
     c = F.col
     day = c("first_local").cast("date")
     return (sessions.where(~c("in_both_populations") & c("first_local").isNotNull()).groupBy(day.alias("service_date"))
-            .pivot("population", [cfg.primary, cfg.other]).agg(F.count("*"))
+            .pivot("population", [cfg.primary, cfg.other]).agg(F.count(F.lit(1)))
             .na.fill(0, [cfg.primary, cfg.other]).withColumn("weekday", T.weekday_name(c("service_date"))))
 
 

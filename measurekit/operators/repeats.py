@@ -14,14 +14,14 @@ def repeat_groups(staged: DataFrame) -> DataFrame:
             .select("source_file", "row_sha256", "first_row_number"))
 
 
-def mark_repeats(staged: DataFrame) -> DataFrame:
-    """Adds `is_repeat` and `repeats_event_id`.
+def mark_repeats(staged: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Adds `is_repeat` and `repeats_event_id`. `groups` is `repeat_groups(staged)`, given where it is kept as a table.
 
     The rows are joined to the few repeated groups rather than ranked in a window: a group of copies that holds a large share
     of all rows would be one task of a window, while the join is broadcast when the groups are small and split on hot keys
     when they are not.
     """
-    joined = staged.join(repeat_groups(staged), ["source_file", "row_sha256"], "left")
+    joined = staged.join(repeat_groups(staged) if groups is None else groups, ["source_file", "row_sha256"], "left")
     later = F.col("first_row_number").isNotNull() & (F.col("source_row_number") > F.col("first_row_number"))
     return (joined.withColumn("is_repeat", later)
             .withColumn("repeats_event_id", F.when(later, F.concat_ws("#", "source_file", F.col("first_row_number").cast("string"))))

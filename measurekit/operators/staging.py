@@ -60,26 +60,30 @@ def stage_events(raw: DataFrame, cfg: Config) -> DataFrame:
         cell["weighing_event_time"].alias("event_time_raw"),
         cell["user_identification_time"].alias("ident_time_raw"),
     )
+    # each step is a projection of its own: a value that several later columns use is worked out once
     parts = X.scale_parts(F.col("scale_id"))
     keyed = time_treatment(with_keys(with_population(base, cfg)), cfg)
+    shift = T.hours(F.col("tz_offset_hours"))
     parsed = keyed.withColumns({
         **{f"scale_{name}": c for name, c in parts.items()},
         "component": X.norm_name(F.col("component_raw")),
         "has_edge_space": X.has_edge_space(F.col("component_raw")),
         "weight_status": X.weight_status(F.col("weight_raw")),
-        "event_time_format": T.time_format(F.col("event_time_raw")),
-        "ident_time_format": T.time_format(F.col("ident_time_raw")),
-        "event_local": T.parse_time(F.col("event_time_raw")) + T.hours(F.col("tz_offset_hours")),
-        "ident_local": T.parse_time(F.col("ident_time_raw")) + T.hours(F.col("tz_offset_hours")),
-    }).withColumn("weight_g", F.when(F.col("weight_status") == "OK", X.strip(F.col("weight_raw")).try_cast("bigint")))
-    located = parsed.withColumns({
-        "event_time_status": T.local_status(F.col("event_local"), cfg.zone),
-        "ident_time_status": T.local_status(F.col("ident_local"), cfg.zone),
+        "event_local": T.parse_time(F.col("event_time_raw")) + shift,
+        "ident_local": T.parse_time(F.col("ident_time_raw")) + shift,
     })
-    return located.withColumns({
-        "event_utc": F.when(F.col("event_time_status") == "OK", T.utc_candidate(F.col("event_local"), cfg.zone)),
-        "ident_utc": F.when(F.col("ident_time_status") == "OK", T.utc_candidate(F.col("ident_local"), cfg.zone)),
+    timed = parsed.withColumns({
+        "weight_g": F.when(F.col("weight_status") == "OK", X.strip(F.col("weight_raw")).try_cast("bigint")),
+        "event_time_format": T.time_format(F.col("event_time_raw"), F.col("event_local")),
+        "ident_time_format": T.time_format(F.col("ident_time_raw"), F.col("ident_local")),
+        "event_candidate": T.utc_candidate(F.col("event_local"), cfg.zone),
+        "ident_candidate": T.utc_candidate(F.col("ident_local"), cfg.zone),
     })
+    located = timed.withColumns({
+        f"{n}_time_status": T.status_of(F.col(f"{n}_local"), F.col(f"{n}_candidate"), cfg.zone) for n in ("event", "ident")})
+    return located.withColumns({
+        f"{n}_utc": F.when(F.col(f"{n}_time_status") == "OK", F.col(f"{n}_candidate")) for n in ("event", "ident")
+    }).drop("event_candidate", "ident_candidate")
 
 
 def stage_observations(raw: DataFrame) -> DataFrame:

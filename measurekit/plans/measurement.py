@@ -1,7 +1,14 @@
-"""The lazy plan from verbatim rows to facts. Each step is a DataFrame built once; nothing runs until a result is asked for."""
+"""The plan from verbatim rows to facts. Each step is a DataFrame built once; nothing runs until a result is asked for.
+
+Steps many results start from can be kept as written tables (`TableStore`): the flagged events, the session status, the context
+and the session fact. Later steps then read a few columns of a table instead of repeating the staging, and a lost executor costs
+a re-read, not a re-computation.
+"""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,44 +16,75 @@ from pyspark.sql import DataFrame, SparkSession
 from measurekit.config import Config
 from measurekit.operators import facts as FA
 from measurekit.operators import profiles as P
-from measurekit.operators.repeats import mark_repeats
+from measurekit.operators.repeats import mark_repeats, repeat_groups
 from measurekit.operators.rules_events import flag_events
 from measurekit.operators.staging import stage_events, stage_observations
+from measurekit.session import shared_dir
+
+
+class TableStore:
+    """Tables written once per application, in the shared folder of the cluster, under the application's own path."""
+
+    def __init__(self, spark: SparkSession, source: str, root: str):
+        key = hashlib.sha256(source.encode()).hexdigest()[:16]
+        self.spark, self.path = spark, f"{root}/measurekit/{spark.sparkContext.applicationId}/{key}"
+        self._written: set[str] = set()
+
+    def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        path = f"{self.path}/{name}"
+        if name not in self._written:
+            build().write.mode("overwrite").parquet(path)
+            self._written.add(name)
+        return self.spark.read.parquet(path)
+
+    @staticmethod
+    def for_source(spark: SparkSession, source: str) -> TableStore | None:
+        """A store in the shared folder, or None where there is none: then every step stays lazy."""
+        root = shared_dir(spark)
+        return None if root is None else TableStore(spark, source, root)
 
 
 class Measurement:
-    """Steps of one measurement.
+    """The steps of one measurement over verbatim rows and, where given, context observations."""
 
-    `core_*` steps leave out groupings that cannot change results over core-ready sessions; the full steps carry everything.
-    For repeated use on large data write the expensive steps once with `written` and hand the tables in.
-    """
+    def __init__(self, raw: DataFrame, observations: DataFrame | None, cfg: Config, store: TableStore | None = None):
+        self.raw, self.raw_observations, self.cfg, self.store = raw, observations, cfg, store
 
-    def __init__(self, raw: DataFrame, observations: DataFrame | None, cfg: Config):
-        self.raw, self.raw_observations, self.cfg = raw, observations, cfg
+    def _kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return build() if self.store is None else self.store.keep(name, build)
 
     @property
     def spark(self) -> SparkSession:
         return self.raw.sparkSession
 
     @cached_property
-    def staged(self) -> DataFrame:
-        return stage_events(self.raw, self.cfg)
+    def flagged(self) -> DataFrame:
+        """Staged events with repeat marks and event-rule flags."""
+        def build() -> DataFrame:
+            staged = stage_events(self.raw, self.cfg)
+            # kept as a table, the few repeated groups have a known size: Spark broadcasts them only if they are small
+            return flag_events(mark_repeats(staged, self._kept("repeat_groups", lambda: repeat_groups(staged))), self.cfg)
+
+        return self._kept("events", build)
 
     @cached_property
-    def observations(self) -> DataFrame:
-        return stage_observations(self.raw_observations)
+    def staged(self) -> DataFrame:
+        if self.store is None:
+            return stage_events(self.raw, self.cfg)
+        return self.flagged.drop(*[n for n in self.flagged.columns if n.startswith("hit_")], "is_repeat", "repeats_event_id")
 
     @cached_property
-    def flagged(self) -> DataFrame:
-        return flag_events(mark_repeats(self.staged), self.cfg)
+    def observations(self) -> DataFrame:
+        return self._kept("observations", lambda: stage_observations(self.raw_observations))
 
     @cached_property
     def profiles(self) -> DataFrame:
-        return P.session_profiles(self.flagged, self.cfg)
+        return P.session_profiles(self.flagged, self.cfg) if self.store is None else self.session_flags
 
     @cached_property
     def session_flags(self) -> DataFrame:
-        return P.flag_sessions(self.profiles, self.cfg)
+        """Session profiles with session rules and quarantine."""
+        return self._kept("session_flags", lambda: P.flag_sessions(P.session_profiles(self.flagged, self.cfg), self.cfg))
 
     @cached_property
     def repeated_scales(self) -> DataFrame:
@@ -58,16 +96,12 @@ class Measurement:
 
     @cached_property
     def versions(self) -> DataFrame:
-        return P.compare_versions(self.version_pairs)
+        return self._kept("versions", lambda: P.compare_versions(self.version_pairs))
 
     @cached_property
     def sessions(self) -> DataFrame:
-        """Session status with every rule."""
-        return P.with_session_rules(self.session_flags, self.repeated_scales, self.versions, self.cfg)
-
-    @cached_property
-    def core_sessions(self) -> DataFrame:
-        return P.with_core_rules(self.session_flags, self.cfg)
+        """Session status with every rule and the rule ids by severity."""
+        return self._kept("sessions", lambda: P.with_session_rules(self.session_flags, self.repeated_scales, self.versions, self.cfg))
 
     @cached_property
     def disposed(self) -> DataFrame:
@@ -79,25 +113,28 @@ class Measurement:
 
     @cached_property
     def fact_event(self) -> DataFrame:
-        return FA.fact_event(self.disposed, self.core_sessions, self.cfg)
+        return FA.fact_event(self.disposed, self.sessions, self.cfg)
 
     @cached_property
     def context(self) -> DataFrame:
-        return FA.fact_context(self.observations, self.cfg)
+        return self._kept("context", lambda: FA.fact_context(self.observations, self.cfg))
 
     @cached_property
-    def core_facts(self) -> DataFrame:
-        """Session facts for results over live sessions: no context, no name-cell comparison."""
-        return FA.fact_session(self.core_sessions, self.cfg)
+    def fact_session(self) -> DataFrame:
+        def build() -> DataFrame:
+            limited = FA.limited_sessions(self.disposed, self.agreement)
+            return FA.join_context(FA.fact_session(self.sessions, self.cfg, limited), self.context, self.cfg)
+
+        return self._kept("fact_session", build)
 
     @cached_property
-    def core_facts_with_context(self) -> DataFrame:
-        return FA.join_context(self.core_facts, self.context, self.cfg)
+    def facts(self) -> DataFrame:
+        """Session facts for results that use neither the context nor the name comparison."""
+        return FA.fact_session(self.sessions, self.cfg) if self.store is None else self.fact_session
 
     @cached_property
-    def fact_session(self) -> DataFrame:
-        limited = FA.limited_sessions(self.disposed, self.agreement)
-        return FA.join_context(FA.fact_session(self.sessions, self.cfg, limited), self.context, self.cfg)
+    def facts_with_context(self) -> DataFrame:
+        return FA.join_context(self.facts, self.context, self.cfg) if self.store is None else self.fact_session
 
     @cached_property
     def fact_component(self) -> DataFrame:
@@ -105,10 +142,4 @@ class Measurement:
 
     @cached_property
     def volume(self) -> DataFrame:
-        return FA.daily_volume(self.core_facts, self.cfg)
-
-
-def written(df: DataFrame, path: str) -> DataFrame:
-    """Write a step as a Parquet table and read it back: later steps start from files that survive the loss of an executor."""
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.parquet(path)
+        return FA.daily_volume(self.facts, self.cfg)

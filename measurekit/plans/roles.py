@@ -40,6 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Share rows out where the source gives fewer splits than there are cores (few row groups); otherwise leave the splits alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def _local(ts):
     """A 24 h day squeezed into 10:00-14:00, so that every event falls into service hours."""
     second_of_day = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.floor(F.second(ts)).cast("int")
@@ -62,7 +68,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     dish = (i % 60).cast("string")
     return (
-        table(spark, sf_dir, "events")
+        spread(table(spark, sf_dir, "events"), "event_id")
         .withColumn("true_local", _local(F.col("ts")) + F.when(i % 503 == 0, T.hours(6)).otherwise(T.hours(0)))
         .withColumn("source_file", F.concat(F.when(is_primary, "primary_").otherwise("secondary_"),
                                             T.week_start(F.col("ts").cast("date")).cast("string"), F.lit(".csv")))

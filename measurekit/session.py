@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Runtime SQL settings the operators are written for. All can be changed on a live session.
@@ -33,11 +35,17 @@ def build_session(app: str, master: str | None = None, shuffle_partitions: int |
     return tune(builder.getOrCreate())
 
 
-def durable_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """The shared folder written tables go to: `spark.checkpoint.dir` of the cluster, or `fallback` where it is unset (tests)."""
+def shared_dir(spark: SparkSession) -> str | None:
+    """The folder written tables go to: `spark.checkpoint.dir` of the cluster.
+
+    Where it is unset, a local session gets a fresh folder of its own; a cluster gets None, because no folder of one machine is
+    there for all executors.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if fallback is None:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback folder was given")
-    return fallback
+    if spark.sparkContext.master.startswith("local"):
+        made = tempfile.mkdtemp(prefix="measurekit-")
+        spark.conf.set("spark.checkpoint.dir", made)
+        return made
+    return None
