@@ -11,7 +11,7 @@ import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from measurekit.config import Config
@@ -285,8 +285,9 @@ def metric_deltas(results: DataFrame, registry: tuple[Scenario, ...]) -> DataFra
     stack = F.inline(F.array(*[F.struct(F.lit(m).alias("metric_id"), c(m.lower()).cast("double").alias("scenario_value")) for m in METRIC_ORDER]))
     reg = F.broadcast(registry_table(results, registry))        # one row per declared scenario
     long = results.join(reg, "scenario_id").select("scenario_id", "scenario_group", "defensible", "comparable", "metrics", stack)
-    base = long.where("scenario_id = 'S00'").select("metric_id", c("scenario_value").alias("baseline_value"))
-    joined = long.where(F.array_contains("metrics", c("metric_id"))).join(base, "metric_id")
+    # a metric has one row per declared scenario, so its window holds a few dozen rows
+    baseline = F.max(F.when(c("scenario_id") == "S00", c("scenario_value"))).over(Window.partitionBy("metric_id"))
+    joined = long.where(F.array_contains("metrics", c("metric_id"))).withColumn("baseline_value", baseline)
     b, v = c("baseline_value"), c("scenario_value")
     return joined.select(
         "metric_id", "scenario_id", "scenario_group", "defensible", "comparable", "baseline_value", "scenario_value",
@@ -325,9 +326,13 @@ def scenario_ranges(deltas: DataFrame) -> DataFrame:
 def material_change(results: DataFrame, registry: tuple[Scenario, ...]) -> DataFrame:
     """A change of at least 10 g in M1, 25 g in M2, or any change in M4; not judged for population contrasts."""
     c = F.col
-    base = results.where("scenario_id = 'S00'").select(F.lit(1).alias("one"), c("m1").alias("b1"), c("m2").alias("b2"), c("m4").alias("b4"))
-    reg = F.broadcast(registry_table(results, registry).select("scenario_id", "comparable"))
-    joined = results.withColumn("one", F.lit(1)).join(F.broadcast(base), "one").join(reg, "scenario_id")
+    reg = F.broadcast(registry_table(results, registry).select("scenario_id", "comparable"))        # one row per declared scenario
+    every = Window.partitionBy(F.lit(1))        # the result rows: one per scenario
+
+    def base(metric: str) -> Column:
+        return F.max(F.when(c("scenario_id") == "S00", c(metric))).over(every)
+
+    joined = results.withColumns({"b1": base("m1"), "b2": base("m2"), "b4": base("m4")}).join(reg, "scenario_id")
     hit = (F.abs(c("m1") - c("b1")) >= 10) | (F.abs(c("m2") - c("b2")) >= 25) | (F.abs(c("m4") - c("b4")) > 0)
     return joined.select("scenario_id", F.when(c("comparable"), hit).alias("material_change"))
 

@@ -50,7 +50,8 @@ class Measurement:
     def __init__(self, raw: DataFrame, observations: DataFrame | None, cfg: Config, store: TableStore | None = None):
         self.raw, self.raw_observations, self.cfg, self.store = raw, observations, cfg, store
 
-    def _kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A step as a written table where there is a store, else as it is."""
         return build() if self.store is None else self.store.keep(name, build)
 
     @property
@@ -63,9 +64,9 @@ class Measurement:
         def build() -> DataFrame:
             staged = stage_events(self.raw, self.cfg)
             # kept as a table, the few repeated groups have a known size: Spark broadcasts them only if they are small
-            return flag_events(mark_repeats(staged, self._kept("repeat_groups", lambda: repeat_groups(staged))), self.cfg)
+            return flag_events(mark_repeats(staged, self.kept("repeat_groups", lambda: repeat_groups(staged))), self.cfg)
 
-        return self._kept("events", build)
+        return self.kept("events", build)
 
     @cached_property
     def staged(self) -> DataFrame:
@@ -75,7 +76,7 @@ class Measurement:
 
     @cached_property
     def observations(self) -> DataFrame:
-        return self._kept("observations", lambda: stage_observations(self.raw_observations))
+        return self.kept("observations", lambda: stage_observations(self.raw_observations))
 
     @cached_property
     def profiles(self) -> DataFrame:
@@ -84,7 +85,7 @@ class Measurement:
     @cached_property
     def session_flags(self) -> DataFrame:
         """Session profiles with session rules and quarantine."""
-        return self._kept("session_flags", lambda: P.flag_sessions(P.session_profiles(self.flagged, self.cfg), self.cfg))
+        return self.kept("session_flags", lambda: P.flag_sessions(P.session_profiles(self.flagged, self.cfg), self.cfg))
 
     @cached_property
     def repeated_scales(self) -> DataFrame:
@@ -96,12 +97,12 @@ class Measurement:
 
     @cached_property
     def versions(self) -> DataFrame:
-        return self._kept("versions", lambda: P.compare_versions(self.version_pairs))
+        return self.kept("versions", lambda: P.compare_versions(self.version_pairs))
 
     @cached_property
     def sessions(self) -> DataFrame:
         """Session status with every rule and the rule ids by severity."""
-        return self._kept("sessions", lambda: P.with_session_rules(self.session_flags, self.repeated_scales, self.versions, self.cfg))
+        return self.kept("sessions", lambda: P.with_session_rules(self.session_flags, self.repeated_scales, self.versions, self.cfg))
 
     @cached_property
     def disposed(self) -> DataFrame:
@@ -117,7 +118,7 @@ class Measurement:
 
     @cached_property
     def context(self) -> DataFrame:
-        return self._kept("context", lambda: FA.fact_context(self.observations, self.cfg))
+        return self.kept("context", lambda: FA.fact_context(self.observations, self.cfg))
 
     @cached_property
     def fact_session(self) -> DataFrame:
@@ -125,7 +126,7 @@ class Measurement:
             limited = FA.limited_sessions(self.disposed, self.agreement)
             return FA.join_context(FA.fact_session(self.sessions, self.cfg, limited), self.context, self.cfg)
 
-        return self._kept("fact_session", build)
+        return self.kept("fact_session", build)
 
     @cached_property
     def facts(self) -> DataFrame:

@@ -96,7 +96,12 @@ def _(m):
 
 @query("src09_content_hash")
 def _(m):
-    return INV.content_hash(m.observations, ["time_raw", "parameter", "value_raw"])
+    return INV.content_fingerprint(m.observations, ["time_raw", "parameter", "value_raw"])
+
+
+@table_query("src09_document_fingerprint")
+def _(spark, sf_dir):
+    return INV.content_fingerprint(roles.table(spark, sf_dir, "documents"), ["doc_id", "lang", "source", "text"])
 
 
 @query("src13_calendar")
@@ -166,7 +171,9 @@ def _(spark, sf_dir):
     local = c("l_shipdate") + F.make_dt_interval(mins=((c("l_orderkey") * 7 + c("l_linenumber") * 13) % 360).cast("int"))
     return (li.select("l_orderkey", "l_linenumber", local.alias("wall"))
             .groupBy("wall").agg(F.count("*").alias("n"))        # equal wall times are converted once
-            .select(txt("wall"), T.local_status(c("wall"), CFG.zone).alias("status"), T.iso_text(T.local_to_utc(c("wall"), CFG.zone)).alias("utc"), "n"))
+            .withColumn("candidate", T.utc_candidate(c("wall"), CFG.zone))
+            .withColumn("status", T.status_of(c("wall"), c("candidate"), CFG.zone))
+            .select(txt("wall"), "status", F.when(c("status") == "OK", T.iso_text(c("candidate"))).alias("utc"), "n"))
 
 
 @query("prj09_row_hash")
@@ -761,11 +768,12 @@ def day_part(m):
 
 
 def core_final(m: Measurement) -> DataFrame:
-    return FI.finalise(FI.concat_findings([event_part(m), session_part(m), version_part(m), name_part(m), file_part(m)]), CFG)
+    """Findings on events, sessions, names and files: an output of validation that status, manifest and summaries start from."""
+    return m.kept("findings_core", lambda: FI.finalise(FI.concat_findings([event_part(m), session_part(m), version_part(m), name_part(m), file_part(m)]), CFG))
 
 
 def all_final(m: Measurement) -> DataFrame:
-    return core_final(m).unionByName(FI.finalise(day_part(m).unionByName(context_part(m)), CFG))
+    return core_final(m).unionByName(m.kept("findings_days_and_context", lambda: FI.finalise(day_part(m).unionByName(context_part(m)), CFG)))
 
 
 FINDING_FIELDS = ("finding_id", "rule_id", "severity", "handling", "entity_type", "entity_id", "session_key", "event_id", "population")
@@ -948,7 +956,8 @@ def working(m: Measurement) -> DataFrame:
 
 
 def bounded(m: Measurement) -> DataFrame:
-    return SC.with_bounds(working(m), m.flagged, m.volume, CFG)
+    """The working set with the scalars and day flags scenarios refer to: one row per session, read by every scenario."""
+    return m.kept("working_set", lambda: SC.with_bounds(working(m), m.flagged, m.volume, CFG))
 
 
 def scenario_results(m: Measurement, ids: tuple[str, ...] | None = None) -> DataFrame:
