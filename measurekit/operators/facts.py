@@ -87,8 +87,11 @@ def limited_sessions(disposed: DataFrame, agreement: DataFrame) -> DataFrame:
     return events.join(cells, ["scale_id", "day"], "left_semi").select("session_key").distinct()
 
 
-def fact_session(sessions: DataFrame, cfg: Config, limited: DataFrame | None = None) -> DataFrame:
-    """The canonical session row, from the profile aggregate. NULL business fields where quarantined, never zero."""
+def fact_session(sessions: DataFrame, cfg: Config, limited: DataFrame | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The canonical session row, from the profile aggregate. NULL business fields where quarantined, never zero.
+
+    `extra` names columns of `sessions` to carry along.
+    """
     q = F.col("is_quarantined")
     live = ~q
     modellable = F.when(q, 0).otherwise(F.col("events_counted"))
@@ -119,7 +122,7 @@ def fact_session(sessions: DataFrame, cfg: Config, limited: DataFrame | None = N
         F.nullif("quarantine_rule_ids", blank).alias("quarantine_rule_ids"), ready.alias("core_ready"),
         F.when(errors != "", "ERROR").when(warns != "", "WARN").when(infos != "", "INFO").otherwise("NONE").alias("max_severity"),
         F.nullif("error_rule_ids", blank).alias("error_rule_ids"), F.nullif("warn_rule_ids", blank).alias("warn_rule_ids"),
-        "has_session_warn", "has_event_warn", quality(errors, warns, q).alias("quality_status"),
+        "has_session_warn", "has_event_warn", quality(errors, warns, q).alias("quality_status"), *extra,
     )
 
 

@@ -162,27 +162,28 @@ def version_pairs(flagged: DataFrame, sessions: DataFrame, cfg: Config) -> DataF
             .select("session_id", "population", "scale_id", weight.alias("pair_weight"), "component", "event_utc", "event_local",
                     "tz_offset_hours", "source_file", "source_row_number")
             .withColumn("pair_rank", F.row_number().over(rank)))
-    keys = ["session_id", "scale_id", "pair_weight", "pair_rank"]
+    first, second = sorted((cfg.primary, cfg.other))
 
-    def side(population: str, suffix: str) -> DataFrame:
-        return rows.where(F.col("population") == population).select(
-            *keys, F.col("component").alias(f"component_{suffix}"), F.col("event_utc").alias(f"utc_{suffix}"),
-            T.raw_wall(F.col("event_local"), F.col("tz_offset_hours")).alias(f"wall_{suffix}"), F.lit(True).alias(f"in_{suffix}"))
+    def side(population: str) -> Column:
+        """The one row of a population in a pair, NULL where it has none."""
+        return F.max(F.when(F.col("population") == population, F.struct(
+            F.coalesce("component", F.lit("")).alias("name"), F.col("event_utc").alias("utc"),
+            T.raw_wall(F.col("event_local"), F.col("tz_offset_hours")).alias("wall"))))
 
-    first, second = sorted((cfg.primary, cfg.other))
-    return side(first, "a").join(side(second, "b"), keys, "full_outer")
+    # both versions of a pair meet in one group of at most two rows
+    return rows.groupBy("session_id", "scale_id", "pair_weight", "pair_rank").agg(side(first).alias("a"), side(second).alias("b"))
 
 
 def compare_versions(pairs: DataFrame) -> DataFrame:
     """Per crossover id: event counts, same (scale, weight) multiset, time differences, name conflicts, identical or not."""
     c = F.col
-    matched = c("in_a").isNotNull() & c("in_b").isNotNull()
-    delta, wall_delta = T.seconds_between(c("utc_a"), c("utc_b")), T.seconds_between(c("wall_a"), c("wall_b"))
+    matched = c("a").isNotNull() & c("b").isNotNull()
+    delta, wall_delta = T.seconds_between(c("a.utc"), c("b.utc")), T.seconds_between(c("a.wall"), c("b.wall"))
     grouped = pairs.groupBy("session_id").agg(
-        F.count("in_a").alias("events_a"), F.count("in_b").alias("events_b"),
+        F.count("a").alias("events_a"), F.count("b").alias("events_b"),
         (F.count_if(~matched) == 0).alias("same_multiset"),
         F.min(delta).alias("lo"), F.max(delta).alias("hi"), F.min(wall_delta).alias("wall_lo"), F.max(wall_delta).alias("wall_hi"),
-        F.count_if(matched & ~c("component_a").eqNullSafe(c("component_b"))).alias("conflicts"))
+        F.count_if(matched & (c("a.name") != c("b.name"))).alias("conflicts"))
 
     def same(x: Column) -> Column:
         return F.when(c("same_multiset"), x)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from measurekit.config import Config
 from measurekit.functions import stats as S
+from measurekit.operators.facts import fact_session
 
 KPIS = ("M1", "M2", "M3", "M4")
 WITH_READINESS = (*KPIS, "M5", "S2")
@@ -96,19 +97,16 @@ def largest_event(events: DataFrame) -> DataFrame:
             .select("e.event_id", "e.session_key", F.col("e.weight_g").alias("weight_g")))
 
 
-def working_set(sessions: DataFrame, facts: DataFrame, versions: DataFrame, cfg: Config) -> DataFrame:
-    """Per session, everything a scenario may need. `sessions` and `facts` have the same keys and grain."""
+def working_set(sessions: DataFrame, cfg: Config) -> DataFrame:
+    """Per session, everything a scenario may need, from the session status alone."""
     c = F.col
-    extra = sessions.select("session_key", "weight_all", "weight_counted", "n_components", "n_raw_components", "n_scales",
-                            *[f"tz_out_{h}" for h in range(5)], "override_events", "override_first_wall")
-    joined = facts.join(extra, "session_key").join(versions.select("session_id", "identical"), "session_id", "left")
-    q = c("is_quarantined")
-    return joined.select(
+    extra = ("weight_all", "weight_counted", "n_components", "n_raw_components", "n_scales", "identical", "override_events", "override_first_wall",
+             *[f"tz_out_{h}" for h in range(5)])
+    return fact_session(sessions, cfg, extra=extra).select(
         "session_key", "session_id", "population", "service_date", "is_quarantined", "core_ready", "span_s", "has_session_warn",
-        "has_event_warn", "identical", "identity_conflict", c("selected_weight_g").alias("weight"),
-        F.when(q, c("weight_all")).otherwise(c("weight_counted")).alias("w_nonrepeat"), c("weight_all").alias("w_incl_repeats"),
-        "n_components", "n_raw_components", "n_scales", c("modellable_event_count"),
-        *[f"tz_out_{h}" for h in range(5)], "override_events", "override_first_wall")
+        "has_event_warn", "identity_conflict", c("selected_weight_g").alias("weight"),
+        F.when(c("is_quarantined"), c("weight_all")).otherwise(c("weight_counted")).alias("w_nonrepeat"), c("weight_all").alias("w_incl_repeats"),
+        "modellable_event_count", *[n for n in extra if not n.startswith("weight_")])
 
 
 def with_bounds(ws: DataFrame, events: DataFrame, days: DataFrame, cfg: Config, lo: float = 0.005, hi: float = 0.995) -> DataFrame:
@@ -219,7 +217,7 @@ def members(ws: DataFrame, registry: tuple[Scenario, ...], cfg: Config) -> DataF
         keep, weight, comps = OPERATIONS[s.operation["kind"]](base, s.operation, cfg)
         structs.append(F.when(keep, F.struct(
             F.lit(s.scenario_id).alias("scenario_id"), weight.alias("weight"), comps.alias("components"),
-            (~c("has_session_warn")).alias("warn_free"), F.lit("M5" in s.metrics).alias("has_m5"))))
+            (~c("has_session_warn")).alias("warn_free"))))
     return ws.select("session_key", F.inline(F.array_compact(F.array(*structs))))
 
 
@@ -230,14 +228,16 @@ def run_scenarios(ws: DataFrame, registry: tuple[Scenario, ...], cfg: Config) ->
     percentiles then work on distinct whole grams instead of on sessions.
     """
     c = F.col
-    counted = (members(ws, registry, cfg).groupBy("scenario_id", "has_m5", "weight", "components")
+    counted = (members(ws, registry, cfg).groupBy("scenario_id", "weight", "components")
                .agg(F.count("*").alias("n"), F.count_if("warn_free").alias("warn_free")))
     eligible = ws.agg(F.count_if(c("population") == cfg.primary).alias("eligible")).withColumn("one", F.lit(1))
-    out = counted.groupBy("scenario_id", "has_m5").agg(
+    out = counted.groupBy("scenario_id").agg(
         F.sum("n").alias("m3"),
         S.exact_percentile(c("weight"), 0.5, c("n")).alias("m1"), S.exact_percentile(c("weight"), 0.9, c("n")).alias("m2"),
         S.exact_percentile(c("components"), 0.5, c("n")).alias("m4"), F.sum("warn_free").alias("warn_free"))
-    joined = out.withColumn("one", F.lit(1)).join(F.broadcast(eligible), "one")      # one row
+    # every declared scenario has a row: one that nobody stays in has no value and counts zero
+    declared = registry_table(ws, registry).select("scenario_id", F.array_contains("metrics", F.lit("M5")).alias("has_m5"), F.lit(1).alias("one"))
+    joined = declared.join(out, "scenario_id", "left").na.fill(0, ["m3", "warn_free"]).join(F.broadcast(eligible), "one")      # one row
     return joined.select(
         "scenario_id", "m1", "m2", "m3", "m4",
         F.when(c("has_m5"), c("m3")).alias("m5_numerator"), F.when(c("has_m5"), c("eligible")).alias("m5_denominator"),

@@ -952,7 +952,7 @@ def _(m):
 
 
 def working(m: Measurement) -> DataFrame:
-    return SC.working_set(m.sessions, m.facts, m.versions, CFG)
+    return SC.working_set(m.sessions, CFG)
 
 
 def bounded(m: Measurement) -> DataFrame:

@@ -85,7 +85,7 @@ def test_percentile(spark, data, q, expected):
     assert got == expected or got == pytest.approx(expected)
 
 
-def test_percentile_outside_range_is_refused():
+def test_percentile_outside_range_is_refused(spark):
     with pytest.raises(ValueError):
         S.exact_percentile(None, 1.1)
 

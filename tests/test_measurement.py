@@ -262,7 +262,7 @@ def test_lane_status(spark):
     assert FI.lane_status(final, checks.withColumn("status", F.lit("FAIL"))).first()["core_status"] == "BLOCKED"
 
 
-def test_scenario_registry_is_refused_when_wrong():
+def test_scenario_registry_is_refused_when_wrong(spark):
     s00 = SC.Scenario("S00", "baseline", {"kind": "baseline"})
     for bad in ((s00, s00), (SC.Scenario("S1", "x", {"kind": "baseline"}),), (s00, SC.Scenario("S1", "x", {"kind": "nope"})), (s00, SC.Scenario("G", "g", {"kind": "pooled"}))):
         with pytest.raises(ValueError):
@@ -299,3 +299,44 @@ def test_results_do_not_depend_on_partitioning(spark, partitions):
         assert sorted(map(str, m.facts.collect())) == expected
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_round_trip_rule_and_lineage(spark):
+    m = measure(spark, [row(1), row(2), row(3, session_id="one")])
+    moved = m.staged.withColumn("event_utc", F.when(F.col("source_row_number") == 1, F.col("event_utc") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("event_utc")))
+    flagged = RE.flag_events(R.mark_repeats(moved), CFG)
+    assert hits(RE.event_findings(flagged, CFG), "X04") == ["registered_a.csv#1|weighing_event_time"]
+    final = FI.finalise(events(m).unionByName(RS.session_findings(m.sessions, CFG)), CFG)
+    rows = FI.lineage(final, m.staged).join(final.select("finding_id", "rule_id", "entity_id"), "finding_id")
+    assert sorted((r["rule_id"], r["entity_id"], r["event_id"]) for r in rows.collect()) == [
+        ("B04", "one|primary", "registered_a.csv#3"), ("B05", "s1|primary", "registered_a.csv#1"), ("B05", "s1|primary", "registered_a.csv#2")]
+
+
+def scenario_rows(spark):
+    rows = []
+    for i, grams in enumerate((100, 200, 300, 400, 2500), 1):
+        rows += [row(2 * i, session_id=f"s{i}", weight_of_a_component=str(grams // 2), tray_id=f"t{i}", weighing_event_time=f"2020-10-06 11:0{i}:00", component_name="a"),
+                 row(2 * i + 1, session_id=f"s{i}", weight_of_a_component=str(grams - grams // 2), tray_id=f"t{i}", weighing_event_time=f"2020-10-06 11:0{i}:30", component_name="A ")]
+    rows += [row(50, session_id="x", weight_of_a_component="600"),
+             row(51, session_id="x", weight_of_a_component="600", weighing_event_time="2020-10-06 11:00:50", **CROSS), row(60, session_id="o", weight_of_a_component="50", **CROSS)]
+    return rows
+
+
+def test_scenarios_by_hand(spark):
+    import datetime as dt
+
+    m = measure(spark, scenario_rows(spark))
+    registry = SC.default_registry(CFG, (dt.date(2020, 11, 16), dt.date(2020, 11, 20)), dt.date(2020, 10, 19))
+    ws = SC.with_bounds(SC.working_set(m.sessions, CFG), m.flagged, m.volume, CFG)
+    results = SC.run_scenarios(ws, registry, CFG)
+    got = {r["scenario_id"]: r for r in results.collect()}
+    assert (got["S00"]["m1"], got["S00"]["m3"], got["S00"]["m5_numerator"], got["S00"]["m5_denominator"]) == (300.0, 5, 5, 6)
+    assert (got["S01"]["m1"], got["S01"]["m3"], got["S01"]["m5"]) == (350.0, 6, 100.0)      # the crossover session comes in with its own weight
+    assert got["S02"]["m3"] == 6 and got["S03"]["m3"] == 5                                   # its two versions are identical
+    assert got["S04"]["m3"] == 4 and got["S04"]["m1"] == 250.0
+    assert got["S05"]["m3"] == 5 and got["S07"]["m3"] == 4
+    assert got["S30"]["m4"] == 2.0 and got["S00"]["m4"] == 1.0 and got["S32"]["m4"] == 2.0
+    assert (got["S40"]["m3"], got["S40"]["m1"], got["G01"]["m3"]) == (1, 50.0, 6)
+    assert (got["S23"]["m3"], got["S23"]["m1"]) == (0, None)                                   # every session lies before its date: no value, not zero
+    deltas = {(r["metric_id"], r["scenario_id"]): r["robustness_class"] for r in SC.metric_deltas(results, registry).collect()}
+    assert deltas[("M1", "S01")] == "CONDITIONAL" and deltas[("M1", "G01")] == "NOT_CLASSIFIED" and deltas[("M1", "TZ3")] == "STABLE" and deltas[("M1", "S23")] == "BLOCKED"
