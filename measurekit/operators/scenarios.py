@@ -235,9 +235,10 @@ def run_scenarios(ws: DataFrame, registry: tuple[Scenario, ...], cfg: Config) ->
         F.sum("n").alias("m3"),
         S.exact_percentile(c("weight"), 0.5, c("n")).alias("m1"), S.exact_percentile(c("weight"), 0.9, c("n")).alias("m2"),
         S.exact_percentile(c("components"), 0.5, c("n")).alias("m4"), F.sum("warn_free").alias("warn_free"))
-    # every declared scenario has a row: one that nobody stays in has no value and counts zero
+    # a scenario that nobody stays in has no statistics and so no row; check SC01 then fails
     declared = registry_table(ws, registry).select("scenario_id", F.array_contains("metrics", F.lit("M5")).alias("has_m5"), F.lit(1).alias("one"))
-    joined = declared.join(out, "scenario_id", "left").na.fill(0, ["m3", "warn_free"]).join(F.broadcast(eligible), "one")      # one row
+    # the registry has a row per declared scenario, `eligible` has one row
+    joined = out.join(F.broadcast(declared), "scenario_id").join(F.broadcast(eligible), "one")
     return joined.select(
         "scenario_id", "m1", "m2", "m3", "m4",
         F.when(c("has_m5"), c("m3")).alias("m5_numerator"), F.when(c("has_m5"), c("eligible")).alias("m5_denominator"),
