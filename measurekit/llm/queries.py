@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from measurekit.llm import bpe, mixing
+from measurekit.llm import bpe, langid, mixing
 from measurekit.llm.shared import tune
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mixing": mixing.op3_source_mixing,
+    "op4_language_id": langid.op4_language_id,
     "op9_bpe_codec": bpe.op9_bpe_codec,
 }
 
