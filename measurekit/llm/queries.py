@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from measurekit.llm import bpe, html_text, langid, mixing, urls
+from measurekit.llm import bpe, html_text, langid, mixing, suffix_dedup, urls
 from measurekit.llm.shared import tune
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
     "op2_url_filter": urls.op2_url_filter,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_language_id": langid.op4_language_id,
