@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from measurekit.llm import bpe, html_text, langid, mixing, suffix_dedup, urls
+from measurekit.llm import bpe, html_text, langid, licenses, mixing, near_dup, suffix_dedup, urls
 from measurekit.llm.shared import tune
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -15,6 +15,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_language_id": langid.op4_language_id,
     "op6_html_extraction": html_text.op6_html_extraction,
+    "op7_minhash_neardup": near_dup.op7_minhash_neardup,
+    "op8_license_scan": licenses.op8_license_scan,
     "op9_bpe_codec": bpe.op9_bpe_codec,
 }
 
