@@ -29,7 +29,8 @@ from measurekit.llm.shared import Scratch, by_bytes, fresh, mix64, text_bytes
 LENGTH = 200
 GRAM = 48
 WINDOWS = LENGTH - GRAM + 1          # positions a window chooses from; offsets are packed into a byte
-GROUP = 64
+PAIRS = 64
+GROUP = 1 << 15
 SEGMENT = 1 << 22                    # bytes of one document named at a time
 _U = np.uint64
 _POSITION = _U((1 << 24) - 1)
@@ -151,6 +152,32 @@ def compare_group(at: np.ndarray, around: list[bytes], n: np.ndarray) -> list[tu
     return found
 
 
+def window_names(around: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The names of all windows of LENGTH bytes of each text: which text, which window of it, name."""
+    ends = np.cumsum([0, *map(len, around)])
+    names = doubled(np.frombuffer(b"".join(around), np.uint8), 128)[128]
+    count = np.diff(ends) - LENGTH + 1
+    row = np.repeat(np.arange(len(count)), count)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    start = ends[row] + k
+    return row, k, long_names(names, 128, start, start + LENGTH)
+
+
+def count_group(at: np.ndarray, around: list[bytes], n: np.ndarray) -> list[tuple[int, int, int]]:
+    """As compare_group, by counting names."""
+    row, k, name = window_names(around)
+    back = ((at >> 8) & 255)[row] - k
+    _, kind = np.unique(np.stack([name, back.astype(np.uint64)]), axis=1, return_inverse=True)
+    hit = np.flatnonzero((np.bincount(kind.ravel(), n[row])[kind.ravel()] > 1) & (n[row] == 1))
+    if not len(hit):
+        return []
+    first = np.r_[True, (np.diff(hit) > 1) | (np.diff(row[hit]) > 0)]
+    start = np.flatnonzero(first)
+    end = np.append(start[1:], len(hit)) - 1
+    base = (at >> 16)[row[hit]] + k[hit]
+    return list(zip(row[hit][start].tolist(), base[start].tolist(), base[end].tolist()))
+
+
 def _compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by name to (doc, at) of repeated windows."""
     rest: pa.Table | None = None
@@ -161,7 +188,7 @@ def _compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         cuts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else np.zeros(0, int)
         docs, spans = [], []
         for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(names)]):
-            for i, lo, hi in compare_group(at[s:e], around[s:e], n[s:e]):
+            for i, lo, hi in (compare_group if e - s <= PAIRS else count_group)(at[s:e], around[s:e], n[s:e]):
                 docs.append(doc[s + i])
                 spans.append(lo << 16 | (hi - lo))
         return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(spans, pa.int64())], ["doc", "at"])
@@ -183,16 +210,10 @@ def _compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _name_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every window of a position by itself: (name, back, window, n, doc, at)."""
     for batch in by_bytes(batches, "around", 1 << 17):
-        data, ends = text_bytes(batch.column("around"))
-        if not len(data):
+        if not batch.num_rows:
             continue
-        names = doubled(data, 128)[128]
-        count = np.diff(ends) - LENGTH + 1
-        row = np.repeat(np.arange(len(count)), count)
-        k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        start = ends[row] + k
+        row, k, window = window_names(batch.column("around").to_pylist())
         name, n, doc, at = (batch.column(c).to_numpy()[row] for c in ("name", "n", "doc", "at"))
-        window = long_names(names, 128, start, start + LENGTH)
         yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(((at >> 8) & 255) - k), pa.array(window.view(np.int64)), pa.array(n), pa.array(doc), pa.array(((at >> 16) + k) << 16)],
                                          ["name", "back", "window", "n", "doc", "at"])
 
