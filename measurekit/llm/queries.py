@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from measurekit.llm import bpe, html_text, langid, licenses, mixing, near_dup, suffix_dedup, urls
+from measurekit.llm import ann, bpe, embedding_dedup, html_text, langid, licenses, mixing, near_dup, suffix_dedup, urls
 from measurekit.llm.shared import tune
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,10 +14,12 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": urls.op2_url_filter,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_language_id": langid.op4_language_id,
+    "op5_embedding_neardup": embedding_dedup.op5_embedding_neardup,
     "op6_html_extraction": html_text.op6_html_extraction,
     "op7_minhash_neardup": near_dup.op7_minhash_neardup,
     "op8_license_scan": licenses.op8_license_scan,
     "op9_bpe_codec": bpe.op9_bpe_codec,
+    "op10_ann_search": ann.op10_ann_search,
 }
 
 SQL: dict[str, str] = {
