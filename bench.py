@@ -6,6 +6,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 from measurekit.plans import queries as q
@@ -21,7 +22,8 @@ HEADLINE = ("metric_all", "sen1_scenario_metrics", "sen2_deltas", "sen7_timezone
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = build_session("bench", f"local[{cpus}]", cpus, **{"spark.ui.enabled": "false", "spark.driver.memory": "16g"})
+    spark = build_session("bench", f"local[{cpus}]", cpus, **{"spark.ui.enabled": "false", "spark.driver.memory": "16g",
+                                                              "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-")})
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}
     m = q.measurement(spark, sf_dir)

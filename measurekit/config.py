@@ -20,47 +20,46 @@ class RuleSpec:
     category: str
     severity: str
     handling: str
-    consequence: str
 
 
 # Rule ids, categories, severities and handlings, in catalogue order.
 _RULES = (
-    ("S03", "structure", INFO, FLAG, "the optional column is missing from the file"),
-    ("S04", "structure", WARN, FLAG, "data under a column without a name could be overlooked"),
-    ("S05", "structure", ERROR, QUARANTINE, "the event lacks a session, tray, scale or component"),
-    ("S06", "structure", ERROR, QUARANTINE, "the session weight cannot be summed"),
-    ("S07", "structure", ERROR, QUARANTINE, "the event has no place in time"),
-    ("S08", "structure", WARN, FLAG, "the row has other columns than the header declares"),
-    ("B01", "business", ERROR, QUARANTINE, "a selected component cannot weigh nothing or less"),
-    ("B02", "business", WARN, FLAG, "a tray or a bulk portion; stays in the sums"),
-    ("B03", "business", INFO, FLAG, "scale noise or a garnish; stays in the sums"),
-    ("B04", "business", WARN, FLAG, "one item only, or a partly captured session; stays in"),
-    ("B05", "business", INFO, FLAG, "further scoops add up"),
-    ("B07", "business", WARN, FLAG, "very light or heavy sessions move the upper percentile; stay in"),
-    ("T01", "time", ERROR, QUARANTINE, "the event lies outside the study"),
-    ("T02", "time", WARN, FLAG, "no service is expected on that day"),
-    ("T03", "time", ERROR, QUARANTINE, "the clock cannot be right"),
-    ("T04", "time", WARN, FLAG, "the assumed order of steps does not hold; stays in"),
-    ("T05", "time", WARN, FLAG, "two passes may be merged into one session; stays in"),
-    ("T06", "time", WARN, FLAG, "where the session ends is uncertain"),
-    ("T07", "time", WARN, FLAG, "a shifted clock spoils time-of-day results and the context join"),
-    ("T08", "time", INFO, FLAG, "formats must be parsed per column"),
-    ("T10", "time", ERROR, BLOCK, "a correction used beyond its evidence corrupts times"),
-    ("I01", "identity", ERROR, QUARANTINE, "two versions of a session exist and neither is preferred"),
-    ("I02", "identity", WARN, KEEP_FIRST, "the row would count twice; only its first copy is summed"),
-    ("I04", "identity", ERROR, QUARANTINE, "the session belongs to several trays"),
-    ("I06", "identity", WARN, FLAG, "the two versions of a session disagree"),
-    ("I07", "identity", INFO, FLAG, "component names cannot be compared for that scale and day"),
-    ("X01", "context", WARN, FLAG, "some hours have no context"),
-    ("X03", "context", INFO, FLAG, "the value stays NULL and that hour is left out of comparisons"),
-    ("X04", "context", ERROR, BLOCK, "the wrong hour would be joined"),
-    ("X07", "context", ERROR, BLOCK, "the context grain does not hold; context results stop"),
-    ("X08", "context", WARN, FLAG, "an hour lacks a requested parameter"),
-    ("C01", "coverage", WARN, FLAG, "days cannot be compared like for like"),
-    ("C02a", "coverage", INFO, FLAG, "volume differs between days"),
-    ("C02b", "coverage", WARN, FLAG, "the day does not follow its weekday; never excluded"),
-    ("C03", "coverage", WARN, FLAG, "a week of that population is missing"),
-    ("C04", "coverage", ERROR, BLOCK, "events were lost or counted twice"),
+    ("S03", "structure", INFO, FLAG),
+    ("S04", "structure", WARN, FLAG),
+    ("S05", "structure", ERROR, QUARANTINE),
+    ("S06", "structure", ERROR, QUARANTINE),
+    ("S07", "structure", ERROR, QUARANTINE),
+    ("S08", "structure", WARN, FLAG),
+    ("B01", "business", ERROR, QUARANTINE),
+    ("B02", "business", WARN, FLAG),
+    ("B03", "business", INFO, FLAG),
+    ("B04", "business", WARN, FLAG),
+    ("B05", "business", INFO, FLAG),
+    ("B07", "business", WARN, FLAG),
+    ("T01", "time", ERROR, QUARANTINE),
+    ("T02", "time", WARN, FLAG),
+    ("T03", "time", ERROR, QUARANTINE),
+    ("T04", "time", WARN, FLAG),
+    ("T05", "time", WARN, FLAG),
+    ("T06", "time", WARN, FLAG),
+    ("T07", "time", WARN, FLAG),
+    ("T08", "time", INFO, FLAG),
+    ("T10", "time", ERROR, BLOCK),
+    ("I01", "identity", ERROR, QUARANTINE),
+    ("I02", "identity", WARN, KEEP_FIRST),
+    ("I04", "identity", ERROR, QUARANTINE),
+    ("I06", "identity", WARN, FLAG),
+    ("I07", "identity", INFO, FLAG),
+    ("X01", "context", WARN, FLAG),
+    ("X03", "context", INFO, FLAG),
+    ("X04", "context", ERROR, BLOCK),
+    ("X07", "context", ERROR, BLOCK),
+    ("X08", "context", WARN, FLAG),
+    ("C01", "coverage", WARN, FLAG),
+    ("C02a", "coverage", INFO, FLAG),
+    ("C02b", "coverage", WARN, FLAG),
+    ("C03", "coverage", WARN, FLAG),
+    ("C04", "coverage", ERROR, BLOCK),
 )
 
 CONTEXT_RULES = ("X01", "X03", "X07", "X08")

@@ -82,12 +82,13 @@ def row_hash(cells: list[Column]) -> Column:
 
 
 def finding_id(rule: Column, entity_type: Column, entity: Column) -> Column:
-    """Same finding on the same entity, same id."""
-    return F.concat(F.lit("vi-"), F.left(F.sha2(F.concat_ws("|", rule, entity_type, entity), 256), F.lit(12)))
+    """Same finding on the same entity, same id: the whole hash, so that different findings do not meet however many there are."""
+    return F.concat(F.lit("vi-"), F.sha2(F.concat_ws("|", rule, entity_type, entity), 256))
 
 
 def population_of(file_name: Column, rules: tuple[tuple[str, str], ...]) -> Column:
-    """Population by file-name prefix. A file that matches no rule, or several, stops the job."""
+    """Population by prefix of the file's own name. A file that matches no rule, or several, stops the job."""
+    file_name = F.element_at(F.split(file_name, "/"), -1)
     matches = sum((F.startswith(file_name, F.lit(prefix)).cast("int") for prefix, _ in rules), F.lit(0))
     ladder = F.when(matches != 1, F.raise_error(F.concat(F.lit("file matches no single population rule: "), file_name)))
     for prefix, population in rules:

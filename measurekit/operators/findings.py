@@ -10,8 +10,8 @@ from measurekit.functions import text as X
 
 
 def catalogue_table(spark: SparkSession, cfg: Config) -> DataFrame:
-    rows = [(i, r.rule_id, r.category, r.severity, r.handling, r.consequence) for i, r in enumerate(cfg.catalogue.values())]
-    return spark.createDataFrame(rows, "rule_order int, rule_id string, category string, severity string, handling string, consequence string")
+    rows = [(i, r.rule_id, r.category, r.severity, r.handling) for i, r in enumerate(cfg.catalogue.values())]
+    return spark.createDataFrame(rows, "rule_order int, rule_id string, category string, severity string, handling string")
 
 
 def concat_findings(parts: list[DataFrame]) -> DataFrame:
@@ -22,7 +22,7 @@ def concat_findings(parts: list[DataFrame]) -> DataFrame:
 
 
 def finalise(findings: DataFrame, cfg: Config) -> DataFrame:
-    """Add id, category, severity, handling and consequence. The catalogue holds a few dozen rows, so it is broadcast; a finding
+    """Add id, category, severity and handling. The catalogue holds a few dozen rows, so it is broadcast; a finding
     of a rule it does not know stops the job."""
     cat = F.broadcast(catalogue_table(findings.sparkSession, cfg))
     joined = findings.join(cat, "rule_id", "left")
@@ -31,7 +31,7 @@ def finalise(findings: DataFrame, cfg: Config) -> DataFrame:
         X.finding_id(F.col("rule_id"), F.col("entity_type"), F.col("entity_id")).alias("finding_id"), "rule_id", "rule_order",
         known.otherwise(F.col("category")).alias("category"), F.coalesce("severity_override", "severity").alias("severity"), "handling",
         (F.col("handling") == "QUARANTINE").alias("quarantine"), "entity_type", "entity_id", "session_key", "event_id", "population",
-        "source_file", "lineage_basis", "observed_value", "expected_condition", "description", "consequence")
+        "source_file", "lineage_basis", "observed_value", "expected_condition", "description")
 
 
 def in_catalogue_order(findings: DataFrame) -> DataFrame:

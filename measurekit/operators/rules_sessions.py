@@ -23,7 +23,7 @@ def session_findings(sessions: DataFrame, cfg: Config) -> DataFrame:
     return inline_findings(sessions, [
         one("I01", c("session_id"), "a session id belongs to one population", "the session id exists in both populations"),
         one("I04", c("tray_count"), "exactly one tray", "the session key has more than one tray"),
-        one("T06", c("ident_values"), "exactly one identification instant", "more than one identification time"),
+        one("T06", c("ident_values"), "ident_values = 1", "the rows of the session carry different identification times"),
         one("B04", F.concat_ws(" event; ", c("events_counted").cast("string"), F.coalesce(grams, F.lit("no weight"))),
             "more than one event", "a single weighing event"),
         one("B07", grams, f"{low:g} <= weight <= {high:g} g", "session weight outside the range"),
@@ -41,7 +41,7 @@ def version_findings(versions: DataFrame) -> DataFrame:
     observed = F.format_string("events %d vs %d; same scales and weights %s; name conflicts %d",
                                c("events_a"), c("events_b"), c("same_multiset").cast("string"), c("name_conflicts"))
     return inline_findings(versions, [finding(
-        "I06", F.lit(True), "session_id", c("session_id"), observed, "identical versions", "comparison of the two versions",
+        "I06", F.lit(True), "session_id", c("session_id"), observed, "both populations hold the same events", "the session's events in one population held against the other",
         "EVENT_ROW_SET", population=F.lit("both"), severity=F.when(c("identical"), "INFO"))])
 
 

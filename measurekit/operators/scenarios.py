@@ -87,7 +87,7 @@ def check_registry(registry: tuple[Scenario, ...]) -> None:
         if s.operation["kind"] not in OPERATIONS:
             raise ValueError(f"unknown operation kind {s.operation['kind']!r}")
         if s.operation["kind"] == "pooled" and (s.comparable or s.defensible):
-            raise ValueError("a pooled comparison can be neither classified nor defended")
+            raise ValueError(f"{s.scenario_id}: pooled figures mix populations, so they get no class and no range")
 
 
 def largest_event(events: DataFrame) -> DataFrame:

@@ -1,13 +1,15 @@
-"""The plan from verbatim rows to facts. Each step is a DataFrame built once; nothing runs until a result is asked for.
+"""The plan from verbatim rows to facts. Each step is a DataFrame built once.
 
-Steps many results start from can be kept as written tables (`TableStore`): the flagged events, the session status, the context
-and the session fact. Later steps then read a few columns of a table instead of repeating the staging, and a lost executor costs
-a re-read, not a re-computation.
+Without a store nothing runs until a result is asked for. With a `TableStore` the steps many results start from are written as
+tables when they are first used: the flagged events, the session status, the context and the session fact. Building a later step
+then runs these jobs (`prepare` runs them all at once), later steps read a few columns of a table instead of repeating the
+staging, and a lost executor costs a re-read, not a re-computation. The rows are the same either way.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -23,25 +25,26 @@ from measurekit.session import shared_dir
 
 
 class TableStore:
-    """Tables written once per application, in the shared folder of the cluster, under the application's own path."""
+    """Tables written once per store, in the shared folder of the cluster. Each store has a path of its own, made of the
+    application, the source, the configuration and a run id, so stores of one source live side by side and nothing is overwritten."""
 
-    def __init__(self, spark: SparkSession, source: str, root: str):
-        key = hashlib.sha256(source.encode()).hexdigest()[:16]
-        self.spark, self.path = spark, f"{root}/measurekit/{spark.sparkContext.applicationId}/{key}"
+    def __init__(self, spark: SparkSession, source: str, root: str, cfg: Config | None = None):
+        key = hashlib.sha256(f"{source}\n{cfg!r}".encode()).hexdigest()[:16]
+        self.spark, self.path = spark, f"{root}/measurekit/{spark.sparkContext.applicationId}/{key}-{uuid.uuid4().hex}"
         self._written: set[str] = set()
 
     def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         path = f"{self.path}/{name}"
         if name not in self._written:
-            build().write.mode("overwrite").parquet(path)
+            build().write.parquet(path)
             self._written.add(name)
         return self.spark.read.parquet(path)
 
     @staticmethod
-    def for_source(spark: SparkSession, source: str) -> TableStore | None:
-        """A store in the shared folder, or None where there is none: then every step stays lazy."""
+    def for_source(spark: SparkSession, source: str, cfg: Config | None = None) -> TableStore | None:
+        """A store in the shared folder, or None where there is none: then every step stays lazy. Results are the same."""
         root = shared_dir(spark)
-        return None if root is None else TableStore(spark, source, root)
+        return None if root is None else TableStore(spark, source, root, cfg)
 
 
 class Measurement:
@@ -54,6 +57,12 @@ class Measurement:
         """A step as a written table where there is a store, else as it is."""
         return build() if self.store is None else self.store.keep(name, build)
 
+    def prepare(self) -> Measurement:
+        """Write the shared tables now, so that building any later step runs no job."""
+        for step in ("flagged", "session_flags", "versions", "sessions", "fact_session"):
+            getattr(self, step)
+        return self
+
     @property
     def spark(self) -> SparkSession:
         return self.raw.sparkSession
@@ -80,7 +89,7 @@ class Measurement:
 
     @cached_property
     def profiles(self) -> DataFrame:
-        return P.session_profiles(self.flagged, self.cfg) if self.store is None else self.session_flags
+        return self.session_flags
 
     @cached_property
     def session_flags(self) -> DataFrame:
@@ -122,20 +131,22 @@ class Measurement:
 
     @cached_property
     def fact_session(self) -> DataFrame:
+        """Session facts with the name comparison and, where observations are given, the context."""
         def build() -> DataFrame:
-            limited = FA.limited_sessions(self.disposed, self.agreement)
-            return FA.join_context(FA.fact_session(self.sessions, self.cfg, limited), self.context, self.cfg)
+            facts = FA.fact_session(self.sessions, self.cfg, FA.limited_sessions(self.disposed, self.agreement))
+            return facts if self.raw_observations is None else FA.join_context(facts, self.context, self.cfg)
 
         return self.kept("fact_session", build)
 
-    @cached_property
+    @property
     def facts(self) -> DataFrame:
-        """Session facts for results that use neither the context nor the name comparison."""
-        return FA.fact_session(self.sessions, self.cfg) if self.store is None else self.fact_session
+        return self.fact_session
 
-    @cached_property
+    @property
     def facts_with_context(self) -> DataFrame:
-        return FA.join_context(self.facts, self.context, self.cfg) if self.store is None else self.fact_session
+        if self.raw_observations is None:
+            raise ValueError("the measurement has no observations")
+        return self.fact_session
 
     @cached_property
     def fact_component(self) -> DataFrame:

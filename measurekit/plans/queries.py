@@ -49,7 +49,7 @@ def measurement(spark: SparkSession, sf_dir: str) -> Measurement:
     """The measurement of a folder of tables, one per application, with its shared steps kept as written tables."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _OPEN:
-        _OPEN[key] = Measurement(roles.raw_events(spark, sf_dir), roles.raw_observations(spark, sf_dir), CFG, TableStore.for_source(spark, sf_dir))
+        _OPEN[key] = Measurement(roles.raw_events(spark, sf_dir), roles.raw_observations(spark, sf_dir), CFG, TableStore.for_source(spark, sf_dir, CFG))
     return _OPEN[key]
 
 

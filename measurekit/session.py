@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Runtime SQL settings the operators are written for. All can be changed on a live session.
@@ -36,16 +34,8 @@ def build_session(app: str, master: str | None = None, shuffle_partitions: int |
 
 
 def shared_dir(spark: SparkSession) -> str | None:
-    """The folder written tables go to: `spark.checkpoint.dir` of the cluster.
+    """The folder written tables go to: `spark.checkpoint.dir`, which the cluster must set to a place all executors share.
 
-    Where it is unset, a local session gets a fresh folder of its own; a cluster gets None, because no folder of one machine is
-    there for all executors.
+    None where it is unset: no folder of one machine is there for all executors, so none is made up.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if spark.sparkContext.master.startswith("local"):
-        made = tempfile.mkdtemp(prefix="measurekit-")
-        spark.conf.set("spark.checkpoint.dir", made)
-        return made
-    return None
+    return spark.conf.get("spark.checkpoint.dir", None) or None

@@ -1,7 +1,8 @@
 """Drift-tolerant scan of delimited event files: columns by name, nothing repaired, nothing lost.
 
-The files are read as text, so ragged rows, blank header cells and cells beyond the header stay visible. One scan serves every
-header variant: a row looks its cells up by name in the header of its own file.
+The files are read as text, so ragged rows, blank header cells and cells beyond the header stay visible. A file is known by its
+full path; `source_file` is its path below the folder read. One scan serves every header variant: a row looks its cells up by
+name in the header of its own file. Only files in which a quoted cell spans lines are read again, to join these lines.
 """
 
 from __future__ import annotations
@@ -9,33 +10,90 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# a comma outside double quotes
-_COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+from measurekit.sources.labels import label, roots_of
+
+# Stands for a comma outside quotes while a line is cut. Unicode keeps this code point out of text.
+_CUT = "\uffff"
+# Lines of a joined file numbered in one task.
+_BLOCK = 100_000
 
 
 def cells_of(line: Column) -> Column:
-    """All cells of one line; surrounding quotes are removed and doubled quotes halved."""
-    return F.transform(F.split(line, _COMMA, -1), lambda x: F.when(
-        x.rlike('^".*"$'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+    """All cells of one record; surrounding quotes are removed and doubled quotes halved.
 
+    Every second piece between quotes lies outside of them: only its commas cut. Linear in the length of the record.
+    """
+    outside = F.transform(F.split(line, '"', -1), lambda piece, k: F.when(k % 2 == 0, F.replace(piece, F.lit(","), F.lit(_CUT))).otherwise(piece))
+    quoted = lambda x: (F.length(x) >= 2) & F.startswith(x, F.lit('"')) & F.endswith(x, F.lit('"'))
+    return F.transform(F.split(F.array_join(outside, '"'), _CUT, -1), lambda x: F.when(
+        quoted(x), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
 
-def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Lines that are not blank, with their cells, their file, the place of the read split in the file, and an id that grows by one
-    along the split."""
+
+def _quotes(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+
+
+def _scan(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Lines as they are, with their file, the place of the read split in it, and an id that grows along the split."""
     text = F.regexp_replace(F.regexp_replace("value", "\r$", ""), "^\ufeff", "")
+    path = F.col("_metadata.file_path")
     return (spark.read.text(paths)
-            .select(F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("split_start"), F.col("value"))
+            .select(path.alias("source_path"), label(path, roots_of(spark, paths)).alias("source_file"), F.col("_metadata.file_block_start").alias("split_start"), F.col("value"))
             .withColumn("line", F.when(F.is_valid_utf8("value"), text).otherwise(
-                F.raise_error(F.concat(F.lit("not UTF-8: "), F.col("source_file")))))
-            .withColumn("cells", cells_of(F.col("line")))
-            .where(F.exists("cells", lambda x: F.trim(x) != ""))
-            .withColumn("mark", F.monotonically_increasing_id()))
+                F.raise_error(F.concat(F.lit("not UTF-8: "), F.col("source_file"))))))
+
+
+def _not_blank(cells: Column) -> Column:
+    return F.exists(cells, lambda x: F.trim(x) != "")
+
+
+def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Lines that are not blank, with their cells and an id that grows by one along the split."""
+    return _scan(spark, paths).withColumn("cells", cells_of(F.col("line"))).where(_not_blank(F.col("cells"))).withColumn("mark", F.monotonically_increasing_id())
+
+
+def running_sum(df: DataFrame, keys: list[str], block: str, order: str, value: Column, name: str) -> DataFrame:
+    """Adds the sum of `value` over the rows before each row, by (block, order) within the keys. Blocks are summed first, so a
+    window holds one block or one row per block."""
+    v = f"_{name}"
+    df = df.withColumn(v, value.cast("bigint"))
+    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    base = (df.groupBy(*keys, block).agg(F.sum(v).alias("_sum"))
+            .withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum"))
+    inside = Window.partitionBy(*keys, block).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.join(base, [*keys, block]).withColumn(name, F.col("_base") + F.coalesce(F.sum(v).over(inside), F.lit(0))).drop("_base", v)
+
+
+def _joined_records(lines: DataFrame) -> DataFrame:
+    """Numbered records of files with quoted line breaks: a line belongs to the record before it as long as a quote is open."""
+    lines = running_sum(lines, ["source_path"], "split_start", "mark", _quotes(F.col("line")), "quotes_before")
+    lines = lines.withColumn("starts", (F.col("quotes_before") % 2 == 0).cast("bigint"))
+    lines = running_sum(lines, ["source_path"], "split_start", "mark", F.col("starts"), "starts_before")
+    record = lines.groupBy("source_path", "source_file", (F.col("starts_before") + F.col("starts")).alias("record")).agg(
+        F.array_sort(F.collect_list(F.struct("split_start", "mark", "line"))).alias("parts"))
+    record = record.withColumn("cells", cells_of(F.array_join("parts.line", "\n"))).where(_not_blank(F.col("cells")))
+    record = record.withColumn("block", F.floor(F.col("record") / _BLOCK))
+    return running_sum(record, ["source_path"], "block", "record", F.lit(1), "source_row_number").select("source_path", "source_file", "cells", "source_row_number")
+
+
+def records(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(source_path, source_file, cells, source_row_number) of every record that is not blank; number 0 is the header."""
+    lines = _lines(spark, paths)
+    broken = lines.where(_quotes(F.col("line")) % 2 == 1).select("source_path").distinct()
+    plain = with_row_numbers(lines).join(broken, "source_path", "left_anti")
+    if broken.isEmpty():
+        return plain.select("source_path", "source_file", "cells", "source_row_number")
+    again = _scan(spark, paths).withColumn("mark", F.monotonically_increasing_id()).join(broken, "source_path", "left_semi")
+    return plain.select("source_path", "source_file", "cells", "source_row_number").unionByName(_joined_records(again))
+
+
+def _headers(rows: DataFrame) -> DataFrame:
+    return rows.where("source_row_number = 0").select("source_path", "source_file", F.col("cells").alias("header"))
 
 
 def file_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(source_file, header cells): the first line of each file. Only splits at the start of a file are looked at."""
-    first = _lines(spark, paths).where("split_start = 0").groupBy("source_file").agg(F.min_by("line", "mark").alias("header_line"))
-    return first.select("source_file", cells_of(F.col("header_line")).alias("header"))
+    """(source_path, source_file, header cells): the first record of each file that is not blank."""
+    return _headers(records(spark, [paths] if isinstance(paths, str) else paths))
 
 
 def classify_headers(headers: DataFrame, variants: dict[str, list[str]], required: list[str]) -> DataFrame:
@@ -59,6 +117,9 @@ def classify_headers(headers: DataFrame, variants: dict[str, list[str]], require
 
 
 def _refuse(headers: DataFrame, required: tuple[str, ...]) -> None:
+    twice = headers.groupBy("source_file").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"{twice[0]['source_file']}: several files go by this name; read the folder above them")
     names = F.filter("header", lambda x: F.trim(x) != "")
     missing = F.array_except(F.array(*[F.lit(r) for r in required]), names)
     bad = headers.where((F.size(names) != F.size(F.array_distinct(names))) | (F.size(missing) > 0)).select(
@@ -72,13 +133,17 @@ def with_row_numbers(lines: DataFrame) -> DataFrame:
     """Row number inside each file, 0 for the header, without sorting a file.
 
     A file may be read in several splits. The rows of each split are counted, the counts of the splits before are added up (one
-    row per split), and the running id gives the place inside the split.
+    row per split), and the running id gives the place inside the split. The counts come from a scan of their own; should it cut
+    the files differently from the scan of the rows, the job stops.
     """
-    per_split = lines.groupBy("source_file", "split_start").agg(F.count("*").alias("n"), F.min("mark").alias("first_mark"))
-    before = Window.partitionBy("source_file").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
+    per_split = lines.groupBy("source_path", "split_start").agg(F.count("*").alias("n"), F.min("mark").alias("first_mark"), F.max("mark").alias("last_mark"))
+    before = Window.partitionBy("source_path").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_split.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    return lines.join(offsets, ["source_file", "split_start"]).withColumn(
-        "source_row_number", F.col("offset") + F.col("mark") - F.col("first_mark")).drop("offset", "first_mark")
+    place = F.col("mark") - F.col("first_mark")
+    known = F.coalesce((place >= 0) & (F.col("mark") <= F.col("last_mark")), F.lit(False))
+    return lines.join(offsets, ["source_path", "split_start"], "left").withColumn(
+        "source_row_number", F.when(known, F.col("offset") + place).otherwise(F.raise_error(F.concat(F.lit("files were cut differently by two scans: "), F.col("source_file")))).cast("bigint")
+    ).drop("offset", "first_mark", "last_mark")
 
 
 def read_events(spark: SparkSession, paths: list[str] | str, required: tuple[str, ...], optional: tuple[str, ...] = ()) -> DataFrame:
@@ -90,9 +155,10 @@ def read_events(spark: SparkSession, paths: list[str] | str, required: tuple[str
     """
     c = F.col
     paths = [paths] if isinstance(paths, str) else paths
-    headers = file_headers(spark, paths)
+    every = records(spark, paths)
+    headers = _headers(every)
     _refuse(headers, required)
-    rows = with_row_numbers(_lines(spark, paths)).where("source_row_number > 0").join(headers, "source_file")
+    rows = every.where("source_row_number > 0").join(headers.drop("source_file"), "source_path")
     names = list(dict.fromkeys((*required, *optional)))
 
     def cell(name: str) -> Column:

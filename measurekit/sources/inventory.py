@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from measurekit.config import Config
 from measurekit.functions import text as X
 from measurekit.functions import times as T
+from measurekit.sources.labels import label, roots_of
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Name, size and checksums of each file."""
+    """Path below the folder, size and checksums of each file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("source_file"), F.col("length").alias("size"),
+    return files.select(label(F.col("path"), roots_of(spark, [path])).alias("source_file"), F.col("length").alias("size"),
                         F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from measurekit.sources.labels import label, roots_of
+
 TRIPLE = "Time string, ParameterName string, ParameterValue string"
 
 
@@ -12,7 +14,7 @@ def read_observations(spark: SparkSession, paths: str, row_tag: str, station: st
     """Long rows as `stage_observations` takes them. Namespace prefixes are ignored; values stay text."""
     rows = (spark.read.format("xml").option("rowTag", row_tag).option("ignoreNamespace", True).option("inferSchema", False)
             .schema(TRIPLE).load(paths))
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    name = label(F.input_file_name(), roots_of(spark, [paths]))
     return rows.select(
         name.alias("source_file"), F.lit(station).alias("station"), F.col("Time").alias("time_raw"), F.col("ParameterName").alias("parameter"),
         F.col("ParameterValue").alias("value_raw")).withColumn("observation_id", F.concat_ws("/", "station", "parameter", "time_raw"))
@@ -21,5 +23,5 @@ def read_observations(spark: SparkSession, paths: str, row_tag: str, station: st
 def declared_counts(spark: SparkSession, paths: str, root_tag: str) -> DataFrame:
     """Number of elements each file says it returns (attribute of its root element)."""
     rows = (spark.read.format("xml").option("rowTag", root_tag).option("ignoreNamespace", True).schema("_numberReturned bigint").load(paths))
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    name = label(F.input_file_name(), roots_of(spark, [paths]))
     return rows.select(name.alias("source_file"), F.col("_numberReturned").alias("declared_rows"))

@@ -56,7 +56,7 @@ def secs(a: str, b: str) -> str:
 
 
 def finding_id(rule: str, kind: str, entity: str) -> str:
-    return f"'vi-' || left(sha256({rule} || '|' || {kind} || '|' || {entity}), 12)"
+    return f"'vi-' || sha256({rule} || '|' || {kind} || '|' || {entity})"
 
 
 step("ev_base", f"""

@@ -175,3 +175,56 @@ def test_table_store_writes_once(spark, tmp_path):
         return spark.range(3)
 
     assert store.keep("t", build).count() == store.keep("t", build).count() == 3 and len(calls) == 1
+
+
+def test_files_of_one_name_in_two_folders(spark, tmp_path):
+    for day in ("day=1", "day=2"):
+        (tmp_path / day).mkdir()
+        write(tmp_path / day, "registered_x.csv", ",".join(HEADER[:8]) + f"\ns{day[-1]},t,line,k,1,c,t,t\nr,t,line,k,1,c,t,t\n")
+    rows = delimited.read_events(spark, str(tmp_path), REQUIRED, OPTIONAL).collect()
+    assert sorted((r["source_file"], r["source_row_number"], r["session_id"]) for r in rows) == [
+        ("day=1/registered_x.csv", 1, "s1"), ("day=1/registered_x.csv", 2, "r"), ("day=2/registered_x.csv", 1, "s2"), ("day=2/registered_x.csv", 2, "r")]
+    assert {r["source_file"] for r in inventory.file_inventory(spark, str(tmp_path)).collect()} == {"day=1/registered_x.csv", "day=2/registered_x.csv"}
+    with pytest.raises(ValueError, match="several files"):
+        delimited.read_events(spark, [f"{tmp_path}/day=1/registered_x.csv", f"{tmp_path}/day=2/registered_x.csv"], REQUIRED, OPTIONAL)
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    body = "".join(f's{i},t,line,k,{i},"soup\nof, ""day""\n\n{i}",t,t\n' if i % 5 == 0 else f"s{i},t,line,k,{i},c,t,t\n\n" for i in range(1, 401))
+    write(tmp_path, "registered_a.csv", ",".join(HEADER[:8]) + "\n" + body)
+    write(tmp_path, "registered_b.csv", ",".join(HEADER[:8]) + "\nx,t,line,k,1,c,t,t\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = delimited.read_events(spark, str(tmp_path), REQUIRED, OPTIONAL).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    got = {r["source_row_number"]: r for r in rows if r["source_file"] == "registered_a.csv"}
+    assert sorted(got) == list(range(1, 401)) and len(rows) == 401
+    assert all(r["weight_of_a_component"] == str(i) and r["row_status"] == "OK" for i, r in got.items())
+    assert got[10]["component_name"] == 'soup\nof, "day"\n\n10' and got[11]["component_name"] == "c"
+
+
+def test_a_line_of_many_quotes(spark, tmp_path):
+    write(tmp_path, "registered_a.csv", ",".join(HEADER[:8]) + '\ns,t,line,k,1,"' + '""' * 100_000 + '",t,t\n')
+    assert delimited.read_events(spark, str(tmp_path), REQUIRED, OPTIONAL).first()["component_name"] == '"' * 100_000
+
+
+def test_stores_of_one_source_lie_side_by_side(spark, tmp_path):
+    one, two = (TableStore(spark, "src", str(tmp_path)) for _ in range(2))
+    a = one.keep("t", lambda: spark.range(3))
+    b = two.keep("t", lambda: spark.range(5))
+    assert (a.count(), b.count(), one.keep("t", lambda: spark.range(9)).count()) == (3, 5, 3)
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.001"), reason="test tables are not here")
+def test_facts_are_the_same_with_and_without_a_store(spark, tmp_path):
+    from measurekit.plans import queries, roles
+    sf_dir = "/root/testdata/sf0.001"
+    build = lambda store: Measurement(roles.raw_events(spark, sf_dir), roles.raw_observations(spark, sf_dir), queries.CFG, store)
+    lazy, kept = build(None), build(TableStore(spark, sf_dir, str(tmp_path))).prepare()
+    for step in ("staged", "profiles", "sessions", "context", "facts", "facts_with_context", "volume"):
+        a, b = getattr(lazy, step), getattr(kept, step)
+        assert sorted(a.columns) == sorted(b.columns), step
+        assert sorted(map(str, a.select(sorted(a.columns)).collect())) == sorted(map(str, b.select(sorted(a.columns)).collect())), step
