@@ -216,13 +216,6 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, text: str = "text") ->
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(names[0], BinaryType()), StructField(names[1], StringType())]))
 
 
-def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """The documents with their text encoded and decoded again; a null text stays null."""
-    out = encode_documents(docs, vocabulary)
-    decoded = out.columns[-1]
-    return out.select(*[F.when(F.col("text").isNotNull(), F.col(decoded)).alias("text") if c == "text" else F.col(c) for c in docs.columns])
-
-
 def default_vocabulary() -> str:
     """The public vocabulary the registered queries use."""
     import public_tokenizers
