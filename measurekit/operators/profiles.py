@@ -206,6 +206,13 @@ def with_session_rules(sessions: DataFrame, repeated: DataFrame, versions: DataF
     return with_rule_ids(joined, cfg)
 
 
+def with_day_flags(sessions: DataFrame, days: DataFrame) -> DataFrame:
+    """Adds `low_volume_day` and `volume_irregularity` of the session's own population on the day of its first event."""
+    flags = days.select("population", "service_date", "low_volume_day", "volume_irregularity")
+    joined = sessions.withColumn("service_date", F.col("first_local").cast("date")).join(flags, ["population", "service_date"], "left")
+    return joined.na.fill(False, ["low_volume_day", "volume_irregularity"])
+
+
 def with_rule_ids(sessions: DataFrame, cfg: Config) -> DataFrame:
     """error / warn / info rule ids as sorted `;` lists, plus the two WARN flags the metrics use."""
     hits = {**{r: F.col(f"any_{r}") for r in EVENT_RULES}, **{r: F.col(f"hit_{r}") for r in (*SESSION_RULES, "B05", "I06")}}

@@ -773,7 +773,8 @@ def core_final(m: Measurement) -> DataFrame:
 
 
 def all_final(m: Measurement) -> DataFrame:
-    return core_final(m).unionByName(m.kept("findings_days_and_context", lambda: FI.finalise(day_part(m).unionByName(context_part(m)), CFG)))
+    rest = lambda: FI.finalise(day_part(m).unionByName(context_part(m)).unionByName(K.partition_findings(m.disposed)), CFG)
+    return core_final(m).unionByName(m.kept("findings_days_and_context", rest))
 
 
 FINDING_FIELDS = ("finding_id", "rule_id", "severity", "handling", "entity_type", "entity_id", "session_key", "event_id", "population")
@@ -888,7 +889,8 @@ def _(m):
 @query("bld06_session_status")
 def _(m):
     status = FI.session_rule_ids(FI.findings_by_session(core_final(m), m.session_flags))
-    return m.session_flags.select("session_key").join(status, "session_key", "left").na.fill("", ["error_rule_ids", "warn_rule_ids", "info_rule_ids"]).na.fill(
+    days = P.with_day_flags(m.session_flags, m.volume).select("session_key", "low_volume_day", "volume_irregularity")
+    return days.join(status, "session_key", "left").na.fill("", ["error_rule_ids", "warn_rule_ids", "info_rule_ids"]).na.fill(
         False, ["has_session_warn", "has_event_warn"])
 
 
@@ -985,11 +987,20 @@ def _(m):
     return M.evidence_rows(metrics_of(m)).select("metric_id", "population", r6("value", "value"), "numerator", "denominator", "records_used", "records_excluded", "n_population", "status")
 
 
+def validation_checks(m: Measurement) -> DataFrame:
+    """The checks a measurement must pass: events, sessions, structure, names, time zones, repeats, context and weekday regimes."""
+    days = RV.service_days(m.session_flags, CFG)
+    parts = [K.event_checks(m.disposed, pins(m), K.file_reconciliation(m.staged)), K.session_checks(m.staged, m.session_flags), K.structure_checks(m.staged),
+             K.name_checks(m.staged, m.session_flags), K.timezone_checks(m.flagged, pins(m), file_part(m).where("rule_id = 'T10'"), CFG),
+             K.duplicate_checks(m.flagged, m.session_flags, m.repeated_scales, R.natural_key_duplicates(m.staged, NATURAL_KEY)),
+             K.context_checks(m.observations, context_part(m), declared_observations(m), CFG),
+             K.volume_checks(days, RV.baseline_regimes(days, CFG), CFG)]
+    return K.union_all([p.select("check_id", "area", "status") for p in parts])
+
+
 @query("bld18_lane_status")
 def _(m):
-    final = all_final(m)
-    checks = K.structure_checks(m.staged).unionByName(K.name_checks(m.staged, m.session_flags))
-    return FI.lane_status(final, checks)
+    return FI.lane_status(all_final(m), validation_checks(m))
 
 
 # ---- metrics ------------------------------------------------------------------------------------------------------------------------

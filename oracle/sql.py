@@ -357,7 +357,9 @@ add("bld02_session_profiles", f"SELECT session_key, source_files, events_staged,
 add("bld03_quarantine_keys", "SELECT session_key FROM qkeys")
 add("bld04_dispositions", "SELECT event_id, disposition FROM disp")
 add("bld05_final_findings", "SELECT finding_id, category, severity, handling, quarantine FROM fin WHERE entity_type = 'event'")
-add("bld06_session_status", "SELECT session_key, error_rule_ids, warn_rule_ids, info_rule_ids, has_session_warn, has_event_warn FROM sesx")
+add("bld06_session_status", """SELECT x.session_key, x.error_rule_ids, x.warn_rule_ids, x.info_rule_ids, x.has_session_warn, x.has_event_warn,
+  coalesce(v.low_volume_day, false) AS low_volume_day, coalesce(v.volume_irregularity, false) AS volume_irregularity
+  FROM sesx x JOIN facts f USING (session_key) LEFT JOIN volume v ON v.service_date = f.service_date AND v.population = f.population""")
 add("bld06_session_status_direct", "SELECT session_key, error_rule_ids, warn_rule_ids, info_rule_ids, has_session_warn, has_event_warn, CASE WHEN is_quarantined THEN error_rule_ids ELSE '' END AS quarantine_rule_ids FROM sesx")
 E_IDS = "concat_ws(';', CASE WHEN b01 THEN 'B01' END, CASE WHEN s05 THEN 'S05' END, CASE WHEN s06 THEN 'S06' END, CASE WHEN s07 THEN 'S07' END, CASE WHEN t01 THEN 'T01' END, CASE WHEN t03 THEN 'T03' END)"
 W_IDS = "concat_ws(';', CASE WHEN b02 THEN 'B02' END, CASE WHEN is_repeat THEN 'I02' END, CASE WHEN t02 THEN 'T02' END)"
@@ -526,9 +528,13 @@ add("check_SC", checks([
     ("SC13", None, f"'{_N} | {sum(s[7] for s in SCEN)}'")]))
 add("check_GRN", """SELECT 'context' AS table_name, count(*) AS rows, count(DISTINCT obs_utc) AS keys, 0::BIGINT AS duplicated_keys FROM ctx UNION ALL SELECT 'event', count(*), count(DISTINCT event_id), 0 FROM stg
   UNION ALL SELECT 'session', count(*), count(DISTINCT session_key), 0 FROM ses UNION ALL SELECT 'component', count(*), count(DISTINCT (session_key, component)), 0 FROM comp UNION ALL SELECT 'day', count(*), count(DISTINCT (service_date, population)), 0 FROM volume""")
-add("bld18_lane_status", """SELECT CASE WHEN (SELECT count(*) FROM fin WHERE handling = 'BLOCK' AND category <> 'context') + (SELECT count(*) FROM fin WHERE rule_id = 'X04') > 0 OR (SELECT count(*) FROM ses WHERE n_raw_components <> n_components) > 0 THEN 'BLOCKED'
+_LANE = " UNION ALL ".join(f"SELECT status, {area} AS is_context FROM ({SQL[name]})" for name, area in (
+    ("check_E", "false"), ("check_S", "false"), ("check_F", "false"), ("check_N", "false"), ("check_Z", "false"), ("check_D", "false"), ("check_K", "true"), ("check_V", "false")))
+add("bld18_lane_status", f"""SELECT CASE WHEN (SELECT count(*) FROM fin WHERE handling = 'BLOCK' AND category <> 'context') + (SELECT count(*) FROM fin WHERE rule_id = 'X04') > 0
+    OR (SELECT count(*) FROM ({_LANE}) WHERE status = 'FAIL' AND NOT is_context) > 0 THEN 'BLOCKED'
    WHEN (SELECT count(*) FROM fin WHERE quarantine) > 0 THEN 'PASSED_WITH_QUARANTINE' ELSE 'PASSED' END AS core_status,
-  CASE WHEN (SELECT count(*) FROM fin WHERE rule_id = 'X07') > 0 THEN 'BLOCKED' WHEN (SELECT count(*) FROM fin WHERE rule_id IN ('X01', 'X08')) > 0 THEN 'PASSED_WITH_WARNINGS' ELSE 'PASSED' END AS context_status""")
+  CASE WHEN (SELECT count(*) FROM fin WHERE rule_id = 'X07') + (SELECT count(*) FROM ({_LANE}) WHERE status = 'FAIL' AND is_context) > 0 THEN 'BLOCKED'
+   WHEN (SELECT count(*) FROM fin WHERE rule_id IN ('X01', 'X08')) > 0 THEN 'PASSED_WITH_WARNINGS' ELSE 'PASSED' END AS context_status""")
 
 # ---- scenario results ---------------------------------------------------------------------------------------------------------------
 S_COLS = "scenario_id, m3, m5_numerator, m5_denominator, s2_numerator, " + ", ".join(r6(m, m) for m in ("m1", "m2", "m4", "m5", "s2"))

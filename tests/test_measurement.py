@@ -9,6 +9,7 @@ from measurekit.operators import checks as K
 from measurekit.operators import facts as FA
 from measurekit.operators import findings as FI
 from measurekit.operators import metrics as M
+from measurekit.operators import profiles as P
 from measurekit.operators import repeats as R
 from measurekit.operators import rules_context as RC
 from measurekit.operators import rules_events as RE
@@ -340,3 +341,22 @@ def test_scenarios_by_hand(spark):
     assert "S23" not in got                                                                    # every session lies before its date: no row, never a zero
     deltas = {(r["metric_id"], r["scenario_id"]): r["robustness_class"] for r in SC.metric_deltas(results, registry).collect()}
     assert deltas[("M1", "S01")] == "CONDITIONAL" and deltas[("M1", "G01")] == "NOT_CLASSIFIED" and deltas[("M1", "TZ3")] == "STABLE"
+
+
+def test_a_broken_partition_blocks_the_core(spark):
+
+    m = measure(spark, [row(1), row(2)])
+    whole, broken = m.disposed, m.disposed.withColumn("disposition", F.when(F.col("source_row_number") == 2, "LOST").otherwise(F.col("disposition")))
+    assert K.partition_findings(whole).count() == 0
+    found = FI.finalise(K.partition_findings(broken), CFG)
+    assert [(r["rule_id"], r["handling"], r["observed_value"]) for r in found.collect()] == [("C04", "BLOCK", "1 of 2")]
+    checks = K.structure_checks(m.staged)
+    assert FI.lane_status(found, checks).first()["core_status"] == "BLOCKED"
+    lane = FI.lane_status(found.limit(0), checks.unionByName(K.context_unusable(spark, "no file"))).first()
+    assert (lane["core_status"], lane["context_status"]) == ("PASSED", "BLOCKED")
+
+
+def test_day_flags_of_a_session(spark):
+    m = measure(spark, [row(1)])
+    flags = P.with_day_flags(m.session_flags, m.volume).select("session_key", "low_volume_day").collect()
+    assert [tuple(r) for r in flags] == [("s1|primary", True)]
