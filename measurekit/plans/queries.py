@@ -101,7 +101,7 @@ def _(m):
 
 @table_query("src09_document_fingerprint")
 def _(spark, sf_dir):
-    return INV.content_fingerprint(roles.table(spark, sf_dir, "documents"), ["doc_id", "lang", "source", "text"])
+    return INV.content_fingerprint(roles.table(spark, sf_dir, "documents"), ["doc_id", "lang", "source", "text", "n_chars"])
 
 
 @query("src13_calendar")

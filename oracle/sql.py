@@ -29,17 +29,16 @@ def pct(num: str, den: str) -> str:
 
 # ---- sources ------------------------------------------------------------------------------------------------------------------------
 add("src04_observation_typing", f"SELECT observation_id, {t('obs_utc')}, parameter, value_raw, value_status, value FROM obs")
-add("src08_snapshot_id", """SELECT sha256(string_agg(line, chr(10) ORDER BY line)) AS snapshot_id FROM (
-  SELECT 'events|' || source_file || '|' || sha256(source_file || '/' || n) || '|' || n AS line FROM (SELECT source_file, count(*) AS n FROM cells GROUP BY ALL))""")
-
-
-def fingerprint(line: str, source: str) -> str:
-    return f"""SELECT sha256(string_agg(part, '' ORDER BY part)) AS fingerprint FROM (SELECT p || ':' || sha256(string_agg(h || 'x' || n, '' ORDER BY h || 'x' || n)) AS part
-  FROM (SELECT h, count(*) AS n, CAST('0x' || left(h, 8) AS BIGINT) % 4096 AS p FROM (SELECT sha256({line}) AS h FROM {source}) GROUP BY ALL) GROUP BY p)"""
+def fingerprint(line: str, source: str, name: str = "fingerprint") -> str:
+    cut = [f"CAST('0x' || substr(h, {1 + 16 * k}, 15) AS BIGINT)" for k in range(4)]
+    numbers = ["count(*)", *[f"coalesce(bit_xor({x}), 0)" for x in cut], *[f"coalesce(sum(CAST({x} AS HUGEINT)), 0)::HUGEINT" for x in cut]]
+    return f"SELECT sha256(concat_ws(',', {', '.join(f'CAST({n} AS VARCHAR)' for n in numbers)})) AS {name} FROM (SELECT sha256({line}) AS h FROM {source})"
 
 
+add("src08_snapshot_id", fingerprint("'events|' || source_file || '|' || sha256(source_file || '/' || n) || '|' || n",
+                                     "(SELECT source_file, count(*) AS n FROM cells GROUP BY ALL)", "snapshot_id"))
 add("src09_content_hash", fingerprint("time_raw || '|' || parameter || '|' || value_raw", "obs"))
-add("src09_document_fingerprint", fingerprint("doc_id || '|' || lang || '|' || source || '|' || text", "documents"))
+add("src09_document_fingerprint", fingerprint("doc_id || '|' || lang || '|' || source || '|' || text || '|' || n_chars", "documents"))
 add("src13_calendar", """SELECT w.population, CAST(w.day AS VARCHAR) AS day, CAST(CAST(date_trunc('week', w.day) AS DATE) AS VARCHAR) AS week, coalesce(v.sessions, 0) AS sessions
   FROM want_days w LEFT JOIN vdays v ON v.population = w.population AND v.service_date = w.day""")
 add("src13_hour_calendar", """SELECT CAST(hour(h.hour) AS INTEGER) AS hour_of_day, count(*) AS hours, count(o.obs_utc) AS observed
