@@ -118,6 +118,9 @@ class Config:
     weekday_regime: dict[str, str] = field(default_factory=dict)
     baseline: tuple[dt.date, dt.date] | None = None
     rule_overrides: dict[str, tuple[str, str]] = field(default_factory=dict)
+    scale_kinds: tuple[tuple[str, str], ...] = ()       # (word in a scale's identifier, label), first match counts
+    hot_kind: str = ""                                  # the word of scales that keep food warm
+    twin_sides: tuple[str, ...] = ()                    # words that tell twin scales apart
 
     @property
     def catalogue(self) -> dict[str, RuleSpec]:

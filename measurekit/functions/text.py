@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,12 +42,12 @@ def weight_grams(c: Column) -> Column:
     return F.when(weight_status(c) == "OK", strip(c).try_cast("bigint"))
 
 
-def scale_parts(c: Column) -> dict[str, Column]:
+def scale_parts(c: Column, kinds: Sequence[str]) -> dict[str, Column]:
     """line, side, kind and position of `line-side-kindN` or `line-kindN`; what does not parse is NULL."""
     parts = F.split(strip(c), "-")
     n = F.size(parts)
     last = F.when(n.isin(2, 3), F.element_at(parts, -1))
-    pattern = "^(salaatti|lammin)([0-9]+)$"
+    pattern = f"^({'|'.join(map(re.escape, kinds))})([0-9]+)$"
     return {
         "line": F.nullif(F.get(parts, F.lit(0)), F.lit("")),
         "side": F.when(n == 3, F.get(parts, F.lit(1))),
@@ -57,8 +60,9 @@ def station_family(c: Column) -> Column:
     return F.when(c != "", F.split_part(c, F.lit("-"), F.lit(1)))
 
 
-def scale_kind_label(c: Column) -> Column:
-    return F.when(c.contains("lammin"), "hot (lammin)").when(c.contains("salaatti"), "cold (salaatti)").otherwise("other")
+def scale_kind_label(c: Column, kinds: Sequence[tuple[str, str]]) -> Column:
+    """Label of the first kind whose word the identifier holds."""
+    return F.coalesce(*[F.when(c.contains(word), label) for word, label in kinds], F.lit("other"))
 
 
 def digit_mask(c: Column) -> Column:
@@ -66,9 +70,9 @@ def digit_mask(c: Column) -> Column:
     return F.regexp_replace(c, "[0-9]", "9")
 
 
-def collapse_twin(c: Column) -> Column:
-    """Left and right twin scales as one."""
-    return F.regexp_replace(c, "-(vasen|oikea)-", "-X-")
+def collapse_twin(c: Column, sides: Sequence[str]) -> Column:
+    """Twin scales, told apart by a word for their side, as one."""
+    return F.regexp_replace(c, f"-({'|'.join(map(re.escape, sides))})-", "-X-")
 
 
 def id_number(c: Column) -> Column:

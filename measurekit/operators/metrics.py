@@ -161,6 +161,6 @@ def portioning_by_scale(events: DataFrame, facts: DataFrame, cfg: Config) -> Dat
                  F.round(S.exact_percentile(c("weight_g"), 0.5, c("n")), 1).alias("median_weight_g"),
                  F.round(S.exact_percentile(c("weight_g"), 0.9, c("n")), 1).alias("p90_weight_g"),
                  F.sum("heavy").alias("heavy_events"))
-            .select("scale_id", X.station_family(c("scale_id")).alias("station_family"), X.scale_kind_label(c("scale_id")).alias("kind"),
+            .select("scale_id", X.station_family(c("scale_id")).alias("station_family"), X.scale_kind_label(c("scale_id"), cfg.scale_kinds).alias("kind"),
                     "events", "median_weight_g", "p90_weight_g", "heavy_events",
                     F.round(100 * c("heavy_events") / c("events"), 2).alias("heavy_rate_pct")))

@@ -87,7 +87,7 @@ def session_profiles(flagged: DataFrame, cfg: Config) -> DataFrame:
         "max_tray": F.max(F.nullif(c("tray_id"), F.lit(""))),
         "weight_counted": S.strict_sum(c("weight_g"), counted),
         "weight_all": S.strict_sum(c("weight_g")),
-        "has_hot_scale": F.bool_or(F.coalesce(c("scale_kind") == "lammin", F.lit(False))),
+        "has_hot_scale": F.bool_or(F.coalesce(c("scale_kind") == cfg.hot_kind, F.lit(False))),
         "override_events": F.count_if(in_override & c("event_local").isNotNull()),
         "override_first_wall": F.min(F.when(in_override, wall)),
         **{f"any_{rule}": F.bool_or(f"hit_{rule}") for rule in EVENT_RULES},

@@ -207,11 +207,11 @@ def name_variants(staged: DataFrame) -> DataFrame:
     return forms.groupBy("component").agg(F.count("*").alias("variants"), F.array_join(F.array_sort(F.collect_list("spelling")), "|").alias("spellings")).where("variants > 1")
 
 
-def name_stability(staged: DataFrame) -> DataFrame:
+def name_stability(staged: DataFrame, cfg: Config) -> DataFrame:
     """Names in all forms, names on several scales (twins apart and together), scale-days with several names."""
     c = F.col
     named = staged.where(c("component").isNotNull())
-    per = named.groupBy("component").agg(F.count_distinct("scale_id").alias("scales"), F.count_distinct(X.collapse_twin(c("scale_id"))).alias("twins"))
+    per = named.groupBy("component").agg(F.count_distinct("scale_id").alias("scales"), F.count_distinct(X.collapse_twin(c("scale_id"), cfg.twin_sides)).alias("twins"))
     names = per.agg(F.count("*").alias("names"), F.count_if(c("scales") > 1).alias("on_several_scales"),
                     F.count_if(c("twins") > 1).alias("on_several_twins")).withColumn("one", F.lit(1))
     cells = (named.where(c("event_local").isNotNull())
@@ -376,7 +376,7 @@ def single_event_sessions(flagged: DataFrame, sessions: DataFrame, cfg: Config)
                                                    "scale_id", "component_raw", "weight_g", "ident_minus_last_s")
 
 
-def single_event_summary(ones: DataFrame) -> DataFrame:
+def single_event_summary(ones: DataFrame, cfg: Config) -> DataFrame:
     c = F.col
-    return ones.agg(F.count("*").alias("sessions"), F.count_if(c("scale_id").contains("lammin")).alias("hot"), S.exact_median(c("weight_g")).alias("median_weight"),
+    return ones.agg(F.count("*").alias("sessions"), F.count_if(c("scale_id").contains(cfg.hot_kind)).alias("hot"), S.exact_median(c("weight_g")).alias("median_weight"),
                     F.count_if(c("weight_g") <= 3).alias("le_3g"), F.count_if(c("weight_g") <= 50).alias("le_50g"))

@@ -61,7 +61,7 @@ def stage_events(raw: DataFrame, cfg: Config) -> DataFrame:
         cell["user_identification_time"].alias("ident_time_raw"),
     )
     # each step is a projection of its own: a value that several later columns use is worked out once
-    parts = X.scale_parts(F.col("scale_id"))
+    parts = X.scale_parts(F.col("scale_id"), [word for word, _ in cfg.scale_kinds])
     keyed = time_treatment(with_keys(with_population(base, cfg)), cfg)
     shift = T.hours(F.col("tz_offset_hours"))
     parsed = keyed.withColumns({

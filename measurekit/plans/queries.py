@@ -149,7 +149,7 @@ def _(m):
 
 @query("prj05_station_family")
 def _(m):
-    return m.staged.groupBy(X.station_family(c("scale_id")).alias("station_family"), X.scale_kind_label(c("scale_id")).alias("kind")).agg(F.count("*").alias("n"))
+    return m.staged.groupBy(X.station_family(c("scale_id")).alias("station_family"), X.scale_kind_label(c("scale_id"), CFG.scale_kinds).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("prj06_parse_time")
@@ -230,7 +230,7 @@ def _(m):
 
 @query("prj19_masks")
 def _(m):
-    return m.staged.groupBy(X.digit_mask(c("event_time_raw")).alias("time_shape"), X.collapse_twin(c("scale_id")).alias("twin"), X.id_number(c("tray_id")).alias("tray_number")).agg(F.count("*").alias("n"))
+    return m.staged.groupBy(X.digit_mask(c("event_time_raw")).alias("time_shape"), X.collapse_twin(c("scale_id"), CFG.twin_sides).alias("twin"), X.id_number(c("tray_id")).alias("tray_number")).agg(F.count("*").alias("n"))
 
 
 def deltas(m: Measurement) -> DataFrame:
@@ -387,7 +387,7 @@ def _(m):
 
 @query("join20_single_event_summary")
 def _(m):
-    ones = PR.single_event_summary(PR.single_event_sessions(m.flagged, m.session_flags, CFG))
+    ones = PR.single_event_summary(PR.single_event_sessions(m.flagged, m.session_flags, CFG), CFG)
     return ones
 
 
@@ -588,7 +588,7 @@ def _(m):
 
 @query("agg32_name_stability")
 def _(m):
-    return PR.name_stability(m.staged)
+    return PR.name_stability(m.staged, CFG)
 
 
 @query("agg32_name_variants")

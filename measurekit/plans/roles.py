@@ -29,6 +29,7 @@ CONFIG = Config(
     context_parameters=PARAMETERS,
     overrides=(TimeOverride(SHIFTED_FILE, "NORMALISED_PLUS_3H", 3, "aligned with the other files of the population",
                             dt.date(2024, 1, 8), dt.date(2024, 1, 14), (7.0, 8.5)),),
+    scale_kinds=(("lammin", "hot (lammin)"), ("salaatti", "cold (salaatti)")), hot_kind="lammin", twin_sides=("vasen", "oikea"),
     session_span=Threshold(">", 7200),
     day_minimum=45,
     weekday_regime={"Monday": "high", "Tuesday": "high", "Wednesday": "high", "Thursday": "low", "Friday": "low"},
@@ -89,6 +90,9 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.concat(F.lit("dish "), dish)).alias("component_name"),
             F.concat(F.lit("tray"), (F.col("user_id") % 50).cast("string"), F.when(i % 211 == 0, "b").otherwise("")).alias("tray_id"),
             F.when(i % 401 == 0, "n/a").otherwise(text(ident)).alias("user_identification_time"),
+            # what the file reader would say of rows with a cell under a blank header, too few cells, or a column nobody declared
+            F.when(i % 601 == 0, "EXTRA_CELLS").when(i % 607 == 0, "SHORT_ROW").otherwise("OK").alias("row_status"),
+            F.when(i % 601 == 0, '{"blank_header_columns":{"9":"hidden"}}').when(i % 613 == 0, '{"extra_columns":{"note":"kept"}}').alias("unmapped"),
         )
     )
 

@@ -81,6 +81,8 @@ FROM ev_copy""")
 step("cells", """
 SELECT source_file, i * 2 + copy_no + 1 AS source_row_number,
   CAST(u AS VARCHAR) || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS session_id,
+  CASE WHEN i % 601 = 0 THEN 'EXTRA_CELLS' WHEN i % 607 = 0 THEN 'SHORT_ROW' ELSE 'OK' END AS row_status,
+  CASE WHEN i % 601 = 0 THEN '{"blank_header_columns":{"9":"hidden"}}' WHEN i % 613 = 0 THEN '{"extra_columns":{"note":"kept"}}' END AS unmapped,
   (CASE WHEN i % 5 = 0 THEN strftime(wall, '%Y.%m.%d %H:%M:%S') ELSE strftime(wall, '%Y-%m-%d %H:%M:%S') END)
     || CASE WHEN i % 409 = 0 THEN '.5' ELSE '' END AS event_time_raw,
   CASE WHEN source_file LIKE 'primary\\_%' ESCAPE '\\' THEN 'line' END AS weighing_type,
@@ -120,7 +122,7 @@ SELECT *, source_row_number > first_row AS is_repeat,
 FROM (SELECT *, min(source_row_number) OVER (PARTITION BY source_file, row_sha256) AS first_row FROM stg)""")
 
 step("fl", """
-SELECT *,
+SELECT *, coalesce(contains(unmapped, 'blank_header_columns'), false) AS s04, row_status <> 'OK' OR coalesce(contains(unmapped, 'extra_columns'), false) AS s08,
   trim(session_id) = '' OR trim(tray_id) = '' OR trim(scale_id) = '' OR trim(component_raw) = '' AS s05,
   weight_status <> 'OK' AS s06, event_time_status <> 'OK' OR ident_time_status <> 'OK' AS s07,
   coalesce(weight_g <= 0, false) AS b01, coalesce(weight_g > 0 AND weight_g >= 1500, false) AS b02,
@@ -143,7 +145,7 @@ SELECT session_key, session_id, population, count(*) AS events_staged, count(*)
   CASE WHEN count(*) FILTER (weight_g IS NULL) = 0 THEN CAST(sum(weight_g) AS BIGINT) END AS weight_all,
   count(DISTINCT component) FILTER (NOT is_repeat) AS n_components, count(DISTINCT component_raw) FILTER (NOT is_repeat) AS n_raw_components,
   count(DISTINCT scale_id) FILTER (NOT is_repeat) AS n_scales, bool_or(contains(scale_id, 'lammin')) AS has_hot_scale,
-  bool_or(s05) AS s05, bool_or(s06) AS s06, bool_or(s07) AS s07, bool_or(b01) AS b01, bool_or(b02) AS b02, bool_or(b03) AS b03,
+  bool_or(s04) AS s04, bool_or(s08) AS s08, bool_or(s05) AS s05, bool_or(s06) AS s06, bool_or(s07) AS s07, bool_or(b01) AS b01, bool_or(b02) AS b02, bool_or(b03) AS b03,
   bool_or(t01) AS t01, bool_or(t02) AS t02, bool_or(t03) AS t03, bool_or(is_repeat) AS i02
 FROM fl GROUP BY ALL""")
 
@@ -188,7 +190,7 @@ def _ids(pairs: list[tuple[str, str]]) -> str:
 step("sesx", f"""
 SELECT s.*, v.identical, r.repeated_scales, r.repeated_scales IS NOT NULL AND NOT s.is_quarantined AS b05, v.identical IS NOT NULL AS i06,
   {_ids([('B01', 's.b01'), ('I01', 's.in_both'), ('I04', 's.i04'), ('S05', 's.s05'), ('S06', 's.s06'), ('S07', 's.s07'), ('T01', 's.t01'), ('T03', 's.t03')])} AS error_rule_ids,
-  {_ids([('B02', 's.b02'), ('B04', 's.b04'), ('B07', 's.b07'), ('I02', 's.i02'), ('I06', 'v.identical = false'), ('T02', 's.t02'), ('T04', 's.t04'), ('T05', 's.t05'), ('T06', 's.t06')])} AS warn_rule_ids,
+  {_ids([('B02', 's.b02'), ('B04', 's.b04'), ('B07', 's.b07'), ('I02', 's.i02'), ('I06', 'v.identical = false'), ('S04', 's.s04'), ('S08', 's.s08'), ('T02', 's.t02'), ('T04', 's.t04'), ('T05', 's.t05'), ('T06', 's.t06')])} AS warn_rule_ids,
   {_ids([('B03', 's.b03'), ('B05', 'r.repeated_scales IS NOT NULL AND NOT s.is_quarantined'), ('I06', 'v.identical = true')])} AS info_rule_ids,
   s.b04 OR s.b07 OR s.t04 OR s.t05 OR coalesce(v.identical = false, false) AS has_session_warn, s.b02 OR s.i02 AS has_event_warn
 FROM ses s LEFT JOIN rep_scales r USING (session_key) LEFT JOIN ver v USING (session_id)""")
@@ -278,7 +280,7 @@ SELECT source_file, quantile_cont(h, 0.5) FILTER (basis = 'raw') AS raw_hour, qu
 FROM fhours GROUP BY ALL""")
 
 # ---- findings: rule, entity type, entity, session key, event id, population, severity ----------------------------------------------
-_EVENT = [("S05", "s05", ""), ("S06", "s06", ""), ("S07", "event_time_status <> 'OK'", "|weighing_event_time"),
+_EVENT = [("S04", "s04", ""), ("S08", "s08", ""), ("S05", "s05", ""), ("S06", "s06", ""), ("S07", "event_time_status <> 'OK'", "|weighing_event_time"),
           ("S07", "ident_time_status <> 'OK'", "|user_identification_time"), ("B01", "b01", ""), ("B02", "b02", ""), ("B03", "b03", ""),
           ("T01", "t01", ""), ("T02", "t02", ""), ("T03", "t03", ""), ("I02", "is_repeat", "")]
 step("find_events", "\nUNION ALL\n".join(

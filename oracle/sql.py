@@ -81,7 +81,7 @@ add("prj15_weekday", """SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day
   isodow(o_orderdate) >= 6 AS weekend, count(*) AS n FROM orders GROUP BY ALL""")
 add("prj16_finding_id", f"SELECT event_id, {finding_id(chr(39) + 'S06' + chr(39), chr(39) + 'event' + chr(39), 'event_id')} AS finding_id FROM stg")
 EV_ERR = "(s05 OR s06 OR s07 OR b01 OR t01 OR t03)"
-EV_WARN = "(b02 OR is_repeat OR t02)"
+EV_WARN = "s04 OR s08 OR (b02 OR is_repeat OR t02)"
 EV_QUALITY = f"CASE WHEN {EV_ERR} OR disposition = 'QUARANTINED' THEN 'INVALID' WHEN {EV_WARN} THEN 'WARN' ELSE 'VALID' END"
 add("prj17_quality_status", f"SELECT event_id, {EV_QUALITY} AS quality_status FROM disp")
 add("prj18_session_timing", f"SELECT session_key, span_s, {r6('span_s / 60.0', 'duration_minutes')}, ident_minus_last_s FROM ses")
@@ -209,7 +209,7 @@ add("agg06_count_by", "SELECT weight_status, event_time_status, ident_time_statu
 add("agg07_distinct_counts", "SELECT session_key, n_components, n_raw_components, n_scales, tray_count, ident_values FROM prof")
 add("agg08_joined_set", "SELECT scale_id, string_agg(DISTINCT component, '|' ORDER BY component) AS components, string_agg(DISTINCT source_file, ';' ORDER BY source_file) AS files FROM stg GROUP BY ALL")
 step("recon", f"""SELECT source_file, count(*) AS rows, count(DISTINCT session_id) AS sessions, {t('min(event_wall)', 'first_raw')}, {t('max(event_wall)', 'last_raw')}, {t('min(event_utc)', 'first_utc')}, {t('max(event_utc)', 'last_utc')},
-  0::BIGINT AS bad_rows, count(*) FILTER (weight_status <> 'OK') AS bad_weights, count(*) FILTER (event_time_status <> 'OK') AS bad_event_times, count(*) FILTER (ident_time_status <> 'OK') AS bad_ident_times FROM stg GROUP BY source_file""")
+  count(*) FILTER (row_status <> 'OK') AS bad_rows, count(*) FILTER (weight_status <> 'OK') AS bad_weights, count(*) FILTER (event_time_status <> 'OK') AS bad_event_times, count(*) FILTER (ident_time_status <> 'OK') AS bad_ident_times FROM stg GROUP BY source_file""")
 add("agg09_file_reconciliation", "SELECT * FROM recon")
 FIELDS = [("session_id", "trim(session_id) = ''", "false"), ("tray_id", "trim(tray_id) = ''", "false"), ("scale_id", "trim(scale_id) = ''", "false"), ("component_name", "trim(component_raw) = ''", "false"),
           ("weight", "weight_status = 'EMPTY'", "weight_status = 'NOT_INTEGER'"), ("event_time", "trim(event_time_raw) = ''", "trim(event_time_raw) <> '' AND event_time_status <> 'OK'"),
@@ -361,7 +361,7 @@ add("bld06_session_status", """SELECT x.session_key, x.error_rule_ids, x.warn_ru
   FROM sesx x JOIN facts f USING (session_key) LEFT JOIN volume v ON v.service_date = f.service_date AND v.population = f.population""")
 add("bld06_session_status_direct", "SELECT session_key, error_rule_ids, warn_rule_ids, info_rule_ids, has_session_warn, has_event_warn, CASE WHEN is_quarantined THEN error_rule_ids ELSE '' END AS quarantine_rule_ids FROM sesx")
 E_IDS = "concat_ws(';', CASE WHEN b01 THEN 'B01' END, CASE WHEN s05 THEN 'S05' END, CASE WHEN s06 THEN 'S06' END, CASE WHEN s07 THEN 'S07' END, CASE WHEN t01 THEN 'T01' END, CASE WHEN t03 THEN 'T03' END)"
-W_IDS = "concat_ws(';', CASE WHEN b02 THEN 'B02' END, CASE WHEN is_repeat THEN 'I02' END, CASE WHEN t02 THEN 'T02' END)"
+W_IDS = "concat_ws(';', CASE WHEN b02 THEN 'B02' END, CASE WHEN is_repeat THEN 'I02' END, CASE WHEN s04 THEN 'S04' END, CASE WHEN s08 THEN 'S08' END, CASE WHEN t02 THEN 'T02' END)"
 N_IDS = "CASE WHEN b03 THEN 'B03' ELSE '' END"
 add("bld07_event_status", f"SELECT event_id, disposition, {E_IDS} AS error_rule_ids, {W_IDS} AS warn_rule_ids, {N_IDS} AS info_rule_ids FROM disp")
 add("bld08_quarantine_manifest", """SELECT 'session_key' AS entity_type, session_key AS entity_id, session_key, population, source_files AS source_file, error_rule_ids AS quarantine_rule_ids FROM sesx WHERE is_quarantined
@@ -474,7 +474,7 @@ add("check_S", checks([
     ("S03", None, one("count(DISTINCT session_id)", "ses", "in_both")), ("S04", cnt("ses", "in_both"), cnt("ses", "in_both AND is_quarantined")), ("S05", cnt("stg"), one("CAST(sum(events_staged) AS BIGINT)", "ses")),
     ("S06", "0", cnt("ses", "ident_values > 1")), ("S07", None, bars(one("pooled_canonical", "pooled"), one("pooled_raw", "pooled")))]))
 add("check_F", checks([
-    (f, cnt("stg"), f"{cnt('stg')} || ' (' || {src} || ')'") for f, src in (("F01", f"'OK=' || {cnt('stg')}"), ("F02", tally("stg", "weight_status")), ("F03", tally("stg", "event_time_status")), ("F04", tally("stg", "ident_time_status")))])
+    (f, cnt("stg"), f"{cnt('stg')} || ' (' || {src} || ')'") for f, src in (("F01", tally("stg", "row_status")), ("F02", tally("stg", "weight_status")), ("F03", tally("stg", "event_time_status")), ("F04", tally("stg", "ident_time_status")))])
     .replace("WHEN expected = observed THEN 'PASS'", "WHEN starts_with(observed, expected || ' (') THEN 'PASS'"))
 add("check_N", checks([("N01", "0", cnt("ses", "n_raw_components <> n_components")), ("N02", None, bars(one("count(DISTINCT component_raw)", "stg"), one("count(DISTINCT component)", "stg")))]))
 add("check_Z", checks([

@@ -16,6 +16,7 @@ CFG = Config(
     window=(dt.date(2020, 10, 5), dt.date(2020, 11, 20)), context_window=(dt.datetime(2020, 10, 6, 6), dt.datetime(2020, 10, 6, 12)),
     context_station="100", context_parameters=("t2m", "r_1h"),
     overrides=(TimeOverride("registered_shifted.csv", "PLUS_3H", 3, "evidence", dt.date(2020, 10, 5), dt.date(2020, 10, 16), (7.0, 8.5)),),
+    scale_kinds=(("lammin", "hot (lammin)"), ("salaatti", "cold (salaatti)")), hot_kind="lammin", twin_sides=("vasen", "oikea"),
     session_span=Threshold(">", 600), day_minimum=30,
     weekday_regime={"Monday": "high", "Tuesday": "high", "Wednesday": "high", "Thursday": "low", "Friday": "low"},
     baseline=(dt.date(2020, 10, 5), dt.date(2020, 10, 30)))

@@ -35,7 +35,7 @@ def test_weights(spark):
 
 def test_scale_parts(spark):
     df = spark.createDataFrame([("koti2-vasen-salaatti3",), ("vege2-lammin6",), ("a-b-c-d",), ("solo",), ("k-v-other9",), ("",)], "s string")
-    parts = X.scale_parts(F.col("s"))
+    parts = X.scale_parts(F.col("s"), ("salaatti", "lammin"))
     assert values(df.select(*[parts[k] for k in ("line", "side", "kind", "position")])) == [
         ("koti2", "vasen", "salaatti", 3), ("vege2", None, "lammin", 6), ("a", None, None, None), ("solo", None, None, None), ("k", "v", None, None), (None, None, None, None)]
 
