@@ -160,6 +160,7 @@ def link_embeddings(vectors: DataFrame, cosine: float = COSINE, *, vec_id: str =
     counts = found.filter("counts").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("others"))
     named = nodes.select("key", "least", "many").join(groups.withColumnRenamed("id", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")).join(counts, "key", "left")
     named = scratch.keep(named, "named")
+    scratch.drop_others("named")
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id", (F.coalesce("others", F.lit(0)) + F.col("many") - 1).alias("n_links"))
     out = rows.select("vec_id", "key").join(named, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))

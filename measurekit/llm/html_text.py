@@ -32,6 +32,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ASIDE = frozenset("nav footer aside form menu dialog search".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 ASIDE_NAME = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsbygoogle|banner|sponsor|sponsored|promo|promoted|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|sidebar|side|rail|widget|widgets|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|pagination|pager|footer|header|masthead|topbar|toolbar|comment|comments|commentlist|disqus|respond|replies|reply|related|recommended|share|sharing|social|tags|skip|copyright|disclaimer)(?:$|[\s_-]|\d)", re.I)
+COMMENT_NAME = re.compile(r"(?:^|[\s_-])(?:comment|reply)(?:$|[\s_-]|\d)", re.I)
 TITLE_NAME = re.compile(r"(?:article|content|entry|page|post|story)[_-]header", re.I)
 
 TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)""", re.S)
@@ -49,7 +50,7 @@ def _is_aside(tag: str, attrs: str, in_article: bool) -> bool:
         name, value = name.lower(), a or b or c
         if name == "role" and value.lower() in ASIDE_ROLES or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and ASIDE_NAME.search(TITLE_NAME.sub("", value)):
+        if name in ("class", "id") and tag not in ("body", "html", "main") and (COMMENT_NAME if tag == "article" else ASIDE_NAME).search(TITLE_NAME.sub("", value)):
             return True
     return re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs, re.I) is not None
 
@@ -119,7 +120,8 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             continue
         if attrs.rstrip().endswith("/") and name in ("svg", "path", "use"):
             continue
-        entry = name, _is_aside(name, attrs, article > 0), name in SKIPPED, name in ("article", "main")
+        beside = _is_aside(name, attrs, article > 0)
+        entry = name, beside, name in SKIPPED, name in ("article", "main") and not beside and not aside and not skipped
         if name in ("article", "main") or aside or skipped or entry[1] or entry[2] or name in BLOCKS or name in ("header",):
             stack.append(entry)
             aside, skipped, article = aside + entry[1], skipped + entry[2], article + entry[3]

@@ -211,6 +211,7 @@ def train(labelled: DataFrame) -> Model:
         probs.append(below.select(F.lit(k).alias("order"), "lang", "gram", "p"))
         weights.append(ctx.select(F.lit(k).alias("order"), "lang", F.col("ctx").alias("gram"), "w"))
     p, w = (_folded(reduce(DataFrame.unionByName, tables), "gram", value).toArrow() for tables, value in ((probs, "p"), (weights, "w")))
+    scratch.drop_others()
     return _assemble(p, w)
 
 

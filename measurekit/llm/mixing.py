@@ -89,7 +89,9 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: in
     cuts = ends.select("key", "bucket").join(cuts, "key", "left").select("key", F.coalesce("in_bucket", "bucket").alias("cut"))
     # the rest may be more than all, by rounding only: then nothing is cut
     sources = filled.join(cuts, "key", "left").withColumn("cut", F.coalesce("cut", F.when(F.col("rest") > 0, F.lit("~")).otherwise(F.lit(""))))
-    return sizes, scratch.keep(sources.drop("rest"), "plan")
+    plan = scratch.keep(sources.drop("rest"), "plan")
+    scratch.drop("sources")
+    return sizes, plan
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:

@@ -45,10 +45,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.parquet(path)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -56,6 +58,11 @@ class Scratch:
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.names.discard(name)
+
+    def drop_others(self, *kept: str) -> None:
+        """Delete all tables but those the result still reads."""
+        self.drop(*sorted(self.names - set(kept)))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -142,3 +149,4 @@ def linked_groups(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
         hook2 = hook.join(hook.selectExpr("root AS up", "up AS up2"), "up", "left").selectExpr("root", "coalesce(up2, up) AS up")
         moved = done.join(hook2, "root", "left").selectExpr("id", "coalesce(up, root) AS root")
         done, k = scratch.keep(moved, f"{name}-{k + 1}"), k + 1
+        scratch.drop(f"{name}-{k - 1}")

@@ -267,7 +267,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch) -> DataFrame:
     large = large.filter("n = 1").join(twice, ["name", "back", "window"]).select("doc", "at")
     spans = whole.union(small).union(large).groupBy("doc").agg(F.collect_set("at").alias("spans"))
     spans = scratch.keep(spans, "spans")
-    scratch.drop("again", "kinds", "around", "windows")
+    scratch.drop_others("spans")
     return spans
 
 

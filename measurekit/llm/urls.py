@@ -94,6 +94,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     scores = spelt.select("s", "gram").join(table, "gram").groupBy("s").agg(F.round(F.avg("ratio"), 6).alias("score"))
     scores = scratch.keep(urls.select("s", "allowed", "blocked", "counted").join(scores, "s"), "scores")
     limit = threshold(scores)
+    scratch.drop_others("scores")
     names = fresh(pages, "host", "path", "rule", "verdict", "score", "spelling")
     rows = pages.withColumn(names[0], host(F.col(url))).withColumn(names[1], path(F.col(url))).withColumn(names[5], spelled(F.col(names[0]), F.col(names[1])))
     rows = rows.join(scores.select(F.col("s").alias(names[5]), F.col("score").alias(names[4])), names[5])

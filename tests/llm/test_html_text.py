@@ -36,6 +36,12 @@ def test_adverts_and_comments_inside_the_article():
     assert main_text(page(f"<article>{body}</article>")) == "\n\n".join(TEXT)
 
 
+def test_comments_that_are_articles_are_no_article():
+    comments = "".join(f'<article class="comment"><p>Comment number {k} of a reader who liked the story very much and says so at length.</p></article>' for k in range(5))
+    assert main_text(page(f"<article>{BODY}</article>{comments}")) == "\n\n".join(TEXT)
+    assert main_text(page(f'<div class="text">{BODY}</div>{comments}')) == "\n\n".join(TEXT)
+
+
 def test_broken_markup():
     assert main_text("<p>a<p>b<li>c") == "a\n\nb\n\nc"
     assert main_text("x < y and <b>z") == "x < y and z"
