@@ -45,11 +45,19 @@ def other_files_median(disposed: DataFrame, cfg: Config) -> DataFrame:
     return files.agg(S.exact_median(c("h")).alias("others_median_hour"))
 
 
+def shared_offset(cfg: Config) -> int:
+    """The offset all corrected files share: what the evidence shifts against. Several offsets or none stop the job."""
+    offsets = {o.offset_hours for o in cfg.overrides}
+    if len(offsets) != 1:
+        raise ValueError(f"the time-zone evidence needs corrections of one offset, found {sorted(offsets)}")
+    return offsets.pop()
+
+
 def session_effects(ws: DataFrame, context: DataFrame, cfg: Config, temperature: str, rain: str) -> DataFrame:
     """Per offset: sessions of corrected files, those leaving service hours, those whose context hour changes, the mean change of
     one context value, and the share of hours in which another is positive."""
     c = F.col
-    base_offset = cfg.overrides[0].offset_hours
+    base_offset = shared_offset(cfg)
     mine = ws.where(c("core_ready") & (c("population") == cfg.primary) & c("override_first_wall").isNotNull())
     structs = [F.struct(F.lit(h).alias("offset_hours"), c(f"tz_out_{h}").alias("violates"),
                         (c("override_first_wall") + T.hours(h)).alias("local")) for h in OFFSETS]
@@ -79,7 +87,7 @@ def timezone_evidence(disposed: DataFrame, ws: DataFrame, context: DataFrame, cf
               .join(F.broadcast(others), "one", "left"))      # one row
     m, o = c("median_first_hour"), c("others_median_hour")
     return joined.select(
-        "offset_hours", (c("offset_hours") == cfg.overrides[0].offset_hours).alias("is_baseline"), "sessions", "violators",
+        "offset_hours", (c("offset_hours") == shared_offset(cfg)).alias("is_baseline"), "sessions", "violators",
         F.round(m, 2).alias("median_first_hour"), F.round(o, 2).alias("others_median_hour"), F.round(F.abs(m - o), 2).alias("gap_h"),
         S.inside_half_open(m, low, high).alias("inside_band"), "changed_hours",
         F.round("mean_abs_change", 3).alias("mean_abs_change"), F.round("rainy_share_pct", 2).alias("rainy_share_pct"))

@@ -1115,7 +1115,7 @@ def _(m):
 def _(m):
     results = scenario_results(m)
     return K.scenario_checks(results, SC.metric_deltas(results, REGISTRY), SC.baseline_check(results, metrics_of(m, SC.METRIC_ORDER)), working(m),
-                             evidence(m), REGISTRY, CFG).select(*CHECK_FIELDS)
+                             evidence(m), K.shifted_files(m.staged), REGISTRY, CFG).select(*CHECK_FIELDS)
 
 
 @query("check_GRN")

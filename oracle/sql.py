@@ -521,9 +521,9 @@ add("check_MC", checks([
 _N = len(SCEN)
 _SC = lambda s: bars(*[f"(SELECT CAST({m} AS VARCHAR) FROM scen WHERE scenario_id = '{s}')" for m in ("m1", "m2", "m3")])
 add("check_SC", checks([
-    ("SC01", f"'{_N} | {_N}'", bars(cnt("scen"), one("count(DISTINCT scenario_id)", "scen"))), ("SC02", "0", "0"), ("SC05", "1", "1"), ("SC06", _SC("S00"), _SC("TZ3")),
+    ("SC01", f"'{_N} | {_N}'", bars(cnt("scen"), one("count(DISTINCT scenario_id)", "scen"))), ("SC02", "0", "0"), ("SC05", "1", one("count(DISTINCT source_file)", "stg", "tz_offset_hours <> 0")), ("SC06", _SC("S00"), _SC("TZ3")),
     ("SC07", bars(cnt("ws", "population = 'primary'"), cnt("ws", "population = 'primary'")), bars(one("min(m5_denominator)", "scen"), one("max(m5_denominator)", "scen"))),
-    ("SC08", "0", cnt("ws", "population = 'primary' AND is_quarantined AND core_ready")), ("SC09", "0", cnt("sdelta", "grp = 'guardrail' AND robustness_class <> 'NOT_CLASSIFIED'")), ("SC10", "1", "1"), ("SC11", "0", "0"),
+    ("SC08", "0", cnt("ws", "population = 'primary' AND is_quarantined AND core_ready")), ("SC09", "0", cnt("sdelta", "grp = 'guardrail' AND robustness_class <> 'NOT_CLASSIFIED'")), ("SC10", "1", one("count(DISTINCT tz_offset_hours)", "stg", "tz_offset_hours <> 0")), ("SC11", "0", "0"),
     ("SC13", None, f"'{_N} | {sum(s[7] for s in SCEN)}'")]))
 add("check_GRN", """SELECT 'context' AS table_name, count(*) AS rows, count(DISTINCT obs_utc) AS keys, 0::BIGINT AS duplicated_keys FROM ctx UNION ALL SELECT 'event', count(*), count(DISTINCT event_id), 0 FROM stg
   UNION ALL SELECT 'session', count(*), count(DISTINCT session_key), 0 FROM ses UNION ALL SELECT 'component', count(*), count(DISTINCT (session_key, component)), 0 FROM comp UNION ALL SELECT 'day', count(*), count(DISTINCT (service_date, population)), 0 FROM volume""")
