@@ -340,13 +340,14 @@ add("rule_T09", "SELECT * FROM inv WHERE inversions > 0")
 add("rule_I03", "SELECT event_id, session_id, event_time_raw, scale_id, weight_raw, component_raw FROM (SELECT *, count(*) OVER (PARTITION BY session_id, event_time_raw, scale_id, weight_raw, component_raw) AS n FROM stg) WHERE n > 1")
 add("rule_I05", "SELECT tray_id, sessions, overlapping_pairs FROM tray_pairs WHERE overlapping_pairs > 0")
 add("rule_X02", f"SELECT session_key, {t('context_hour_utc')} FROM factx WHERE context_join_status = 'UNMATCHED_NO_OBSERVATION'")
-add("rule_C04", "SELECT count(*) AS events_in, count(*) FILTER (disposition IN ('MODELLABLE', 'DUPLICATE_EXCLUDED', 'QUARANTINED')) AS partition, 0::BIGINT AS lost FROM disp")
+add("rule_C04", """SELECT count(*) AS events_in, count(*) FILTER (disposition IN ('MODELLABLE', 'DUPLICATE_EXCLUDED', 'QUARANTINED')) AS partition,
+  count(*) FILTER (coalesce(disposition, '') NOT IN ('MODELLABLE', 'DUPLICATE_EXCLUDED', 'QUARANTINED')) AS lost FROM disp""")
 add("set1_all_findings", f"SELECT {F_COLS} FROM fin")
 add("set2_duplicate_finding_ids", "SELECT count(*) AS findings, count(DISTINCT finding_id) AS ids FROM fin")
 step("qkeys", "SELECT DISTINCT session_key FROM fin WHERE quarantine AND session_key <> ''")
 add("set3_key_sets", """SELECT side, count(*) AS n FROM (SELECT 'findings only' AS side, session_key FROM (SELECT session_key FROM qkeys EXCEPT SELECT session_key FROM ses WHERE is_quarantined)
   UNION ALL SELECT 'flags only', session_key FROM (SELECT session_key FROM ses WHERE is_quarantined EXCEPT SELECT session_key FROM qkeys)) GROUP BY ALL""")
-add("set4_disjoint_populations", "SELECT 0::BIGINT AS shared, count(*) AS all_sessions, count(*) FILTER (population = 'primary') AS eligible, count(*) FILTER (population = 'secondary') AS other FROM facts")
+add("set4_disjoint_populations", "SELECT (SELECT count(*) FROM (SELECT session_key FROM facts WHERE population = 'primary' INTERSECT SELECT session_key FROM facts WHERE population = 'secondary')) AS shared, count(*) AS all_sessions, count(*) FILTER (population = 'primary') AS eligible, count(*) FILTER (population = 'secondary') AS other FROM facts")
 add("set5_added_members", "SELECT session_key, weight FROM scen_rows WHERE scenario_id = 'S01'")
 
 # ---- builders -----------------------------------------------------------------------------------------------------------------------
@@ -479,25 +480,34 @@ add("check_F", checks([
 add("check_N", checks([("N01", "0", cnt("ses", "n_raw_components <> n_components")), ("N02", None, bars(one("count(DISTINCT component_raw)", "stg"), one("count(DISTINCT component)", "stg")))]))
 add("check_Z", checks([
     ("Z01", cnt("cells", f"source_file = '{FILE3H}'"), cnt("stg", f"tz_offset_hours <> 0 AND source_file = '{FILE3H}'")), ("Z02", "0", cnt("stg", f"tz_offset_hours <> 0 AND source_file <> '{FILE3H}'")),
-    ("Z03", "0", cnt("find_files", "rule_id = 'T10'")), ("Z04", None, tally("stg", "tz_handling")), ("Z05", "0", "0"), ("Z06", None, "0")]))
+    ("Z03", "0", cnt("find_files", "rule_id = 'T10'")), ("Z04", None, tally("stg", "tz_handling")), ("Z05", "0", cnt("stg", f"{local('event_utc')} <> event_local OR {local('ident_utc')} <> ident_local")), ("Z06", None, "0")]))
 add("check_D", checks([
     ("D01", f"{cnt('stg')} - (SELECT count(*) FROM (SELECT DISTINCT source_file, row_sha256 FROM stg))", cnt("fl", "is_repeat")), ("D02", None, cnt("sesx", "b05")),
     ("D03", None, bars(one("groups", "natural_dups"), one("within_population", "natural_dups"), one("across_populations", "natural_dups")))]))
 add("check_K", checks([
     ("K01", cnt("obs"), cnt("obs")), ("K02", cnt("want_hours"), one("count(DISTINCT obs_utc)", "obs")), ("K03", "0", cnt("obs", "value_status = 'UNPARSEABLE'")), ("K04", None, tally("obs", "value_status")),
-    ("K05", None, "'100; click,error,purchase,signup,view'")], ("K02",)))
+    ("K05", None, one("'100; ' || string_agg(DISTINCT parameter, ',' ORDER BY parameter)", "obs"))], ("K02",)))
 add("check_V", checks([
     ("V01", "'Friday=low;Monday=high;Thursday=low;Tuesday=high;Wednesday=high'", "(SELECT string_agg(weekday || '=' || regime, ';' ORDER BY weekday || '=' || regime) FROM regimes)"),
     ("V02", None, bars(cnt("vdays", "population = 'primary'"), cnt("vdays", "population = 'primary' AND low_volume_day"), cnt("vdays", "population = 'primary' AND volume_irregularity")))]))
 P_ALL, P_PRIM = cnt("stg"), cnt("stg", "population = 'primary'")
+_REBUILT = """(SELECT count(*) FROM (SELECT session_key, sum(weight_g) FILTER (disposition = 'MODELLABLE') AS w, count(*) FILTER (disposition = 'MODELLABLE') AS n,
+    min(event_local) FILTER (NOT is_repeat) AS lo, max(event_local) FILTER (NOT is_repeat) AS hi FROM disp GROUP BY ALL) x JOIN facts f USING (session_key) WHERE %s)"""
+_IDS_OFF = "(SELECT count(*) FROM ((SELECT event_id FROM stg EXCEPT SELECT event_id FROM disp) UNION ALL (SELECT event_id FROM disp EXCEPT SELECT event_id FROM stg)))"
+_KEYS_OFF = "(SELECT count(*) FROM (SELECT session_key, bool_or(q) AS q, bool_or(l) AS l FROM (SELECT session_key, is_quarantined AS q, false AS l FROM facts UNION ALL SELECT session_key, false, true FROM qkeys) GROUP BY ALL) WHERE q <> l)"
+_EVENTS_OFF = "(SELECT count(*) FROM disp WHERE (disposition = 'QUARANTINED') <> (session_key IN (SELECT session_key FROM qkeys)))"
+_DAYS_OFF = """(SELECT count(*) FROM (SELECT service_date, sessions, low_volume_day, volume_irregularity FROM volume WHERE population = 'primary') a
+    FULL JOIN (SELECT service_date, sessions, low_volume_day, volume_irregularity FROM vdays WHERE population = 'primary') b ON a.service_date = b.service_date
+    WHERE a.sessions IS DISTINCT FROM b.sessions OR a.low_volume_day IS DISTINCT FROM b.low_volume_day OR a.volume_irregularity IS DISTINCT FROM b.volume_irregularity)"""
 add("check_M", checks([
-    ("M01", P_ALL, cnt("disp")), ("M02", "0", "0"), ("M03", bars(P_PRIM, f"({P_ALL} - {P_PRIM})"), bars(cnt("disp", "population = 'primary'"), cnt("disp", "population <> 'primary'"))),
+    ("M01", P_ALL, cnt("disp")), ("M02", "0", _IDS_OFF), ("M03", bars(P_PRIM, f"({P_ALL} - {P_PRIM})"), bars(cnt("disp", "population = 'primary'"), cnt("disp", "population <> 'primary'"))),
     ("M04", bars(DISP("MODELLABLE"), DISP("DUPLICATE_EXCLUDED"), DISP("QUARANTINED")), bars(DISP("MODELLABLE"), DISP("DUPLICATE_EXCLUDED"), DISP("QUARANTINED"))),
     ("M05", bars(cnt("ses"), P_ALL), bars(cnt("facts"), one("CAST(sum(events_staged) AS BIGINT)", "facts"))), ("M06", one("count(DISTINCT session_id)", "stg"), one("count(DISTINCT session_id)", "facts")),
-    ("M07", cnt("ses", "in_both"), cnt("facts", "in_both")), ("M08", "0", "0"), ("M09", "0", "0"), ("M10", "0", "0"), ("M11", None, bars(cnt("facts", "NOT is_quarantined"), cnt("facts", "is_quarantined"))),
-    ("M12", "0", "0"), ("M13", "0", "0"), ("M14", "0", "0"), ("M15", "0", cnt("facts", "distinct_raw_component_count IS DISTINCT FROM distinct_component_count")),
-    ("M16", one("CAST(sum(distinct_component_count) AS BIGINT)", "facts"), cnt("comp")), ("M17", "0", "0"), ("M18", None, tally("stg", "tz_handling")), ("M19", None, bars(cnt("facts", "core_ready"), cnt("facts", "population = 'primary'"))),
-    ("M20", "0", cnt("facts", "core_ready AND (is_quarantined OR error_rule_ids <> '')")), ("M21", "0", "0"), ("M22", None, cnt("ctx")), ("M23", cnt("ctx"), one("count(DISTINCT obs_utc)", "ctx")),
+    ("M07", cnt("ses", "in_both"), cnt("facts", "in_both")), ("M08", "0", _KEYS_OFF), ("M09", "0", _EVENTS_OFF), ("M10", "0", _REBUILT % "f.selected_weight_g IS NOT NULL AND x.w <> f.selected_weight_g"), ("M11", None, bars(cnt("facts", "NOT is_quarantined"), cnt("facts", "is_quarantined"))),
+    ("M12", "0", _REBUILT % "NOT f.is_quarantined AND date_diff('second', x.lo, x.hi) <> f.span_s"), ("M13", "0", _REBUILT % "NOT f.is_quarantined AND x.n <> f.modellable_event_count"),
+    ("M14", "0", _REBUILT % "x.lo <> f.first_local"), ("M15", "0", cnt("facts", "distinct_raw_component_count IS DISTINCT FROM distinct_component_count")),
+    ("M16", one("CAST(sum(distinct_component_count) AS BIGINT)", "facts"), cnt("comp")), ("M17", "0", cnt("disp", f"tz_handling <> 'SOURCE_LOCAL_ASSUMED' AND source_file <> '{FILE3H}'")), ("M18", None, tally("stg", "tz_handling")), ("M19", None, bars(cnt("facts", "core_ready"), cnt("facts", "population = 'primary'"))),
+    ("M20", "0", cnt("facts", "core_ready AND (is_quarantined OR error_rule_ids <> '')")), ("M21", "0", _DAYS_OFF), ("M22", None, cnt("ctx")), ("M23", cnt("ctx"), one("count(DISTINCT obs_utc)", "ctx")),
     ("M24", None, tally("factx", "context_join_status")), ("M25", None, bars(cnt("factx", "core_ready AND context_matched"), cnt("factx", "core_ready"))),
     ("M26", None, bars(cnt("factx", "core_ready AND purchase_null"), cnt("factx", "core_ready AND signup_null")))]))
 _D = "(SELECT session_key FROM facts WHERE core_ready)"
