@@ -134,15 +134,22 @@ def population_profile(sessions: DataFrame) -> DataFrame:
 
 
 def drift_by_file(flagged: DataFrame) -> DataFrame:
-    """Per file: time shapes seen, first and last time as written, sessions, repeats, shape of the file name."""
+    """Per file: number of time shapes, first and last time as written, sessions, repeats, shape of the file name. The shapes
+    themselves are rows of `time_shapes`."""
     c = F.col
     wall = T.raw_wall(c("event_local"), c("tz_offset_hours"))
     return flagged.groupBy("source_file").agg(
-        S.joined_set(X.digit_mask(c("event_time_raw")), "|").alias("event_shapes"), S.joined_set(X.digit_mask(c("ident_time_raw")), "|").alias("ident_shapes"),
+        F.count_distinct(X.digit_mask(c("event_time_raw"))).alias("event_shapes"), F.count_distinct(X.digit_mask(c("ident_time_raw"))).alias("ident_shapes"),
         T.iso_text(F.min(wall)).alias("first_event"), T.iso_text(F.max(wall)).alias("last_event"), F.count_distinct("session_id").alias("sessions"),
         F.count_if("is_repeat").alias("repeats")).withColumn("name_shape", X.digit_mask(c("source_file")))
 
 
+def time_shapes(flagged: DataFrame) -> DataFrame:
+    """(source_file, column, shape, n): how often each shape of a time text occurs in a file."""
+    both = F.array(*[F.struct(F.lit(name).alias("column"), X.digit_mask(F.col(name)).alias("shape")) for name in ("event_time_raw", "ident_time_raw")])
+    return flagged.select("source_file", F.inline(both)).groupBy("source_file", "column", "shape").agg(F.count("*").alias("n"))
+
+
 def robust_day_z(days: DataFrame, cutoff: dt.date, cfg: Config) -> DataFrame:
     """Days from `cutoff` on against the weekday medians before it: ratio, and robust z of the ratio by median and MAD."""
     c = F.col
@@ -204,7 +211,8 @@ def name_variants(staged: DataFrame) -> DataFrame:
     """Normal forms with more than one trimmed spelling."""
     spelling = X.strip(F.col("component_raw"))
     forms = staged.where(F.col("component").isNotNull()).select("component", spelling.alias("spelling")).distinct()
-    return forms.groupBy("component").agg(F.count("*").alias("variants"), F.array_join(F.array_sort(F.collect_list("spelling")), "|").alias("spellings")).where("variants > 1")
+    several = forms.groupBy("component").agg(F.count("*").alias("variants")).where("variants > 1")
+    return forms.join(several, "component").select("component", "spelling", "variants")
 
 
 def name_stability(staged: DataFrame, cfg: Config) -> DataFrame:

@@ -561,6 +561,11 @@ def _(m):
     return PR.drift_by_file(m.flagged)
 
 
+@query("agg27_time_shapes")
+def _(m):
+    return PR.time_shapes(m.flagged)
+
+
 @query("agg28_robust_day_z")
 def _(m):
     z = PR.robust_day_z(RV.service_days(m.session_flags, CFG), BASELINE_CUTOFF, CFG)

@@ -257,9 +257,11 @@ add("agg26_population_profile", f"""SELECT population, count(*) AS sessions, CAS
   {r6(q('weight_counted', 0.1), 'weight_p10')}, {r6(q('weight_counted', 0.5), 'weight_median')}, {r6(q('weight_counted', 0.9), 'weight_p90')}, max(weight_counted) AS weight_max,
   {r6(pct('count(*) FILTER (weight_counted < 50)', 'count(*)'), 'under_50g_pct')}, {r6(q('n_components', 0.5), 'components_median')}, {r6(q('span_s', 0.5), 'span_median')}, {r6(q('span_s', 0.99), 'span_p99')},
   count(DISTINCT CAST(first_local AS DATE)) AS service_days, count(DISTINCT CASE WHEN min_tray = max_tray THEN min_tray END) AS trays FROM ses WHERE NOT in_both GROUP BY population""")
-add("agg27_drift_by_file", f"""SELECT source_file, string_agg(DISTINCT regexp_replace(event_time_raw, '[0-9]', '9', 'g'), '|' ORDER BY regexp_replace(event_time_raw, '[0-9]', '9', 'g')) AS event_shapes,
-  string_agg(DISTINCT regexp_replace(ident_time_raw, '[0-9]', '9', 'g'), '|' ORDER BY regexp_replace(ident_time_raw, '[0-9]', '9', 'g')) AS ident_shapes, {t('min(event_wall)', 'first_event')}, {t('max(event_wall)', 'last_event')},
+_SHAPE = "regexp_replace(%s, '[0-9]', '9', 'g')"
+add("agg27_drift_by_file", f"""SELECT source_file, count(DISTINCT {_SHAPE % 'event_time_raw'}) AS event_shapes, count(DISTINCT {_SHAPE % 'ident_time_raw'}) AS ident_shapes,
+  {t('min(event_wall)', 'first_event')}, {t('max(event_wall)', 'last_event')},
   count(DISTINCT session_id) AS sessions, count(*) FILTER (is_repeat) AS repeats, regexp_replace(source_file, '[0-9]', '9', 'g') AS name_shape FROM fl GROUP BY source_file""")
+add("agg27_time_shapes", " UNION ALL ".join(f"SELECT source_file, '{c}' AS \"column\", {_SHAPE % c} AS shape, count(*) AS n FROM fl GROUP BY ALL" for c in ("event_time_raw", "ident_time_raw")))
 step("wk", "SELECT weekday, quantile_cont(sessions, 0.5) AS wm FROM vdays WHERE population = 'primary' AND service_date < DATE '2024-01-22' GROUP BY ALL")
 step("wbase", "SELECT v.sessions / w.wm AS r FROM vdays v JOIN wk w USING (weekday) WHERE v.population = 'primary' AND v.service_date < DATE '2024-01-22'")
 add("agg28_robust_day_z", f"""SELECT CAST(v.service_date AS VARCHAR) AS day, v.weekday, v.sessions, {r6('w.wm', 'weekday_median')}, {r6('v.sessions / w.wm', 'ratio')}, {r6('(v.sessions / w.wm - m.m) / (1.4826 * d.d)', 'robust_z')}
@@ -277,7 +279,8 @@ add("agg31_spearman", f"""SELECT {r6('corr(ra, rb)', 'spearman')}, count(*) AS n
 step("nstab", "SELECT component, count(DISTINCT scale_id) AS s, count(DISTINCT regexp_replace(scale_id, '-(vasen|oikea)-', '-X-')) AS w FROM stg WHERE component IS NOT NULL GROUP BY ALL")
 add("agg32_name_stability", """SELECT (SELECT count(*) FROM nstab) AS names, (SELECT count(*) FROM nstab WHERE s > 1) AS on_several_scales, (SELECT count(*) FROM nstab WHERE w > 1) AS on_several_twins, count(*) AS cells, count(*) FILTER (n > 1) AS cells_with_several
   FROM (SELECT count(DISTINCT component) AS n FROM stg WHERE component IS NOT NULL AND event_local IS NOT NULL GROUP BY scale_id, CAST(event_local AS DATE), population)""")
-add("agg32_name_variants", "SELECT component, count(DISTINCT trim(component_raw)) AS variants, string_agg(DISTINCT trim(component_raw), '|' ORDER BY trim(component_raw)) AS spellings FROM stg WHERE component IS NOT NULL GROUP BY ALL HAVING count(DISTINCT trim(component_raw)) > 1")
+step("forms", "SELECT DISTINCT component, trim(component_raw) AS spelling FROM stg WHERE component IS NOT NULL")
+add("agg32_name_variants", "SELECT f.component, f.spelling, v.variants FROM forms f JOIN (SELECT component, count(*) AS variants FROM forms GROUP BY ALL HAVING count(*) > 1) v USING (component)")
 add("agg33_quantile_profile", f"SELECT population, count(weight_g) AS n_values, {r6('avg(weight_g)', 'mean')}, min(weight_g) AS \"min\", max(weight_g) AS \"max\", " + ", ".join(r6(q("weight_g", p), f"p{p * 100:g}".replace(".", "_")) for p in (0.5, 0.9, 0.95, 0.99, 0.995, 0.999)) + " FROM stg GROUP BY population")
 step("slots", "SELECT date_trunc('hour', event_utc) + to_minutes((minute(event_utc) // 10) * 10) AS ts10, sum(weight_g) AS amount FROM stg WHERE event_utc IS NOT NULL AND weight_g IS NOT NULL GROUP BY ALL")
 add("agg34_convention", f"""SELECT count(*) AS hours, {r6('avg(abs(h.total - e.s))', 'mae_ending')}, {r6('avg(abs(h.total - b.s))', 'mae_starting')} FROM
