@@ -33,6 +33,8 @@ REJECT_SD = 8.0
 REJECT_SHORT = 6.0
 TEMPERATURES = [2.0 ** (k / 2) for k in range(-4, 17)]
 FOLDS = 5
+# Characters of one text looked at at a time; longer texts are read whole, piece by piece.
+PIECE = 1 << 21
 
 _LETTER: list[np.ndarray] = []
 
@@ -77,6 +79,10 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return gram[at], n, has_letter
 
 
+def pieces(text: str | None) -> list[str | None]:
+    return [text] if not text or len(text) <= PIECE else [text[s:s + PIECE] for s in range(0, len(text), PIECE)]
+
+
 def slots(gram: np.ndarray) -> np.ndarray:
     return (mix64(gram) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
@@ -101,13 +107,16 @@ def count_grams(docs: DataFrame) -> DataFrame:
             held.clear()
 
         for batch in by_bytes(batches, "text", 1 << 21):
-            gram, n, _ = grams(batch.column("text").to_pylist())
-            names, which = np.unique(np.array(batch.column("lang").to_pylist(), object).astype(str), return_inverse=True)
-            of = np.repeat(which, n)
-            for k, lang in enumerate(names.tolist()):
-                keys, count = np.unique(gram[of == k], return_counts=True)
-                held.setdefault(lang, []).append((keys, count))
-                rows += len(keys)
+            texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
+            rounds = [(texts, langs)] if len(texts) > 1 else [([p], langs) for p in pieces(texts[0])]
+            for part, of_part in rounds:
+                gram, n, _ = grams(part)
+                names, which = np.unique(np.array(of_part, object).astype(str), return_inverse=True)
+                of = np.repeat(which, n)
+                for k, lang in enumerate(names.tolist()):
+                    keys, count = np.unique(gram[of == k], return_counts=True)
+                    held.setdefault(lang, []).append((keys, count))
+                    rows += len(keys)
             if rows > 2_000_000:
                 for lang in held:
                     held[lang] = [merged(lang)]
@@ -159,6 +168,10 @@ class Model:
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cross-entropy per character of each text by language, whether the text has a letter, and its number of characters."""
+        if len(texts) == 1 and len(parts := pieces(texts[0])) > 1:
+            each = [self.entropies([p]) for p in parts]
+            n = np.concatenate([x[2] for x in each])
+            return (np.concatenate([x[0] for x in each]) * n[:, None]).sum(0, keepdims=True) / max(n.sum(), 1), np.array([any(x[1][0] for x in each)]), n.sum(keepdims=True)
         gram, n, has_letter = grams(texts)
         out = np.zeros((len(texts), len(self.langs)))
         some = np.flatnonzero(n)

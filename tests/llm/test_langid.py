@@ -94,6 +94,14 @@ def test_batches_do_not_matter(model):
         assert np.allclose(model.entropies([t])[0][0], together[k])
 
 
+def test_pieces_of_a_long_text(model, monkeypatch):
+    text = " ".join(t for _, t, lang in corpus(6, 60) if lang == "aa")
+    whole = model.entropies([text])
+    monkeypatch.setattr(langid, "PIECE", 500)
+    cut = model.entropies([text])
+    assert cut[2].sum() >= whole[2][0] - 20 and np.allclose(cut[0], whole[0], rtol=0.05) and cut[0].argmin() == whole[0].argmin()
+
+
 def test_nothing_to_learn_and_other_columns(spark):
     docs = tune(spark).createDataFrame([(1, "text", None, 4.0), (None, None, "aa", None), (2, "more", None, 1.0)], SCHEMA + ", score double")
     out = langid.identify(docs, langid.learn(docs))
