@@ -12,7 +12,6 @@ from measurekit.functions import stats as S
 from measurekit.functions import text as X
 from measurekit.functions import times as T
 from measurekit.operators import checks as K
-from measurekit.operators import facts as FA
 from measurekit.operators import findings as FI
 from measurekit.operators import metrics as M
 from measurekit.operators import profiles as P
