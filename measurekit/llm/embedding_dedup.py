@@ -169,3 +169,19 @@ def link_embeddings(vectors: DataFrame, cosine: float = COSINE, *, vec_id: str =
 
 def op5_embedding_neardup(spark, sf_dir: str) -> DataFrame:
     return link_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+# All pairs of one label, for small tables with unique ids.
+SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (
+  SELECT vec_id AS id, vec_id AS other FROM embeddings
+  UNION SELECT r.id, l.y FROM reach r JOIN links l ON l.x = r.other)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.x = e.vec_id) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY id) c ON c.id = e.vec_id
+"""

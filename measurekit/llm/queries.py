@@ -24,6 +24,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op3_source_mixing": mixing.SQL,
+    "op5_embedding_neardup": embedding_dedup.SQL,
 }
 
 
