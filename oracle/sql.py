@@ -336,9 +336,13 @@ add("ord5_disagreement_examples", "SELECT scale_id, CAST(day AS VARCHAR) AS day,
 
 # ---- findings -----------------------------------------------------------------------------------------------------------------------
 F_COLS = "finding_id, rule_id, severity, handling, entity_type, entity_id, session_key, event_id, population"
-for rule in ("S03", "S04", "S05", "S06", "S07", "S08", "B01", "B02", "B03", "B04", "B05", "B07", "T01", "T02", "T03", "T04", "T05", "T06", "T07", "T08", "T10",
-             "I01", "I02", "I04", "I06", "I07", "X01", "X03", "X04", "X07", "X08", "C01", "C02a", "C02b", "C03"):
+for rule in ("S03", "S04", "S05", "S06", "S07", "S08", "B01", "B02", "B03", "B04", "B05", "B07", "T01", "T02", "T03", "T04", "T05", "T06", "T07", "T08",
+             "I01", "I02", "I04", "I06", "I07", "X01", "X03", "X07", "X08", "C01", "C02a", "C02b", "C03"):
     add(f"rule_{rule}", f"SELECT {F_COLS} FROM fin WHERE rule_id = '{rule}'")
+add("rule_T10", f"""SELECT {finding_id("'T10'", "'file'", "source_file")} AS finding_id, 'T10' AS rule_id, 'ERROR' AS severity, 'BLOCK' AS handling, 'file' AS entity_type, source_file AS entity_id,
+  '' AS session_key, '' AS event_id, '' AS population FROM file_rows WHERE source_file = '{FILE3H}' AND (d0 < DATE '2024-01-08' OR d1 > DATE '2024-01-11')""")
+add("rule_X04", f"""SELECT {finding_id("'X04'", "'event'", "event_id || '|weighing_event_time'")} AS finding_id, 'X04' AS rule_id, 'ERROR' AS severity, 'BLOCK' AS handling, 'event' AS entity_type,
+  event_id || '|weighing_event_time' AS entity_id, session_key, event_id, population FROM fl WHERE event_utc IS NOT NULL AND source_row_number % 617 = 0""")
 add("rule_T09", "SELECT * FROM inv WHERE inversions > 0")
 add("rule_I03", "SELECT event_id, session_id, event_time_raw, scale_id, weight_raw, component_raw FROM (SELECT *, count(*) OVER (PARTITION BY session_id, event_time_raw, scale_id, weight_raw, component_raw) AS n FROM stg) WHERE n > 1")
 add("rule_I05", "SELECT tray_id, sessions, overlapping_pairs FROM tray_pairs WHERE overlapping_pairs > 0")
