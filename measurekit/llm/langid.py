@@ -136,19 +136,24 @@ class Model:
     def __init__(self, langs: list[str], probs: dict[int, tuple[np.ndarray, np.ndarray]], weights: dict[int, tuple[np.ndarray, np.ndarray]], floor: float):
         self.langs, self.probs, self.weights, self.floor = langs, probs, weights, floor
         self.temperature, self.usual = 1.0, np.full((len(langs), 2), np.inf)
-        self.index: dict[tuple[str, int], np.ndarray] = {}
+        self.jump: np.ndarray | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"index": {}}
+        return self.__dict__ | {"jump": None}
 
     def _find(self, kind: str, order: int, gram: np.ndarray) -> np.ndarray:
-        """Rows of the slots of grams, -1 where a slot is empty. A jump table over all slots is made on first use."""
-        if (kind, order) not in self.index:
-            jump = np.full(1 << SLOT_BITS, -1, np.int32)
-            held = (self.probs if kind == "p" else self.weights)[order][0]
-            jump[held] = np.arange(len(held))
-            self.index[kind, order] = jump
-        return self.index[kind, order][slots(gram)]
+        """Rows of the slots of grams, -1 where a slot is empty. The longest grams, which every character asks for, are found by a
+        table over all slots, made on first use; all others, which few ask for, by search in the sorted slots."""
+        held, slot = (self.probs if kind == "p" else self.weights)[order][0], slots(gram)
+        if kind == "p" and order == ORDER:
+            if self.jump is None:
+                self.jump = np.full(1 << SLOT_BITS, -1, np.int32)
+                self.jump[held] = np.arange(len(held))
+            return self.jump[slot]
+        if not len(held):
+            return np.full(len(slot), -1)
+        row = np.minimum(np.searchsorted(held, slot), len(held) - 1)
+        return np.where(held[row] == slot, row, -1)
 
     def log_probs(self, gram: np.ndarray, order: int = ORDER) -> np.ndarray:
         """A row of log probabilities by language for each gram of the order."""
