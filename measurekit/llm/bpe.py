@@ -41,7 +41,7 @@ LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 # States and chunks kept in a worker; beyond that the memory is emptied, which costs time and changes no result.
 KEPT_STATES = 1 << 17
-KEPT_CHUNKS = 1 << 17
+KEPT_CHUNKS = 1 << 18
 
 
 class MergeAutomaton:
