@@ -34,7 +34,7 @@ REJECT_SHORT = 6.0
 TEMPERATURES = [2.0 ** (k / 2) for k in range(-4, 17)]
 FOLDS = 5
 # Characters of one text looked at at a time; longer texts are read whole, piece by piece.
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 _LETTER: list[np.ndarray] = []
 
@@ -106,7 +106,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys[part])), pa.array(keys[part].view(np.int64)), pa.array(n[part])], ["lang", "gram", "n"])
             held.clear()
 
-        for batch in by_bytes(batches, "text", 1 << 21):
+        for batch in by_bytes(batches, "text", 1 << 19):
             texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
             rounds = [(texts, langs)] if len(texts) > 1 else [([p], langs) for p in pieces(texts[0])]
             for part, of_part in rounds:
@@ -276,7 +276,7 @@ def calibrate(model: Model, labelled: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, sums = shared.value, {}
-        for batch in by_bytes(batches, "text", 1 << 20):
+        for batch in by_bytes(batches, "text"):
             entropy, known, _ = model.entropies(batch.column("text").to_pylist())
             names = batch.column("lang").to_pylist()
             rows = [i for i, (k, name) in enumerate(zip(known, names)) if k and name in langs]
@@ -320,7 +320,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in by_bytes(batches, batch_column, 1 << 20):
+        for batch in by_bytes(batches, batch_column):
             lang, score, rejected = model.judge(batch.column(column).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*batch.schema.names, *names])
 

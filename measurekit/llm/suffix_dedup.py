@@ -31,7 +31,7 @@ GRAM = 48
 WINDOWS = LENGTH - GRAM + 1          # positions a window chooses from; offsets are packed into a byte
 PAIRS = 64
 GROUP = 1 << 15
-SEGMENT = 1 << 22                    # bytes of one document named at a time
+SEGMENT = 1 << 20                    # bytes of one document named at a time
 _U = np.uint64
 _POSITION = _U((1 << 24) - 1)
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
