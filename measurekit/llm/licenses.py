@@ -3,7 +3,10 @@
 Text and template are words. Words that occur once in each are anchors; the longest run of anchors in the same order on both sides
 is kept, and the gaps between neighbouring anchors are aligned in the same way, down to gaps whose words match from one end.
 The share of a template's words that find their place is its coverage. Before a template is aligned, its coverage is bounded by the
-words it has in common with the text, so most texts are done after one look-up per word. One document is one row: no shuffle.
+words it has in common with the text, so most texts are done after one look-up per word. Where words of the template occur more
+often than in the template (a notice that stands there twice, or prose beside it), few words are anchors; there the template is
+laid through each occurrence of its rarest words and both sides are aligned by longest common runs, which is exact.
+One document is one row: no shuffle.
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from itertools import accumulate
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -85,6 +90,92 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def _matched_first(text: list[str], template: list[str]) -> list[tuple[int, int]]:
+    """A longest common run of both as places (text, template), as early in the text as can be. Bit-parallel: a row is one integer."""
+    masks: dict[str, int] = {}
+    for k, w in enumerate(template):
+        masks[w] = masks.get(w, 0) | 1 << k
+    full = row = (1 << len(template)) - 1
+    rows, at, held = [row], [], []                          # a row after each word of the template; cleared bits are steps
+    for i, w in enumerate(text):
+        if mask := masks.get(w):
+            u = row & mask
+            new = (row + u | row - u) & full
+            at.append(i)
+            held.append(w)
+            rows.append(new)
+            row = new
+    out: list[tuple[int, int]] = []
+    j = len(template)
+    k, need = len(at), len(template) - row.bit_count()
+    while need:
+        prefix = (1 << j) - 1
+        while k and j - (rows[k - 1] & prefix).bit_count() == need:     # the earliest word that ends a run so long
+            k -= 1
+        below = masks[held[k - 1]] & prefix
+        while True:                                         # of the template the last place of this word that leaves need - 1 before it
+            j = below.bit_length() - 1
+            if j - (rows[k - 1] & ((1 << j) - 1)).bit_count() >= need - 1:
+                break
+            below ^= 1 << j
+        out.append((at[k - 1], j))
+        k, need = k - 1, need - 1
+    return out[::-1]
+
+
+def _in_place(found: list[tuple[int, int]], before: list[int], least: int, stray: float) -> list[tuple[int, int]]:
+    """The longest part of an alignment, `least` words or more, between whose ends at most `stray` template words are out of place.
+    before: how many template words stand before each word of the text."""
+    best: list[tuple[int, int]] = []
+    e = 0
+    for s in range(len(found) - least + 1):
+        while e < len(found) and before[found[e][0] + 1] - before[found[s][0]] - (e + 1 - s) <= stray:
+            e += 1
+        if e - s >= max(least, len(best) + 1):
+            best = found[s:e]
+    return best
+
+
+def align_near(text: list[str], template: list[str], need: float, reach: int, stray: float) -> list[tuple[int, int]]:
+    """The longest alignment with at least `need` words within `reach` words of one of its own words, or none. Between its ends
+    at most `stray` words of the template may be out of place: words of a notice in any order are none.
+
+    If m words of the template may be missing, one of any m + 1 of its words is matched. The rarest in the text are tried first: the
+    template is laid through each occurrence, and each side aligned on its own. What is found lowers m.
+    """
+    places: dict[str, list[int]] = {}
+    for i, w in enumerate(text):
+        places.setdefault(w, []).append(i)
+    order = sorted(range(len(template)), key=lambda j: (len(places.get(template[j], ())), j))
+    known = set(template)
+    before_word = [0, *accumulate(w in known for w in text)]
+    best: list[tuple[int, int]] = []
+    least = ceil(need - 1e-9)
+    for tried, j in enumerate(order):
+        if tried > len(template) - least:                   # whoever matches none of these has too few words
+            break
+        for i in places.get(template[j], ()):
+            if best and best[0][0] <= i <= best[-1][0] and len(best) == len(template):
+                continue
+            left, right = text[max(0, i - reach):i][::-1], text[i + 1:i + 1 + reach]
+            if 1 + min(len(left), j) + min(len(right), len(template) - j - 1) < least:
+                continue
+            before = _matched_first(left, template[:j][::-1])
+            if len(before) + len(template) - j < least:
+                continue
+            after = _matched_first(right, template[j + 1:])
+            if (n := len(before) + 1 + len(after)) < least:
+                continue
+            found = [(i - 1 - a, j - 1 - b) for a, b in before[::-1]] + [(i, j)] + [(i + 1 + a, j + 1 + b) for a, b in after]
+            if (n := len(found := _in_place(found, before_word, least, stray))) < least:
+                continue
+            if n > len(best) or (found[-1][0] - found[0][0], found[0][0]) < (best[-1][0] - best[0][0], best[0][0]):
+                best, least = found, n
+        if len(best) == len(template):
+            break
+    return best
+
+
 class Scanner:
     def __init__(self, templates: Mapping[str, str], coverage: float):
         self.templates = {name: words(text) for name, text in sorted(templates.items())}
@@ -131,7 +222,9 @@ class Scanner:
         part = line[s:e]
         if sum((Counter(w for w in part if w in count) & count).values()) < need:
             return 0, -s, s
-        pairs = align(part, template)
+        pairs, seen = align(part, template), Counter(w for w in part if w in count)
+        if len(pairs) < (seen & count).total() and any(n > count[w] for w, n in seen.items()):
+            pairs = max(pairs, align_near(part, template, max(need, len(pairs) + 1), SPREAD * len(template), len(template) - need), key=len)
         return len(pairs), -(s + pairs[0][0]) if pairs else -s, s + pairs[-1][0] + 1 if pairs else s
 
 

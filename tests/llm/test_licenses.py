@@ -66,3 +66,33 @@ def test_rows(spark):
     found = {(r.doc_id, r.n_words, *(f.license for f in r["licenses_"])) for r in out.collect()}
     assert found == {(1, 5, "MIT"), (2, 0), (3, 0), (4, 200_005, "MIT")} and out.count() == 5
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_longest_runs_are_exact():
+    r = random.Random(3)
+    for _ in range(500):
+        a, b = ([r.choice("abcdef") for _ in range(r.randrange(0, 20))] for _ in range(2))
+        pairs = licenses._matched_first(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        assert len(pairs) == longest_common(a, b)
+        if b:
+            need = r.randrange(1, len(b) + 1)
+            near = licenses.align_near(a, b, need, 100, 100)
+            assert all(a[i] == b[j] for i, j in near) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(near, near[1:]))
+            assert len(near) == (longest_common(a, b) if longest_common(a, b) >= need else 0)
+
+
+def test_repeated_notices_between_prose():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+    assert [f[0] for f in scanner.scan("under the x mit rule released under the mit license released under the mit license so the end under it")[1]] == ["MIT"]
+    prose = "under the hood the version of this work is under the sea and the license under it is free "
+    for name, notice in licenses.TEMPLATES.items():
+        words = licenses.words(notice)
+        for times in (2, 3, 50):
+            for between in ("", " the under "):
+                found = scanner.scan(prose + between.join([notice + " "] * times) + prose)[1]
+                assert [f[:3] for f in found if f[0] == name] == [(name, 1.0, len(words))]
+                assert found[0][4] - found[0][3] == len(words)
+    changed = "released under the terms of the mit license "
+    assert scanner.scan(prose + changed * 3 + prose)[1][0][:3] == ("MIT", 1.0, 5)
+    assert scanner.scan(prose * 20)[1] == []
