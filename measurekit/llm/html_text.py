@@ -31,9 +31,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 # Elements and names that mark what is not the article.
 ASIDE = frozenset("nav footer aside form menu dialog search".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-ASIDE_NAME = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsbygoogle|banner|sponsor|sponsored|promo|promoted|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|sidebar|side|rail|widget|widgets|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|pagination|pager|footer|header|masthead|topbar|toolbar|comment|comments|commentlist|disqus|respond|replies|reply|related|recommended|share|sharing|social|tags|skip|copyright|disclaimer)(?:$|[\s_-]|\d)", re.I)
-COMMENT_NAME = re.compile(r"(?:^|[\s_-])(?:comment|reply)(?:$|[\s_-]|\d)", re.I)
+ASIDE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle banner sponsor sponsored promo promoted cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login sidebar side rail widget widgets nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer header masthead topbar toolbar comment comments commentlist disqus respond replies reply related recommended share sharing social tags skip copyright disclaimer".split())
+COMMENT_NAMES = frozenset("comment reply".split())
+# Words that say where such a part stands, before its name, and what is in it, after its name. With any other word the name means
+# something else: `has-sidebar`, `page-with-header`, `layout-sidebar-right`, `related-work`.
+BEFORE_NAME = frozenset("app article blog bottom desktop div entry fixed global google inline js left main master mobile my page post primary reader right secondary site sticky story the top user web wp".split())
+AFTER_NAME = frozenset("archive area articles bar block body bottom box button buttons card categories cell cloud container content desktop entries fixed form frame group holder icon icons inner item items label leaderboard left link links list main meta mobile outer panel pane placeholder post posts primary recent rectangle right row search secondary section slot space sticky stories strip text thread title to toggle top unit wrap wrapper".split())
 TITLE_NAME = re.compile(r"(?:article|content|entry|page|post|story)[_-]header", re.I)
+NAME_PART = re.compile(r"[\s_-]+")
+NUMBER = re.compile(r"\d[\dx]*$")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)""", re.S)
 ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -41,6 +48,22 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACES = re.compile(r"\s+")
 
 
+def _names(value: str, wanted: frozenset[str]) -> bool:
+    """Whether a whole token of a class or id is one of the names, with words before or after it that keep its meaning."""
+    for token in value.lower().split():
+        found = False
+        for part in NAME_PART.split(TITLE_NAME.sub("", token).split("--")[0]):
+            part = NUMBER.sub("", part)
+            if part in wanted:
+                found = True
+            elif part and part not in (AFTER_NAME if found else BEFORE_NAME):
+                break
+        else:
+            if found:
+                return True
+    return False
+
+
 def _is_aside(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in ASIDE or tag == "header" and not in_article:
         return True
@@ -50,17 +73,25 @@ def _is_aside(tag: str, attrs: str, in_article: bool) -> bool:
         name, value = name.lower(), a or b or c
         if name == "role" and value.lower() in ASIDE_ROLES or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "main") and (COMMENT_NAME if tag == "article" else ASIDE_NAME).search(TITLE_NAME.sub("", value)):
+        if name == "id" and (tag in HEADINGS or tag == "section" and in_article):   # made from a title
+            continue
+        if name in ("class", "id") and tag not in ("body", "html", "main") and _names(value, COMMENT_NAMES if tag == "article" else ASIDE_NAMES):
             return True
     return re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs, re.I) is not None
 
 
-def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """Lines as (text, text outside links, in the article), in page order, those of no weight with empty text; and whether an article is marked."""
+def page_lines(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[tuple[str, int, bool]], bool, frozenset[int], frozenset[int]]:
+    """Lines as (text, text outside links, in the article), in page order, those of no weight with empty text; whether an article is
+    marked; and where the elements begin that are beside the article though `main`, or only an `article`, lies in them.
+
+    spared: where elements begin that are not beside the article whatever they are called.
+    """
+    around_main: set[int] = set()
+    around_article: set[int] = set()
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool, bool]] = []      # open elements: name, aside, skipped, article
+    stack: list[tuple[str, bool, bool, bool, int]] = []     # open elements: name, aside, skipped, article, where it begins
     aside = skipped = article = links = 0
     marked = False
     kept_aside = False
@@ -78,7 +109,7 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
 
     def pop() -> None:
         nonlocal aside, skipped, article
-        _, a, s, m = stack.pop()
+        _, a, s, m, _ = stack.pop()
         aside, skipped, article = aside - a, skipped - s, article - m
 
     at = 0
@@ -120,20 +151,32 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             continue
         if attrs.rstrip().endswith("/") and name in ("svg", "path", "use"):
             continue
-        beside = _is_aside(name, attrs, article > 0)
-        entry = name, beside, name in SKIPPED, name in ("article", "main") and not beside and not aside and not skipped
+        beside = _is_aside(name, attrs, article > 0) and tag.start() not in spared
+        if name in ("article", "main") and not beside and aside and not skipped:
+            (around_main if name == "main" else around_article).update(x[4] for x in stack if x[1])
+        entry = name, beside, name in SKIPPED, name in ("article", "main") and not beside and not aside and not skipped, tag.start()
         if name in ("article", "main") or aside or skipped or entry[1] or entry[2] or name in BLOCKS or name in ("header",):
             stack.append(entry)
             aside, skipped, article = aside + entry[1], skipped + entry[2], article + entry[3]
             marked = marked or entry[3]
     close_line()
-    return lines, marked
+    return lines, marked, frozenset(around_main), frozenset(around_article)
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    lines, marked = page_lines(page)
+    lines, marked, around_main, around_article = page_lines(page)
+    if around_main:                                         # what holds the main part is not beside it
+        lines, marked, _, around_article = page_lines(page, around_main)
+    text = _surge_to_dive(lines, marked)
+    if around_article and not marked:                       # articles in such elements only: teasers, or the text of the page
+        inside = _surge_to_dive(*page_lines(page, around_article)[:2])
+        text = max(text, inside, key=len)
+    return text
+
+
+def _surge_to_dive(lines: list[tuple[str, int, bool]], marked: bool) -> str:
     weight = [0 if marked and not inside else len(text) if marked else own for text, own, inside in lines]
     surge = 1 if marked and any(weight) else SURGE
     if marked and not any(weight):

@@ -42,6 +42,30 @@ def test_comments_that_are_articles_are_no_article():
     assert main_text(page(f'<div class="text">{BODY}</div>{comments}')) == "\n\n".join(TEXT)
 
 
+def test_names_that_only_hold_a_word_of_an_aside():
+    for name in ("site has-sidebar", "content no-sidebar", "page-with-header", "layout-sidebar-right", "sidebar-left", "sidebar", "content--sidebar"):
+        for by in ("class", "id"):
+            for tag in ("article", "main"):
+                assert main_text(page(f'<div {by}="{name}"><div><{tag}>{BODY}</{tag}></div></div>')) == "\n\n".join(TEXT)
+    for name in ("site has-sidebar", "content no-sidebar", "page-with-header", "layout-sidebar-right"):
+        assert main_text(page(f'<div class="{name}">{BODY}</div>')) == "\n\n".join(TEXT)
+    assert main_text(page(f'<form id="aspnetForm"><main>{BODY}</main></form>')) == "\n\n".join(TEXT)
+    for slug in ("related-work", "social-impact", "share-prices", "header-1", "comments", "notice"):
+        body = BODY.replace("<h1>", f'<h1 id="{slug}">').replace("<p>Short.", f'<section id="{slug}"><p>Short.') + "</section>"
+        assert main_text(page(f"<article>{body}</article>")) == "\n\n".join(TEXT)
+
+
+def test_names_of_asides():
+    text = "<p>Text that is as long as the paragraphs of the story, but it is no part of it at all.</p>"
+    for name in ("ad", "ad-slot ad-300x250", "site-footer", "cookie-notice", "comments-area", "related-posts", "newsletter_signup", "sidebar sidebar-left", "widget-3", "x share-buttons", "ad--large", "main-nav"):
+        for by in ("class", "id"):
+            aside = f'<div {by}="{name}">{text}</div>'
+            assert main_text(page(f"<article>{BODY}{aside}</article>{aside}")) == "\n\n".join(TEXT)
+            assert main_text(page(f'<div class="text">{BODY}</div>{aside}')) == "\n\n".join(TEXT)
+    teasers = f'<div class="related-posts"><article>{text}</article><article>{text}</article></div>'
+    assert main_text(page(f"<article>{BODY}</article>{teasers}")) == main_text(page(f'<div class="text">{BODY}</div>{teasers}')) == "\n\n".join(TEXT)
+
+
 def test_broken_markup():
     assert main_text("<p>a<p>b<li>c") == "a\n\nb\n\nc"
     assert main_text("x < y and <b>z") == "x < y and z"
