@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from measurekit.llm import ann, bpe, embedding_dedup, html_text, langid, licenses, mixing, near_dup, suffix_dedup, urls
+from measurekit.llm import ann, bpe, embedding_dedup, html_text, langid, licenses, merkle, mixing, near_dup, suffix_dedup, urls
 from measurekit.llm.shared import tune
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,11 +20,13 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_bpe_codec": bpe.op9_bpe_codec,
     "op10_ann_search": ann.op10_ann_search,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 SQL: dict[str, str] = {
     "op3_source_mixing": mixing.SQL,
     "op5_embedding_neardup": embedding_dedup.SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
 
 
