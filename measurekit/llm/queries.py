@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from measurekit.llm import ann, bpe, embedding_dedup, html_text, langid, licenses, merkle, mixing, near_dup, suffix_dedup, urls
+from measurekit.llm import align, ann, bpe, embedding_dedup, html_text, langid, licenses, merkle, mixing, near_dup, quality, suffix_dedup, urls
 from measurekit.llm.shared import tune
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +21,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe_codec": bpe.op9_bpe_codec,
     "op10_ann_search": ann.op10_ann_search,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_quality_classifier": quality.op12_quality_classifier,
+    "op13_token_alignment": align.op13_token_alignment,
 }
 
 SQL: dict[str, str] = {
