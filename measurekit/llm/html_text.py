@@ -31,7 +31,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 # Elements and names that mark what is not the article.
 ASIDE = frozenset("nav footer aside form menu dialog search".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-ASIDE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle banner sponsor sponsored promo promoted cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login sidebar side rail widget widgets nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer header masthead topbar toolbar comment comments commentlist disqus respond replies reply related recommended share sharing social tags skip copyright disclaimer".split())
+ASIDE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle banner sponsor sponsored promo promoted cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login sidebar side rail widget widgets nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer header masthead topbar toolbar comment comments commentlist disqus respond replies reply feedback reviews related recommended share sharing social tags skip copyright disclaimer".split())
 COMMENT_NAMES = frozenset("comment reply".split())
 # Words that say where such a part stands, before its name, and what is in it, after its name. With any other word the name means
 # something else: `has-sidebar`, `page-with-header`, `layout-sidebar-right`, `related-work`.
@@ -44,6 +44,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)""", re.S)
 ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+HREF = re.compile(r"(?:^|\s)href\s*=", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACES = re.compile(r"\s+")
 
@@ -92,7 +93,7 @@ def page_lines(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[tu
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool, bool, int]] = []     # open elements: name, aside, skipped, article, where it begins
-    aside = skipped = article = links = 0
+    aside = skipped = article = links = link_at = 0
     marked = False
     kept_aside = False
 
@@ -108,9 +109,11 @@ def page_lines(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[tu
         linked, kept_aside = 0, False
 
     def pop() -> None:
-        nonlocal aside, skipped, article
+        nonlocal aside, skipped, article, links
         _, a, s, m, _ = stack.pop()
         aside, skipped, article = aside - a, skipped - s, article - m
+        if len(stack) < link_at:                            # a link that was never closed ends with the element it began in
+            links = 0
 
     at = 0
     while True:
@@ -133,8 +136,8 @@ def page_lines(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[tu
             close_line()
         elif name == "br" and not aside and not skipped:
             parts.append(" ")
-        if name == "a":
-            links = 0 if closing else 1
+        if name == "a":                                     # without a target it is an anchor
+            links, link_at = int(not closing and HREF.search(attrs) is not None), len(stack)
         if name in VOID:
             continue
         if closing:

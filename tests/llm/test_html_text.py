@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from measurekit.llm.html_text import extract_main_text, main_text
 from measurekit.llm.shared import tune
 
@@ -90,3 +92,37 @@ def test_rows(spark):
     assert sorted((r.page_id, r["text_"], r.n_chars, r.text) for r in rows if r.page_id == 1) == [(1, "\n\n".join(TEXT), len("\n\n".join(TEXT)), "mine")] * 2
     assert [(r["text_"], r.n_chars) for r in rows if r.page_id == 2] == [("", 0)] * 2
     assert extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_anchors_and_links_that_are_never_closed():
+    for start in ('<a name="top">', '<a id="x"/>', '<a name="top"></a>', '<p><a href="/home">Home</p>', '<div><a href="/">Up</div>'):
+        for body in (f'<div class="text">{BODY}</div>', f"<article>{BODY}</article>"):
+            assert main_text(f"<body>{start}{body}</body>").endswith("\n\n".join(TEXT))
+    linked = "".join(f'<li><a href="/{k}"><div>A linked card with a title of some length, number {k}</div></a></li>' for k in range(6))
+    assert main_text(f"<body><ul>{linked}</ul><div>{BODY}</div></body>") == "\n\n".join(TEXT)
+
+
+def test_feedback_is_no_main_text():
+    said = "<p>" + "A reader says what they think of it all, and at some length. " * 5 + "</p>"
+    assert main_text(f'<body><div class="text">{BODY}</div><div class="user-feedback">{said}</div></body>') == "\n\n".join(TEXT)
+
+
+def test_pages_built_from_known_articles():
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(1, 10)))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    for _ in range(250):
+        paragraphs = [sentence(r.randrange(15, 60)) for _ in range(r.randrange(2, 9))]
+        shown = []
+        for p in paragraphs:
+            words = p.split(" ")
+            at = r.randrange(len(words))
+            words[at] = r.choice(["<b>{}</b>", "<em class='x'>{}</em>", '<a href="/y">{}</a>', '<a name="z">{}</a>', "{}<!-- no -->", "{}"]).format(words[at])
+            shown.append(r.choice(["<p>{}</p>", "<p>\n{}\n</p>", "<div><p>{}</p></div>", "<blockquote>{}</blockquote>", "<p>{}"]).format(r.choice([" ", "\n", "  "]).join(words)))
+        menu = "<nav><ul>" + "".join(f'<li><a href="/{k}">{word()}</a></li>' for k in range(r.randrange(1, 8))) + "</ul></nav>"
+        links = "<ul>" + "".join(f'<li><a href="/{k}">{sentence(4)}</a></li>' for k in range(r.randrange(1, 12))) + "</ul>"
+        ends = [r.choice(["", menu]), r.choice(["", f'<div class="sidebar"><p>{sentence(40)}</p></div>', f'<div id="cookie-banner">{sentence(30)}</div>']), r.choice(["", links])]
+        after = [r.choice(["", links]), r.choice(["", f'<section class="comments"><p>{sentence(50)}</p></section>']), r.choice(["", f"<footer><p>{sentence(20)}</p></footer>"])]
+        for wrap in ("<article>{}</article>", '<div class="text">{}</div>', '<main id="main"><div class="content">{}</div></main>'):
+            body = "".join(ends) + wrap.format("".join(shown)) + "".join(after)
+            assert main_text(f"<html><head><title>{word()}</title></head><body>{body}</body></html>") == "\n\n".join(paragraphs)
