@@ -6,6 +6,8 @@ The share of a template's words that find their place is its coverage. Before a
 words it has in common with the text, so most texts are done after one look-up per word. Where words of the template occur more
 often than in the template (a notice that stands there twice, or prose beside it), few words are anchors; there the template is
 laid through each occurrence of its rarest words and both sides are aligned by longest common runs, which is exact.
+A license is told from its relatives by single words, so coverage alone does not decide: a template names the words that must be
+matched (the license's name and version) and the words that must not stand between its first and last match (`Lesser`, `Affero`).
 One document is one row: no shuffle.
 """
 
@@ -14,7 +16,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from itertools import accumulate
 from math import ceil
 
@@ -24,18 +27,73 @@ from pyspark.sql import functions as F
 
 from measurekit.llm.shared import by_bytes, fresh
 
-# Notices by which texts declare well-known licenses. Templates are a parameter; full license texts work alike.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-}
+
+
+@dataclass(frozen=True)
+class Template:
+    """A text that declares a license: `must` are words of it that have to be matched, `never` words that may not stand inside a match."""
+
+    license: str
+    text: str
+    must: str = ""
+    never: str = ""
+
+
+# Names by which texts declare well-known licenses, by SPDX id: the name as it is written in notices, the words of it that must be there,
+# the words that make it another license.
+NAMES = (
+    ("MIT", "the MIT License", "mit", ""),
+    ("Apache-2.0", "the Apache License, Version 2.0", "apache 2.0", ""),
+    ("Apache-1.1", "the Apache License, Version 1.1", "apache 1.1", ""),
+    ("GPL-2.0", "the GNU General Public License, version 2", "general 2", "lesser library affero"),
+    ("GPL-3.0", "the GNU General Public License, version 3", "general 3", "lesser library affero"),
+    ("LGPL-2.1", "the GNU Lesser General Public License, version 2.1", "lesser 2.1", ""),
+    ("LGPL-3.0", "the GNU Lesser General Public License, version 3", "lesser 3", ""),
+    ("AGPL-3.0", "the GNU Affero General Public License, version 3", "affero 3", ""),
+    ("MPL-2.0", "the Mozilla Public License, Version 2.0", "mozilla 2.0", ""),
+    ("EPL-2.0", "the Eclipse Public License, Version 2.0", "eclipse 2.0", ""),
+    ("ISC", "the ISC License", "isc", ""),
+    ("BSD", "the BSD License", "bsd", "2-clause 3-clause 4-clause"),
+    ("BSD-2-Clause", "the BSD 2-Clause License", "bsd 2-clause", ""),
+    ("BSD-3-Clause", "the BSD 3-Clause License", "bsd 3-clause", ""),
+    ("BSL-1.0", "the Boost Software License, Version 1.0", "boost 1.0", ""),
+    ("Zlib", "the zlib License", "zlib", ""),
+    ("Unlicense", "the Unlicense", "unlicense", ""),
+    ("CC0-1.0", "CC0 1.0", "cc0 1.0", ""),
+    ("CC-BY-4.0", "CC BY 4.0", "cc by 4.0", ""),
+    ("CC-BY-SA-4.0", "CC BY-SA 4.0", "by-sa 4.0", ""),
+    ("CC-BY-NC-4.0", "CC BY-NC 4.0", "by-nc 4.0", ""),
+    ("CC-BY-ND-4.0", "CC BY-ND 4.0", "by-nd 4.0", ""),
+    ("CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0", "by-nc-sa 4.0", ""),
+    ("CC-BY-NC-ND-4.0", "CC BY-NC-ND 4.0", "by-nc-nd 4.0", ""),
+    ("CC-BY-SA-3.0", "CC BY-SA 3.0", "by-sa 3.0", ""),
+    ("CC-BY-3.0", "CC BY 3.0", "cc by 3.0", ""),
+)
+LEADS = ("Licensed under {}", "Released under {}", "This work is licensed under {}", "Distributed under the terms of {}")
+TAG = "SPDX-License-Identifier: {}"
+# Longer texts by which licenses are declared, the words of each that must be there, and those that make it another.
+TEXTS = (
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "granted sublicense", ""),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "permission fee granted appear", ""),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "redistribution binary permitted", ""),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "neither endorse promote", ""),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "apache 2.0 compliance", ""),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "general 3", "lesser library affero"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "general 2", "lesser library affero"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "lesser 2.1", ""),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla 2.0", ""),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered domain", ""),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "commons attribution 4.0", "noncommercial sharealike noderivatives noderivs attribution-noncommercial attribution-sharealike"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "commons attribution-sharealike 4.0", ""),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "commons attribution-noncommercial 4.0", ""),
+)
+TEMPLATES = (*(Template(spdx, lead.format(name), must, never) for spdx, name, must, never in NAMES for lead in LEADS),
+             *(Template(spdx, TAG.format(spdx), f"spdx-license-identifier {spdx}") for spdx, *_ in NAMES), *(Template(*t) for t in TEXTS))
 COVERAGE = 0.8
 # A short template's words must lie close together: within so many times its length.
 SPREAD = 3
+# The words of a template of two, as a tag with several licenses behind it, may lie this far apart.
+GAP = 6
 
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
@@ -177,40 +235,57 @@ def align_near(text: list[str], template: list[str], need: float, reach: int, st
 
 
 class Scanner:
-    def __init__(self, templates: Mapping[str, str], coverage: float):
-        self.templates = {name: words(text) for name, text in sorted(templates.items())}
-        self.counts = {name: Counter(t) for name, t in self.templates.items()}
-        self.vocabulary = set().union(*self.templates.values()) if templates else set()
+    def __init__(self, templates: Sequence[Template] | Mapping[str, str], coverage: float):
+        if isinstance(templates, Mapping):
+            templates = [Template(name, text) for name, text in templates.items()]
+        self.templates = []
+        for t in sorted(templates, key=lambda t: (t.license, t.text)):
+            line = words(t.text)
+            must = [line.index(w) for w in words(t.must)]
+            self.templates.append((t.license, line, Counter(line), must, frozenset(line[k] for k in must), frozenset(words(t.never))))
+        self.vocabulary = set().union(*(line for _, line, *_ in self.templates)) if self.templates else set()
+        # templates by the word they cannot do without; those without such a word are always looked at
+        self.by_word: dict[str | None, list[int]] = {}
+        for k, (_, line, _, must, _, _) in enumerate(self.templates):
+            self.by_word.setdefault(line[must[0]] if must else None, []).append(k)
         self.coverage = coverage
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[str, float, int, int, int]]]:
-        """Number of words, and (license, coverage, matched words, first word, end) of each template found, best first.
+        """Number of words, and (license, coverage, matched words, first word, end) of each license found, best first: of a
+        license with several templates the best.
 
-        The template is aligned with the stretches of the text in which its words lie, each SPREAD template lengths at most
-        on both sides of a word; the best stretch counts.
+        A template is aligned with the stretches of the text in which its words lie, each SPREAD template lengths at most
+        on both sides of a word; the best stretch that holds the words it must and none it must not counts.
         """
         if not text:
             return 0, []
         line = words(text)
-        near = [k for k, w in enumerate(line) if w in self.vocabulary]
-        found = []
-        for name, template in self.templates.items():
-            count, need = self.counts[name], self.coverage * len(template)
-            at = [k for k in near if line[k] in count]
-            if sum((Counter(line[k] for k in at) & count).values()) < need:
+        seen = self.vocabulary.intersection(line)
+        if not seen:
+            return len(line), []
+        near = [k for k, w in enumerate(line) if w in seen]
+        found: dict[str, tuple[str, float, int, int, int]] = {}
+        for k in sorted(k for word, ks in self.by_word.items() if word is None or word in seen for k in ks):
+            name, template, count, must, needed, never = self.templates[k]
+            if not needed <= seen:
+                continue
+            need = self.coverage * len(template)
+            at = [i for i in near if line[i] in count]
+            if sum((Counter(line[i] for i in at) & count).values()) < need:
                 continue
-            best = max((self._stretch(line, template, count, s, e, need) for s, e in self._stretches(at, len(template))), default=None)
+            best = max((self._stretch(line, template, count, s, e, need, must, never) for s, e in self._stretches(at, len(template))), default=None)
             if best and best[0] >= need:
-                found.append((name, best[0] / len(template), best[0], -best[1], best[2]))
-        found.sort(key=lambda x: (-x[1], -x[2], x[0]))
-        return len(line), found
+                here = name, best[0] / len(template), best[0], -best[1], best[2]
+                if name not in found or (here[1], here[2], -here[3]) > (found[name][1], found[name][2], -found[name][3]):
+                    found[name] = here
+        return len(line), sorted(found.values(), key=lambda x: (-x[1], -x[2], x[0]))
 
     @staticmethod
     def _stretches(at: list[int], n: int) -> Iterator[tuple[int, int]]:
-        """Runs of template words with gaps of at most n words; long runs are cut into overlapping ones of 2 * SPREAD * n words."""
+        """Runs of template words with gaps of at most n words (of GAP for a pair); long runs are cut into overlapping ones of 2 * SPREAD * n words."""
         s = 0
         for k in range(1, len(at) + 1):
-            if k == len(at) or at[k] - at[k - 1] > n:
+            if k == len(at) or at[k] - at[k - 1] > (n if n > 2 else GAP):
                 lo, hi = at[s], at[k - 1] + 1
                 step = SPREAD * n
                 for start in range(lo, max(lo + 1, hi - step), step):
@@ -218,20 +293,29 @@ class Scanner:
                 s = k
 
     @staticmethod
-    def _stretch(line: list[str], template: list[str], count: Counter, s: int, e: int, need: float) -> tuple[int, int, int]:
+    def _stretch(line: list[str], template: list[str], count: Counter, s: int, e: int, need: float, must: list[int], never: frozenset[str]) -> tuple[int, int, int]:
         part = line[s:e]
-        if sum((Counter(w for w in part if w in count) & count).values()) < need:
+        seen = Counter(w for w in part if w in count)
+        if sum((seen & count).values()) < need or any(template[k] not in seen for k in must):
             return 0, -s, s
-        pairs, seen = align(part, template), Counter(w for w in part if w in count)
+
+        def fits(pairs: list[tuple[int, int]]) -> bool:
+            return len(pairs) >= need and pairs[-1][0] - pairs[0][0] < SPREAD * max(len(template), GAP if len(template) == 2 else 0) and {j for _, j in pairs}.issuperset(must) and never.isdisjoint(part[pairs[0][0]:pairs[-1][0] + 1])
+
+        pairs = align(part, template)
+        if not fits(pairs):
+            pairs = []
         if len(pairs) < (seen & count).total() and any(n > count[w] for w, n in seen.items()):
-            pairs = max(pairs, align_near(part, template, max(need, len(pairs) + 1), SPREAD * len(template), len(template) - need), key=len)
+            again = align_near(part, template, max(need, len(pairs) + 1), SPREAD * len(template), len(template) - need)
+            pairs = again if fits(again) and len(again) > len(pairs) else pairs
         return len(pairs), -(s + pairs[0][0]) if pairs else -s, s + pairs[-1][0] + 1 if pairs else s
 
 
-def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: float = COVERAGE, *, text: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: Sequence[Template] | Mapping[str, str] = TEMPLATES, coverage: float = COVERAGE, *, text: str = "text") -> DataFrame:
     """Adds n_words and licenses, an array of (license, coverage, n_matched, first_word, end_word), best first, to the rows of docs.
 
-    A null or empty text has no words and an empty array. Ties go by license name; equal rows get equal answers.
+    templates are Templates, or texts by license where coverage alone decides. A null or empty text has no words and an empty array. Ties go by
+    license name; equal rows get equal answers; texts of any length are scanned whole; an empty table stays empty.
     """
     names = fresh(docs, "n_words", "licenses")
     scanner = Scanner(templates, coverage)
