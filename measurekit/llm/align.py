@@ -21,12 +21,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 import tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from measurekit.llm.bpe import PRINTABLE, read_vocabulary
+from measurekit.llm.bpe import PRINTABLE, SPLIT, ByteBpe, read_vocabulary
 from measurekit.llm.shared import Scratch, by_bytes, fresh
 
 LANE = 256                          # A tokens of a lane
@@ -54,11 +55,30 @@ class ByteLevel:
         self.bytes = [b""] * (max(vocab.values()) + 1)
         for s, i in vocab.items():
             self.bytes[i] = s.encode() if s in special else bytes(chars[c] for c in s)
+        self.ranks = self._by_rank(json.loads(data), {self.bytes[i]: i for s, i in vocab.items() if s not in special})
+
+    @staticmethod
+    def _by_rank(model: dict, ids: dict[bytes, int]) -> tiktoken.Encoding | None:
+        """The same encoder in a library that merges by rank of the merged text, four times as fast, where that is the same.
+
+        It is if texts are split in the standard way and nothing else is done to them, ids grow along the merge list, and every token's own text
+        is encoded as that token: then two tokens whose text together is a token are always a pair of the merge list.
+        """
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        merges = model["model"]["merges"]
+        if model["normalizer"] or model["pre_tokenizer"] != plain or any(model["model"].get(k) for k in ("dropout", "ignore_merges", "byte_fallback")):
+            return None
+        made = ByteBpe(json.dumps(model)).automaton
+        vocab = model["model"]["vocab"]
+        order = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+        if order != sorted(order) or any(bytes((b,)) not in ids for b in range(256)) or not all(map(made._alone, made.made)) or len(made.made) + 256 != len(ids):
+            return None
+        return tiktoken.Encoding("by-rank", pat_str=SPLIT, mergeable_ranks=ids, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
         for part in _parts(" " + text, self._border):
-            ids += self.model.encode(part, add_special_tokens=False).ids
+            ids += self.ranks.encode_ordinary(part) if self.ranks else self.model.encode(part, add_special_tokens=False).ids
         return ids
 
 

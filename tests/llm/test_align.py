@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 from collections import Counter, defaultdict
 
@@ -117,6 +118,20 @@ def test_a_long_text_is_cut_without_changing_its_tokens(models, libraries, monke
         assert b.encode(t) == libraries[1].encode(t)
 
 
+def test_merging_by_rank_equals_the_library(models, libraries):
+    a = align.ByteLevel(models[0])
+    assert a.ranks is not None
+    every = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x110000))]
+    r = random.Random(13)
+    r.shuffle(every)
+    for s in range(0, len(every), 20_000):
+        part = "".join(c + r.choice(["", "", " ", "a", "1", "'s", "\n"]) for c in every[s:s + 20_000])
+        assert a.ranks.encode_ordinary(part) == libraries[0].encode(part, add_special_tokens=False).ids
+    model = json.loads(models[0])
+    model["model"]["merges"].reverse()
+    assert align.ByteLevel(json.dumps(model)).ranks is None
+
+
 @pytest.mark.parametrize("lane", [1, 2, 7, 1000])
 def test_lanes_of_any_length_give_the_same_cuts(lane):
     rng = np.random.default_rng(lane)
