@@ -168,7 +168,8 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 20, *, recall: flo
     """(query_id, rank, vec_id, score): the k nearest found for each row that the condition picks, by inner product, best first.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a null id; only vectors of one
-    length are compared. Equal vectors tie by smaller vec_id. Rows with one vec_id count as different rows.
+    length are compared. Equal vectors tie by smaller vec_id. Rows with one vec_id count as different rows. A query whose parts hold
+    fewer than k other rows is answered from all parts, so it gets k, or as many as there are. An empty table has no rows.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "parts")
@@ -204,7 +205,15 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 20, *, recall: flo
     while got < recall * sum(turns.values()):
         visits += 1
         got += turns.get(visits, 0)
-    found = search(filed, asks.mapInArrow(route(visits), kind).drop("turn"), k, scratch)
+    found = scratch.keep(search(filed, asks.mapInArrow(route(visits), kind).drop("turn"), k, scratch), "found")
+    # queries whose parts hold too few other rows go to all parts
+    others = filed.groupBy("d").agg((F.count("*") - 1).alias("others"))
+    got = found.groupBy(F.col("query_key").alias("key")).agg(F.count("*").alias("got"))
+    short = asks.join(others, "d").join(got, "key", "left").filter(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), F.col("others"))).select(*columns)
+    short = scratch.keep(short, "short")
+    if not short.isEmpty():
+        rest = search(filed, short.mapInArrow(route(None), kind).drop("turn"), k, scratch)
+        found = found.join(short.select(F.col("key").alias("query_key")), "query_key", "left_anti").unionByName(rest)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -119,3 +119,24 @@ def test_parts_are_balanced_and_equal_vectors_stay_together():
     order = router.order(np.repeat(x[:5], 300, axis=0))
     assert all((order[300 * k:300 * (k + 1)] == order[300 * k]).all() for k in range(5))
     assert (router.order(x)[:, 0] == part).mean() > 0.5
+
+
+def test_queries_whose_parts_hold_too_few_rows_get_all(spark, monkeypatch):
+    """Most rows in one part, the others in parts of a handful: a query there finds fewer than 20 at first."""
+    r = np.random.default_rng(5)
+    rows = [(k, [float(r.random()) * (1.0 if k % 5 == 0 else 0.5), float(r.random()), 1.0], 0) for k in range(400)]
+    vectors = np.array([v for _, v, _ in rows])
+    part = np.where(vectors[:, 0] > 0.5, 1 + (vectors[:, 1] * 30).astype(np.int64), 0)
+    router = ann.Router(vectors, part, 32, epochs=80)
+    filed = router.order(vectors)[:, 0]
+    assert min(np.bincount(filed)[filed[::20]]) < 20
+    monkeypatch.setattr(ann, "fit", lambda rows, n: router)
+    found = ann.nearest_neighbours(tune(spark).createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0, 20, recall=0.01).collect()
+    of: dict[int, list] = {}
+    for x in found:
+        of.setdefault(x.query_id, []).append((x["rank"], x.vec_id))
+    assert set(of) == set(range(0, 400, 20)) and all([a for a, _ in sorted(v)] == list(range(1, 21)) for v in of.values())
+    x = {k: np.array(v) for k, v, _ in rows}
+    for k in of:
+        if (filed == filed[k]).sum() <= 20:
+            assert [j for _, j in sorted(of[k])] == [j for j in sorted((j for j in x if j != k), key=lambda j: (-(x[k] * x[j]).sum(), j))[:20]]
