@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = "(?U)\\s+"
 # The characters Unicode counts as white space, and the four ASCII separators.
 _BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
            "\u2028\u2029\u202f\u205f\u3000")
@@ -19,10 +19,26 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(_BLANKS))
 
 
+@cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Unicode's full case folding by rule: characters that fold to one other, these others, and characters that fold to several."""
+    folds = {ch: f for ch in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if (f := ch.casefold()) != ch}
+    one = {ch: f for ch, f in folds.items() if len(f) == 1}
+    return "".join(one), "".join(one.values()), {ch: f for ch, f in folds.items() if len(f) > 1}
+
+
+def casefold(c: Column) -> Column:
+    """Full case folding. ASCII text needs none of the tables, and only text with a character that folds to several goes through these."""
+    one, to, several = _folds()
+    pairs = F.array(*[F.struct(F.lit(ch).alias("of"), F.lit(f).alias("to")) for ch, f in several.items()])
+    longer = F.aggregate(pairs, c, lambda acc, p: F.replace(acc, p["of"], p["to"]))
+    folded = F.translate(F.when(c.rlike(f"[{''.join(several)}]"), longer).otherwise(c), one, to)
+    return F.when(c.rlike("[^\\x00-\\x7F]"), folded).otherwise(F.lower(c))
+
+
 def norm_name(c: Column) -> Column:
     """Trim, collapse white space, fold case. An empty name is NULL, never an empty identifier."""
-    folded = F.replace(F.lower(strip(F.regexp_replace(c, _SPACE, " "))), F.lit("ß"), F.lit("ss"))
-    return F.nullif(folded, F.lit(""))
+    return F.nullif(casefold(strip(F.regexp_replace(c, f"[{_BLANKS}]+", " "))), F.lit(""))
 
 
 def has_edge_space(c: Column) -> Column:

@@ -11,6 +11,8 @@ from measurekit.config import Config
 from measurekit.functions import stats as S
 from measurekit.functions import text as X
 from measurekit.functions import times as T
+from measurekit.operators.quantiles import ranked_percentiles, value_counts
+from measurekit.operators.ranges import MOST, lagged, range_blocks, value_ranges
 
 
 # ---- aggregates ---------------------------------------------------------------------------------------------------------------------
@@ -184,20 +186,12 @@ def share_table(df: DataFrame, row: str, column: str) -> DataFrame:
     return cells.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(column)))
 
 
-def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
+def average_ranks(df: DataFrame, column: str, out: str, most: int = MOST) -> DataFrame:
     """value -> mean rank of its ties. Equal values are counted first; the running total goes range by range, so no task sorts all."""
     c = F.col
-    counts = df.where(c(column).isNotNull()).groupBy(c(column).alias("v")).agg(F.count("*").alias("n"))
-    points = F.array(*[F.lit((i + 1) / 65) for i in range(64)])
-    splits = counts.agg(F.array_distinct(F.percentile_approx("v", points, F.lit(1000))).alias("splits"))
-    bucketed = counts.withColumn("one", F.lit(1)).join(F.broadcast(splits.withColumn("one", F.lit(1))), "one").withColumn(     # one row
-        "bucket", F.size(F.filter("splits", lambda s: s < c("v")))).drop("splits", "one")
-    per = bucketed.groupBy("bucket").agg(F.sum("n").alias("bucket_n"))
-    below = per.withColumn("before", F.coalesce(F.sum("bucket_n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = F.sum("n").over(inside)
-    ranked = bucketed.withColumn("upto", upto).join(F.broadcast(below.select("bucket", "before")), "bucket")      # at most 65 rows
-    return ranked.select(c("v").alias(column), (c("before") + c("upto") - (c("n") - 1) / 2).alias(out))
+    ranges = value_ranges(value_counts(df, column, []).withColumn("_all", F.lit(1)), ["_all"], most)
+    upto = F.sum("n").over(Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return ranges.select(c("v").alias(column), (c("before") + upto - (c("n") - 1) / 2).alias(out))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -278,28 +272,18 @@ def hour_join_comparison(facts: DataFrame, context: DataFrame, parameter: str, c
 
 
 # ---- sequences ----------------------------------------------------------------------------------------------------------------------
-def with_gaps(flagged: DataFrame, block: str = "event_local") -> DataFrame:
+def with_gaps(flagged: DataFrame, most: int = MOST) -> DataFrame:
     """Per counted event: gap to the previous event of its session, and gap, weight and name of the previous one on the same scale.
 
-    A session's events are ordered inside (session, hour) blocks; the first event of a block takes the last one of the block
-    before. A session of any size is therefore spread over its hours instead of sorted in one task.
+    The events of a session of more than `most` are cut into ranges of time, one instant with many of them into runs of rows; a range's
+    first event takes the last one of the range before. A session of any size is therefore ordered by several tasks.
     """
     c = F.col
-    rows = flagged.where(~c("is_repeat") & c("event_local").isNotNull()).withColumn("hour", T.floor_hour(c("event_local")))
+    rows = flagged.where(~c("is_repeat") & c("event_local").isNotNull())
     order = ["event_local", "source_file", "source_row_number"]
-
-    def lagged(df: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
-        here = Window.partitionBy(*keys, "hour").orderBy(*order)
-        key = F.struct(*order)
-        tails = df.groupBy(*keys, "hour").agg(F.max_by(F.struct(*[c(v).alias(n) for n, v in values.items()]), key).alias("tail"))
-        carried = tails.withColumn("carry", F.lag("tail").over(Window.partitionBy(*keys).orderBy("hour"))).drop("tail")
-        now = df.withColumn("back", F.lag(F.struct(*[c(v).alias(n) for n, v in values.items()])).over(here))
-        # same keys as the window, so the join adds no shuffle of the events
-        out = now.join(carried, [*keys, "hour"], "left").withColumn("back", F.coalesce("back", "carry"))
-        return out.select("*", *[c(f"back.{n}").alias(n) for n in values]).drop("back", "carry")
-
-    in_session = lagged(rows, ["session_key"], {"previous_local": "event_local"})
-    on_scale = lagged(in_session, ["session_key", "scale_id"], {"scale_previous_local": "event_local", "previous_weight": "weight_g", "previous_name": "component"})
+    blocked = range_blocks(rows, ["session_key"], "event_local", most, (c("source_file"), F.floor(c("source_row_number") / most)))
+    in_session = lagged(blocked, ["session_key"], order, {"previous_local": "event_local"})
+    on_scale = lagged(in_session, ["session_key", "scale_id"], order, {"scale_previous_local": "event_local", "previous_weight": "weight_g", "previous_name": "component"})
     return on_scale.select(
         "event_id", "session_key", "population", "scale_id", "component", "weight_g", "event_local",
         T.seconds_between(c("previous_local"), c("event_local")).alias("gap_s"),
@@ -325,8 +309,6 @@ def repeat_share(flagged: DataFrame) -> DataFrame:
 
 def repeat_share_summary(shares: DataFrame) -> DataFrame:
     """Median and P90 of the share: many distinct doubles in one group, so from ranks."""
-    from measurekit.operators.quantiles import ranked_percentiles
-
     c = F.col
     p = ranked_percentiles(shares, "repeat_pct", [0.5, 0.9])
     return p.agg(F.max(F.when(c("q") == 0.5, c("value"))).alias("median_pct"), F.max(F.when(c("q") == 0.9, c("value"))).alias("p90_pct"))

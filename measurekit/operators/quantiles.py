@@ -1,7 +1,7 @@
 """Exact percentiles from ranks, for values too many to keep in one aggregate.
 
 `percentile` keeps a map of distinct values per group: right for whole grams, heavy for one global group of many distinct
-doubles. Here values are counted, cut into ranges by approximate splits, and only the ranges that hold a wanted rank are sorted.
+doubles. Here values are counted, the ranges that hold a wanted rank are cut until they hold few values, and only these are sorted.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SPLITS = 256
+from measurekit.operators.ranges import MOST, value_ranges
 
 
 def value_counts(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
@@ -17,54 +17,33 @@ def value_counts(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("v")).agg(F.count("*").alias("n"))
 
 
-def ranked_percentiles(df: DataFrame, column: str, qs: list[float], keys: list[str] | None = None) -> DataFrame:
-    """(keys, q, value) by linear interpolation at (n - 1) * q.
+def ranked_percentiles(df: DataFrame, column: str, qs: list[float], keys: list[str] | None = None, most: int = MOST) -> DataFrame:
+    """(keys, q, value) by linear interpolation at (n - 1) * q; rows whose keys are NULL are in no group.
 
-    Splits come from an approximate sketch, so they only decide how the work is divided, never the result. Ranges are counted
-    (at most SPLITS + 1 rows per group), the range of each wanted rank is found from the running total of those few rows, and
-    the values of just these ranges are ranked. The values of one range are about n / SPLITS distinct values.
+    A wanted rank is looked for among counted values, in ranges cut until one holds at most `most` distinct values.
     """
     c = F.col
-    keys = list(keys or [])
     for q in qs:
         if not 0 <= q <= 1:
             raise ValueError(f"q must lie in [0, 1], got {q}")
+    shown = list(keys or [])
     if not keys:
-        return _ranked(df.withColumn("_all", F.lit(1)), column, qs, ["_all"], one_group=True).drop("_all")
-    return _ranked(df, column, qs, keys, one_group=False)
-
-
-def _ranked(df: DataFrame, column: str, qs: list[float], keys: list[str], one_group: bool) -> DataFrame:
-    c = F.col
-    counts = value_counts(df, column, keys)
-    points = F.array(*[F.lit((i + 1) / (SPLITS + 1)) for i in range(SPLITS)])
-    splits = counts.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("v", points, F.lit(10 * SPLITS))).alias("splits"))
-    # one group: a single row of at most SPLITS values; several groups: an ordinary join on the group keys
-    bucketed = counts.join(F.broadcast(splits) if one_group else splits, keys).withColumn("bucket", F.size(F.filter("splits", lambda s: s < c("v")))).drop("splits")
-    per_bucket = bucketed.groupBy(*keys, "bucket").agg(F.sum("n").alias("bucket_n"))
-    running = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys)
-    offsets = per_bucket.withColumn("upto", F.sum("bucket_n").over(running)).withColumn("total", F.sum("bucket_n").over(whole))
+        df, keys = df.withColumn("_all", F.lit(1)), ["_all"]
+    counts = value_counts(df.dropna(subset=keys), column, keys)
     position = (c("total") - 1) * c("q")
-    wanted = (offsets.withColumn("q", F.explode(F.array(*[F.lit(q) for q in qs])))
-              .withColumn("lo_rank", F.floor(position).cast("bigint"))
-              .withColumn("hi_rank", F.least(c("lo_rank") + 1, c("total") - 1))
-              .withColumn("before", c("upto") - c("bucket_n"))
-              # ranks [before, upto) lie in the bucket
-              .where(((c("lo_rank") >= c("before")) & (c("lo_rank") < c("upto"))) | ((c("hi_rank") >= c("before")) & (c("hi_rank") < c("upto"))))
-              .withColumn("fraction", position - c("lo_rank"))
-              .select(*keys, "bucket", "q", "before", "lo_rank", "hi_rank", "fraction"))
-    chosen = bucketed.join(wanted.select(*keys, "bucket").distinct(), [*keys, "bucket"], "left_semi")
-    inside = Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = chosen.withColumn("upto_v", F.sum("n").over(inside))
-    joined = ranked.join(wanted, [*keys, "bucket"])
-    last, first = c("before") + c("upto_v") - 1, c("before") + c("upto_v") - c("n")
+    wanted = (counts.groupBy(*keys).agg(F.sum("n").alias("total")).withColumn("q", F.explode(F.array(*[F.lit(q) for q in qs])))
+              .withColumn("lo_rank", F.floor(position).cast("bigint")).withColumn("hi_rank", F.least(c("lo_rank") + 1, c("total") - 1))
+              .withColumn("fraction", position - c("lo_rank")).drop("total"))
+    ranks = wanted.select(*keys, F.explode(F.array("lo_rank", "hi_rank")).alias("rank")).distinct()
+    ranges = value_ranges(counts, keys, most, ranks)
+    inside = Window.partitionBy(*keys, "range").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = ranges.withColumn("upto", c("before") + F.sum("n").over(inside))
 
     def at(rank: str):
-        return F.max(F.when((c(rank) >= first) & (c(rank) <= last), c("v")))
+        return F.max(F.when((c(rank) >= c("upto") - c("n")) & (c(rank) < c("upto")), c("v")))
 
-    pairs = joined.groupBy(*keys, "q").agg(at("lo_rank").alias("lo"), at("hi_rank").alias("hi"), F.max("fraction").alias("fraction"))
-    return pairs.select(*keys, "q", (c("lo") + c("fraction") * (c("hi") - c("lo"))).alias("value"))
+    pairs = ranked.join(wanted, keys).groupBy(*keys, "q").agg(at("lo_rank").alias("lo"), at("hi_rank").alias("hi"), F.max("fraction").alias("fraction"))
+    return pairs.select(*shown, "q", (c("lo") + c("fraction") * (c("hi") - c("lo"))).alias("value"))
 
 
 def neighbour_rank_percentile(df: DataFrame, column: str, q: float) -> DataFrame:

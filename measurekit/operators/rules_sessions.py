@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from measurekit.config import Config
-from measurekit.functions import times as T
+from measurekit.operators.ranges import MOST, range_blocks
 from measurekit.operators.rules_events import finding, inline_findings
 
 
@@ -54,28 +54,28 @@ def name_findings(agreement: DataFrame) -> DataFrame:
         "the populations share no component name on this scale and day", "EVENT_ROW_SET", population=F.lit("both"))])
 
 
-def tray_overlaps(sessions: DataFrame) -> DataFrame:
+def tray_overlaps(sessions: DataFrame, most: int = MOST) -> DataFrame:
     """Per tray, its sessions and how many pairs of them overlap in time [first, last].
 
     Pairs are counted, not listed: two sessions do not overlap exactly when one ends before the other starts, so it is enough to
-    count, for each start, the ends before it. Ends of earlier hours come from hourly totals and ends of the same hour from a
-    window over (tray, hour), so a tray in constant use spreads over its hours.
+    count, for each start, the ends before it. Starts and ends are summed by instant, the instants of a busy tray are cut into ranges of
+    time, and the ends of the ranges before are carried over, so a tray in constant use spreads over several tasks.
     """
     c = F.col
     used = sessions.where(c("tray_single").isNotNull() & c("first_utc").isNotNull())
     points = used.select(c("tray_single").alias("tray_id"), F.inline(F.array(
         F.struct(c("first_utc").alias("t"), F.lit(0).alias("is_end")), F.struct(c("last_utc").alias("t"), F.lit(1).alias("is_end")))))
-    points = points.withColumn("hour", T.floor_hour(c("t")))
-    # at equal times starts come first: an end at that very moment is not before the start
-    in_hour = Window.partitionBy("tray_id", "hour").orderBy("t", "is_end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hourly = (points.withColumn("ended", F.sum("is_end").over(in_hour)).groupBy("tray_id", "hour")
-              .agg(F.sum("is_end").alias("ends"), F.count_if(c("is_end") == 0).alias("starts"),
-                   F.sum(F.when(c("is_end") == 0, c("ended")).otherwise(0)).alias("ended_same_hour")))
-    before = Window.partitionBy("tray_id").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    per_hour = hourly.withColumn("ended_before", F.coalesce(F.sum("ends").over(before), F.lit(0)))
+    instants = points.groupBy("tray_id", "t").agg(F.sum("is_end").alias("ends"), F.count_if(c("is_end") == 0).alias("starts"))
+    blocked = range_blocks(instants, ["tray_id"], "t", most)
+    # an end at the very moment of a start is not before it
+    earlier = Window.partitionBy("tray_id", "block").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    per_block = (blocked.withColumn("ended", F.coalesce(F.sum("ends").over(earlier), F.lit(0))).groupBy("tray_id", "block")
+                 .agg(F.sum("ends").alias("ends"), F.sum("starts").alias("starts"), F.sum(c("starts") * c("ended")).alias("ended_in_block")))
+    before = Window.partitionBy("tray_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    per_block = per_block.withColumn("ended_before", F.coalesce(F.sum("ends").over(before), F.lit(0)))
     n = F.sum("starts")
-    apart = F.sum(c("ended_same_hour") + c("starts") * c("ended_before"))
-    return per_hour.groupBy("tray_id").agg(n.alias("sessions"), (F.floor(n * (n - 1) / 2).cast("bigint") - apart).alias("overlapping_pairs"))
+    apart = F.sum(c("ended_in_block") + c("starts") * c("ended_before"))
+    return per_block.groupBy("tray_id").agg(n.alias("sessions"), (F.floor(n * (n - 1) / 2).cast("bigint") - apart).alias("overlapping_pairs"))
 
 
 def neighbour_day_names(staged: DataFrame, agreement: DataFrame, cfg: Config, reach: int = 4) -> DataFrame:

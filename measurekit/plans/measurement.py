@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from measurekit.config import Config
 from measurekit.operators import facts as FA
 from measurekit.operators import profiles as P
+from measurekit.operators.checks import event_controls
 from measurekit.operators.repeats import mark_repeats, repeat_groups
 from measurekit.operators.rules_events import flag_events
 from measurekit.operators.staging import stage_events, stage_observations
@@ -59,7 +60,7 @@ class Measurement:
 
     def prepare(self) -> Measurement:
         """Write the shared tables now, so that building any later step runs no job."""
-        for step in ("flagged", "session_flags", "versions", "sessions", "fact_session"):
+        for step in ("flagged", "session_flags", "versions", "sessions", "controls", "fact_session"):
             getattr(self, step)
         return self
 
@@ -117,6 +118,11 @@ class Measurement:
     def disposed(self) -> DataFrame:
         return FA.with_disposition(self.flagged, self.session_flags)
 
+    @cached_property
+    def controls(self) -> DataFrame:
+        """Control sums of the events, from which all checks of events add up."""
+        return self.kept("controls", lambda: event_controls(self.disposed))
+
     @cached_property
     def agreement(self) -> DataFrame:
         return FA.scale_day_agreement(FA.name_cells(self.staged))

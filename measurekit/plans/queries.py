@@ -26,11 +26,14 @@ from measurekit.operators import rules_sessions as RS
 from measurekit.operators import rules_volume as RV
 from measurekit.operators import scenarios as SC
 from measurekit.operators import timezone_evidence as TZ
+from measurekit.operators.ranges import lagged, range_blocks
 from measurekit.operators.staging import with_keys, with_population
-from measurekit.plans import roles
+from measurekit.plans import drift, roles
 from measurekit.plans.measurement import Measurement, TableStore
 from measurekit.sources import calendar as CAL
+from measurekit.sources import delimited as DE
 from measurekit.sources import inventory as INV
+from measurekit.sources import observations as OB
 
 CFG = roles.CONFIG
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,11 +81,39 @@ def r6(value: Column | str, alias: str) -> Column:
 
 
 # ---- sources ------------------------------------------------------------------------------------------------------------------------
+def drifting_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows the reader makes of lines written from `events`."""
+    return DE.rows_of(DE.joined_records(drift.event_lines(spark, sf_dir), drift.MOST_LINES), drift.REQUIRED, drift.OPTIONAL)
+
+
+@table_query("src01_cells")
+def _(spark, sf_dir):
+    return drifting_rows(spark, sf_dir).select("source_file", "source_row_number", "event_id", "ts", "amount", "note", "row_status", "row_sha256")
+
+
+@table_query("src02_unmapped")
+def _(spark, sf_dir):
+    return drifting_rows(spark, sf_dir).where("unmapped IS NOT NULL").select("source_file", "source_row_number", "unmapped")
+
+
+@table_query("src07_header_classes")
+def _(spark, sf_dir):
+    records = DE.joined_records(drift.event_lines(spark, sf_dir), drift.MOST_LINES)
+    variants = {"V4": drift.HEADERS["click"].split(","), "V3": drift.HEADERS["signup"].split(",")}
+    return DE.classify_headers(DE.headers_of(records), variants, [*drift.REQUIRED, "note"]).select(
+        "source_file", "fingerprint", "variant", F.array_join("missing", ";").alias("missing"), F.array_join("unexpected", ";").alias("unexpected"), "blank_columns", "header_status")
+
+
 @query("src04_observation_typing")
 def _(m):
     return m.observations.select("observation_id", txt("obs_utc"), "parameter", "value_raw", "value_status", "value")
 
 
+@table_query("src03_xml_elements")
+def _(spark, sf_dir):
+    return OB.parse_elements(drift.event_elements(spark, sf_dir)).select("event_id", "time_raw", "parameter", "value_raw", "reject_reason")
+
+
 def file_list(m: Measurement) -> DataFrame:
     """The mapped files as an inventory: name, rows as size, and a hash of what identifies them."""
     per = m.raw.groupBy("source_file").agg(F.count("*").alias("size"))
@@ -337,10 +368,23 @@ def _(m):
 
 @query("join10_two_computations")
 def _(m):
-    ctl = K.session_controls(m.facts, K.rebuilt_sessions(m.disposed))
+    ctl = K.session_controls(m.facts, K.rebuilt_sessions(m.controls))
     return ctl.select("session_key", "weight_control", "span_control", "count_control", "first_control")
 
 
+@query("join11_files_vs_pins")
+def _(m):
+    files = file_list(m)
+    return INV.compare_with_pins(drift.pinned_files(files), files, files.select("source_file", c("size").alias("rows")))
+
+
+@query("join12_inventory_changes")
+def _(m):
+    files = file_list(m)
+    before = drift.pinned_files(files).select("source_file", c("pinned_sha256").alias("sha256"))
+    return INV.inventory_changes(before, files)
+
+
 @query("join13_findings_to_sessions")
 def _(m):
     return FI.findings_by_session(core_final(m), m.session_flags)
@@ -685,10 +729,9 @@ def _(m):
 
 @table_query("win2_turn_gaps")
 def _(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    conv = roles.table(spark, sf_dir, "conversations")
-    return (conv.select("conv_id", "turn", "role", F.lag("role").over(w).alias("previous_role"), F.lag("turn").over(w).alias("previous_turn"))
-            .groupBy("role", F.coalesce("previous_role", F.lit("")).alias("previous_role")).agg(F.count("*").alias("n"), F.sum(c("turn") - c("previous_turn")).alias("turn_gap")))
+    conv = roles.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    turns = lagged(range_blocks(conv, ["conv_id"], "turn"), ["conv_id"], ["turn"], {"previous_role": "role", "previous_turn": "turn"})
+    return (turns.groupBy("role", F.coalesce("previous_role", F.lit("")).alias("previous_role")).agg(F.count("*").alias("n"), F.sum(c("turn") - c("previous_turn")).alias("turn_gap")))
 
 
 @query("win3_ranked_percentile")
@@ -778,7 +821,7 @@ def core_final(m: Measurement) -> DataFrame:
 
 
 def all_final(m: Measurement) -> DataFrame:
-    rest = lambda: FI.finalise(day_part(m).unionByName(context_part(m)).unionByName(K.partition_findings(m.disposed)), CFG)
+    rest = lambda: FI.finalise(day_part(m).unionByName(context_part(m)).unionByName(K.partition_findings(m.controls)), CFG)
     return core_final(m).unionByName(m.kept("findings_days_and_context", rest))
 
 
@@ -844,7 +887,7 @@ def _(m):
 
 @query("rule_C04")
 def _(m):
-    files = K.file_counts(m.disposed)
+    files = K.file_counts(m.controls)
     return files.agg(F.sum("rows").alias("events_in"), F.sum(c("modellable") + c("repeats") + c("quarantined")).alias("partition")).withColumn(
         "lost", c("events_in") - c("partition"))
 
@@ -1012,7 +1055,7 @@ def _(m):
 def validation_checks(m: Measurement) -> DataFrame:
     """The checks a measurement must pass: events, sessions, structure, names, time zones, repeats, context and weekday regimes."""
     days = RV.service_days(m.session_flags, CFG)
-    parts = [K.event_checks(m.disposed, pins(m), K.file_reconciliation(m.staged)), K.session_checks(m.staged, m.session_flags), K.structure_checks(m.staged),
+    parts = [K.event_checks(m.controls, pins(m), K.file_reconciliation(m.staged)), K.session_checks(m.staged, m.session_flags), K.structure_checks(m.staged),
              K.name_checks(m.staged, m.session_flags), K.timezone_checks(m.flagged, pins(m), file_part(m).where("rule_id = 'T10'"), CFG),
              K.duplicate_checks(m.flagged, m.session_flags, m.repeated_scales, R.natural_key_duplicates(m.staged, NATURAL_KEY)),
              K.context_checks(m.observations, context_part(m), declared_observations(m), CFG),
@@ -1082,7 +1125,7 @@ def declared_observations(m: Measurement) -> DataFrame:
 
 @query("check_E")
 def _(m):
-    return K.event_checks(m.disposed, pins(m), K.file_reconciliation(m.staged)).select(*CHECK_FIELDS)
+    return K.event_checks(m.controls, pins(m), K.file_reconciliation(m.staged)).select(*CHECK_FIELDS)
 
 
 @query("check_S")
@@ -1124,13 +1167,13 @@ def _(m):
 @query("check_M")
 def _(m):
     quarantined = FI.quarantine_keys(FI.finalise(event_part(m).unionByName(session_part(m)), CFG))
-    return K.model_checks(m.staged, m.disposed, m.session_flags, m.facts_with_context, m.fact_component, m.context, m.volume,
+    return K.model_checks(m.staged, m.controls, m.session_flags, m.facts_with_context, m.fact_component, m.context, m.volume,
                           RV.service_days(m.session_flags, CFG), quarantined, CFG).select(*CHECK_FIELDS)
 
 
 @query("check_MC")
 def _(m):
-    return K.metric_checks(m.facts_with_context, m.disposed, m.fact_component, m.context, m.volume, metrics_of(m), CFG).select(*CHECK_FIELDS)
+    return K.metric_checks(m.facts_with_context, m.disposed, m.controls, m.fact_component, m.context, m.volume, metrics_of(m), CFG).select(*CHECK_FIELDS)
 
 
 @query("check_SC")

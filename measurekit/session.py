@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the operators are written for. All can be changed on a live session.
 RUNTIME_CONF = {
@@ -39,3 +39,8 @@ def shared_dir(spark: SparkSession) -> str | None:
     None where it is unset: no folder of one machine is there for all executors, so none is made up.
     """
     return spark.conf.get("spark.checkpoint.dir", None) or None
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, written to the checkpoint folder where the session has one, so that what is read several times is made once."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df

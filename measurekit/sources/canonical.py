@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_canonical(spark: SparkSession, path: str, schema: T.StructType, expected_rows: int | None = None) -> DataFrame:
-    """A CSV table by its declared schema. Another header, or another number of rows than recorded, refuses the table."""
+def read_canonical(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A CSV table by its declared schema. Another header refuses the table."""
     header = spark.read.option("header", True).csv(path).columns
     if header != schema.names:
         raise ValueError(f"{path}: columns {header} are not the declared {schema.names}")
-    df = spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").schema(schema).csv(path)
-    if expected_rows is not None:
-        rows = df.count()
+    return spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").schema(schema).csv(path)
+
+
+def with_row_contract(df: DataFrame, expected_rows: int, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """The table, and a check to call after it was read by an action: another number of rows than recorded refuses it.
+
+    The rows are counted as they go by, in the scan the action makes anyway: write or collect the table as it is. An action that reads
+    only its first rows has not seen all of them, one that sorts it by range has seen them twice, and the check says so.
+    """
+    seen = Observation(f"rows-{uuid.uuid4().hex}")
+
+    def check() -> None:
+        rows = seen.get["rows"]
         if rows != expected_rows:
-            raise ValueError(f"{path}: {rows} rows, {expected_rows} recorded")
-    return df
+            raise ValueError(f"{name}: {rows} rows, {expected_rows} recorded")
+
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), check
 
 
 def as_text(df: DataFrame) -> DataFrame:

@@ -28,6 +28,42 @@ def pct(num: str, den: str) -> str:
 
 
 # ---- sources ------------------------------------------------------------------------------------------------------------------------
+# the rows that lines written from events stand for, as cells
+step("drift_cells", """
+SELECT event_type || '_' || CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) || '.csv' AS source_file, i, event_type AS kind, note, amount, clock, stray,
+  row_number() OVER (PARTITION BY event_type, date_trunc('week', ts) ORDER BY i) AS source_row_number,
+  CASE WHEN i % 19 = 0 AND NOT stray THEN cells[1:1] WHEN i % 17 = 0 AND NOT stray THEN list_concat(cells, ['more', 'cells']) ELSE cells END AS cells,
+  CASE event_type WHEN 'view' THEN ['amount', 'event_id', '', 'ts'] WHEN 'signup' THEN ['event_id', 'ts', 'amount']
+    WHEN 'purchase' THEN ['event_id', 'ts', 'amount', 'note', 'extra'] ELSE ['event_id', 'ts', 'amount', 'note'] END AS header
+FROM (SELECT *, CASE event_type WHEN 'view' THEN [amount, CAST(i AS VARCHAR), hidden, clock] WHEN 'signup' THEN [CAST(i AS VARCHAR), clock, amount]
+    WHEN 'purchase' THEN [CAST(i AS VARCHAR), clock, amount, note, 'e' || i] ELSE [CAST(i AS VARCHAR), clock, amount, note] END AS cells
+  FROM (SELECT event_id AS i, event_type, ts, CAST(CAST(floor(value * 10) AS BIGINT) AS VARCHAR) AS amount, strftime(ts, '%Y-%m-%d %H:%M:%S') AS clock,
+      event_type = 'error' AND event_id % 997 = 0 AS stray, CASE WHEN event_id % 13 = 0 THEN 'hidden' ELSE '' END AS hidden,
+      CASE WHEN event_type = 'error' AND event_id % 997 = 0 THEN 'never closed'
+        WHEN event_type IN ('click', 'purchase') AND event_id % 11 = 0 THEN 'line one' || chr(10) || 'line two, "x" ' || event_id
+        WHEN event_type IN ('click', 'purchase') AND event_id % 11 = 1 THEN 'a, b' WHEN event_type IN ('click', 'purchase') AND event_id % 11 = 2 THEN 'say "hi"'
+        ELSE 'n' || event_id END AS note FROM events))""")
+add("src03_xml_elements", """SELECT event_id, CASE WHEN reason IS NULL THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS time_raw, CASE WHEN reason IS NULL THEN event_type END AS parameter,
+  CASE WHEN reason IS NULL THEN CASE WHEN event_id % 43 = 0 THEN 'a < b & c' ELSE CAST(CAST(floor(value * 10) AS BIGINT) AS VARCHAR) END END AS value_raw, reason AS reject_reason
+  FROM (SELECT *, CASE WHEN event_id % 31 = 0 THEN 'MALFORMED' WHEN event_id % 37 = 0 THEN 'NO_TIME' WHEN event_id % 41 = 0 THEN 'NO_PARAMETER' END AS reason FROM events)""")
+FILES = "(SELECT DISTINCT source_file FROM cells)"
+add("join11_files_vs_pins", f"""SELECT source_file, CASE WHEN source_file LIKE '%-22.csv' THEN 'UNEXPECTED' WHEN source_file LIKE '%-08.csv' THEN 'SIZE_MISMATCH' WHEN source_file LIKE '%-15.csv' THEN 'CHECKSUM_MISMATCH'
+  WHEN source_file LIKE 'secondary\\_2024-01-01%' ESCAPE '\\' THEN 'ROW_COUNT_MISMATCH' ELSE 'OK' END AS status FROM {FILES} UNION ALL SELECT 'gone.csv', 'MISSING'""")
+add("join12_inventory_changes", f"""SELECT source_file, CASE WHEN source_file LIKE '%-22.csv' THEN 'appeared' ELSE 'changed' END AS change
+  FROM {FILES} WHERE source_file LIKE '%-22.csv' OR source_file LIKE '%-15.csv' UNION ALL SELECT 'gone.csv', 'disappeared'""")
+CELL = "CASE WHEN list_contains(header, '{0}') THEN coalesce(cells[list_position(header, '{0}')], '') END"
+add("src01_cells", f"""SELECT source_file, source_row_number, {CELL.format('event_id')} AS event_id, {CELL.format('ts')} AS ts, {CELL.format('amount')} AS amount, {CELL.format('note')} AS note,
+  CASE WHEN stray THEN 'OPEN_QUOTE' WHEN len(cells) < greatest(list_position(header, 'event_id'), list_position(header, 'ts'), list_position(header, 'amount')) THEN 'SHORT_ROW'
+    WHEN len(cells) > len(header) OR (kind = 'view' AND len(cells) > 2 AND cells[3] <> '') THEN 'EXTRA_CELLS' ELSE 'OK' END AS row_status,
+  sha256(array_to_string(cells, chr(31))) AS row_sha256 FROM drift_cells""")
+add("src02_unmapped", """SELECT source_file, source_row_number, '{' || concat_ws(',', CASE WHEN len(cells) > len(header) THEN '"beyond_header":["more","cells"]' END,
+    CASE WHEN kind = 'view' AND len(cells) > 2 AND cells[3] <> '' THEN '"blank_header_columns":{"2":"' || cells[3] || '"}' END,
+    CASE WHEN kind = 'purchase' THEN '"extra_columns":{"extra":"' || coalesce(cells[5], '') || '"}' END) || '}' AS unmapped
+  FROM drift_cells WHERE len(cells) > len(header) OR kind = 'purchase' OR (kind = 'view' AND len(cells) > 2 AND cells[3] <> '')""")
+add("src07_header_classes", """SELECT source_file, sha256(array_to_string(header, chr(31))) AS fingerprint, CASE WHEN kind IN ('click', 'error') THEN 'V4' WHEN kind = 'signup' THEN 'V3' END AS variant,
+  CASE WHEN kind IN ('view', 'signup') THEN 'note' ELSE '' END AS missing, CASE WHEN kind = 'purchase' THEN 'extra' ELSE '' END AS unexpected,
+  len(list_filter(header, lambda h: h = '')) AS blank_columns, CASE WHEN kind IN ('view', 'signup') THEN 'MISSING_REQUIRED' WHEN kind IN ('click', 'error') THEN 'KNOWN_VARIANT' ELSE 'DRIFT' END AS header_status
+  FROM (SELECT DISTINCT source_file, kind, header FROM drift_cells)""")
 add("src04_observation_typing", f"SELECT observation_id, {t('obs_utc')}, parameter, value_raw, value_status, value FROM obs")
 def fingerprint(line: str, source: str, name: str = "fingerprint") -> str:
     cut = [f"CAST('0x' || substr(h, {1 + 16 * k}, 15) AS BIGINT)" for k in range(4)]

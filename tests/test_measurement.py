@@ -244,13 +244,13 @@ def test_checks_pass_on_good_data_and_fail_on_faults(spark):
     m = measure(spark, [row(1), row(2, session_id="s2"), row(3, session_id="o", **CROSS)])
     pins = m.raw.groupBy("source_file").agg(F.count("*").alias("pinned_rows"))
     recon = K.file_reconciliation(m.staged)
-    assert {r["status"] for r in K.event_checks(m.disposed, pins, recon).collect()} == {"PASS", "INFO"}
+    assert {r["status"] for r in K.event_checks(m.controls, pins, recon).collect()} == {"PASS", "INFO"}
     wrong = pins.withColumn("pinned_rows", F.col("pinned_rows") + 1)
-    failed = {r["check_id"] for r in K.event_checks(m.disposed, wrong, recon).collect() if r["status"] == "FAIL"}
+    failed = {r["check_id"] for r in K.event_checks(m.controls, wrong, recon).collect() if r["status"] == "FAIL"}
     assert "E01" in failed and "E03:registered_a.csv" in failed
-    assert {r["weight_control"] for r in K.session_controls(m.facts, K.rebuilt_sessions(m.disposed)).collect()} == {"MATCH"}
+    assert {r["weight_control"] for r in K.session_controls(m.facts, K.rebuilt_sessions(m.controls)).collect()} == {"MATCH"}
     tampered = m.disposed.withColumn("weight_g", F.when(F.col("session_id") == "s2", 1).otherwise(F.col("weight_g")))
-    assert [r["session_key"] for r in K.session_controls(m.facts, K.rebuilt_sessions(tampered)).collect() if r["weight_control"] == "MISMATCH"] == ["s2|primary"]
+    assert [r["session_key"] for r in K.session_controls(m.facts, K.rebuilt_sessions(K.event_controls(tampered))).collect() if r["weight_control"] == "MISMATCH"] == ["s2|primary"]
 
 
 def test_lane_status(spark):
@@ -347,8 +347,8 @@ def test_a_broken_partition_blocks_the_core(spark):
 
     m = measure(spark, [row(1), row(2)])
     whole, broken = m.disposed, m.disposed.withColumn("disposition", F.when(F.col("source_row_number") == 2, "LOST").otherwise(F.col("disposition")))
-    assert K.partition_findings(whole).count() == 0
-    found = FI.finalise(K.partition_findings(broken), CFG)
+    assert K.partition_findings(K.event_controls(whole)).count() == 0
+    found = FI.finalise(K.partition_findings(K.event_controls(broken)), CFG)
     assert [(r["rule_id"], r["handling"], r["observed_value"]) for r in found.collect()] == [("C04", "BLOCK", "1 of 2")]
     checks = K.structure_checks(m.staged)
     assert FI.lane_status(found, checks).first()["core_status"] == "BLOCKED"

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import csv
 import datetime as dt
 import hashlib
+import io
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,15 +154,25 @@ def test_canonical_round_trip_and_refusals(spark, tmp_path):
     lines = next(p for p in (tmp_path / "t").iterdir() if p.name.endswith(".csv")).read_text().splitlines()
     assert lines == ["k,s,b,l", "1,x,false,", "2,,true,a;b"]
     schema = T.StructType.fromDDL("k bigint, s string, b boolean, l string")
-    assert [tuple(r) for r in canonical.read_canonical(spark, path, schema, 2).orderBy("k").collect()] == [(1, "x", False, None), (2, None, True, "a;b")]
-    with pytest.raises(ValueError, match="rows"):
-        canonical.read_canonical(spark, path, schema, 3)
+    table = canonical.read_canonical(spark, path, schema)
+    counted, check = canonical.with_row_contract(table, 2, "t")
+    assert sorted(tuple(r) for r in counted.collect()) == [(1, "x", False, None), (2, None, True, "a;b")]
+    check()
+    counted, check = canonical.with_row_contract(table, 3, "t")
+    counted.write.parquet(str(tmp_path / "copy"))
+    with pytest.raises(ValueError, match="2 rows, 3 recorded"):
+        check()
+    assert scans(counted) == 1
     with pytest.raises(ValueError, match="declared"):
         canonical.read_canonical(spark, path, T.StructType.fromDDL("k bigint, z string, b boolean, l string"))
     canonical.write_summary(df.select("k", "s"), str(tmp_path / "j"))
     assert any('"s":null' in p.read_text() for p in (tmp_path / "j").iterdir() if p.name.endswith(".json"))
 
 
+def scans(df) -> int:
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
 def test_calendars(spark):
     assert hour_spine(spark, dt.datetime(2020, 10, 6, 6), dt.datetime(2020, 10, 7, 6)).count() == 25
     days = [str(r[0]) for r in weekday_spine(spark, dt.date(2020, 10, 9), dt.date(2020, 10, 13)).orderBy("day").collect()]
@@ -206,6 +219,71 @@ def test_quoted_line_breaks(spark, tmp_path):
     assert got[10]["component_name"] == 'soup\nof, "day"\n\n10' and got[11]["component_name"] == "c"
 
 
+def csv_rows(text: str, most_lines: int) -> list[tuple[list[str], bool]]:
+    """What Python's reader makes of a file, a quote that stays open for too many lines being no quote."""
+    lines, out, k = text.split("\n"), [], 0
+    while k < len(lines):
+        for span in range(1, most_lines + 1):
+            if k + span <= len(lines):
+                rows = list(csv.reader(io.StringIO("\n".join(lines[k:k + span]) + "\nend,of,file")))
+                if rows[-1] == ["end", "of", "file"]:
+                    out.append((rows[0] or [""], False))
+                    break
+        else:
+            out.append((next(csv.reader(io.StringIO(lines[k]))), True))
+            span = 1
+        k += span
+    return [(cells, marked) for cells, marked in out if any(x.strip(" ") for x in cells)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_records_equal_a_sequential_reader(spark, seed, monkeypatch):
+    rng, most = random.Random(seed), 4
+    monkeypatch.setattr(delimited, "_BLOCK", 7)
+    monkeypatch.setattr(delimited, "_CHUNK", 3)
+    files = {}
+    for name in "abc":
+        cell = lambda: rng.choice(["x", "", " ", "y z", '"q"', '"a,b"', '"a""b"', '""', 'm"n', '"open', 'shut"', '"t"u', '"', "ü", '"""', 'p""q'])
+        files[name] = "\n".join(",".join(cell() for _ in range(rng.randint(1, 4))) for _ in range(60))
+    lines = spark.createDataFrame([(n, n, k, line) for n, text in files.items() for k, line in enumerate(text.split("\n"))],
+                                  "source_path string, source_file string, line_no bigint, line string").repartition(5)
+    got = sorted(delimited.joined_records(lines, most).collect(), key=lambda r: (r["source_file"], r["source_row_number"]))
+    for name, text in files.items():
+        mine = [r for r in got if r["source_file"] == name]
+        assert [(r["cells"], r["open_quote"]) for r in mine] == csv_rows(text, most)
+        assert [r["source_row_number"] for r in mine] == list(range(len(mine)))
+
+
+def test_a_stray_quote_in_a_long_file_is_one_marked_row(spark, tmp_path):
+    n = 200_000
+    body = "".join(f's{i},t,line,k,{i},{chr(34) if i == 5 else ""}c,t,t\n' for i in range(1, n + 1))
+    write(tmp_path, "registered_a.csv", ",".join(HEADER[:8]) + "\n" + body)
+    df = delimited.read_events(spark, str(tmp_path), REQUIRED, OPTIONAL)
+    marked = df.where("row_status = 'OPEN_QUOTE'").collect()
+    assert [(r["source_row_number"], r["session_id"]) for r in marked] == [(5, "s5")]
+    assert df.agg(F.count("*"), F.count_if(F.col("source_row_number").cast("string") != F.col("weight_of_a_component")), F.max(F.length("component_name"))).first()[:2] == (n, 0)
+
+
+def test_broken_elements_are_rows_with_a_reason(spark, tmp_path):
+    good = "<El><Time>2020-10-06T06:00:00Z</Time><ParameterName>t2m</ParameterName><ParameterValue>1</ParameterValue></El>"
+    rows = [(1, good), (2, good[:60]), (3, "<El><ParameterName>t2m</ParameterName></El>"), (4, "<El><Time>x</Time><ParameterName> </ParameterName></El>"), (5, ""), (6, None),
+            (7, good.replace("El>", "b:El xmlns:b='u'>", 1).replace("</El>", "</b:El>"))]
+    got = {r["k"]: (r["reject_reason"], r["value_raw"]) for r in observations.parse_elements(spark.createDataFrame(rows, "k int, element string")).collect()}
+    assert got == {1: (None, "1"), 2: ("MALFORMED", None), 3: ("NO_TIME", None), 4: ("NO_PARAMETER", None), 5: ("MALFORMED", None), 6: ("MALFORMED", None), 7: (None, "1")}
+    body = f"{good}<El><Time>2020</Time></El>\n<m><El><Time>y</Time><ParameterName>a</Param></El></m>{good}<El><Time>never closed</Time>{good}<El at='1'><Time>z</Time><ParameterName>&amp;p</ParameterName></El>"
+    write(tmp_path, "w.xml", f"<Coll>{body}{good}</Coll>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        kept = observations.read_observations(spark, str(tmp_path), "El", "100").collect()
+        rejected = observations.rejected_observations(spark, str(tmp_path), "El").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((r["parameter"], r["time_raw"], r["value_raw"]) for r in kept) == [("&p", "z", None)] + [("t2m", "2020-10-06T06:00:00Z", "1")] * 4
+    assert sorted(r["reject_reason"] for r in rejected) == ["MALFORMED", "MALFORMED", "NO_PARAMETER"] and all(r["source_file"] == "w.xml" for r in rejected)
+
+
 def test_a_line_of_many_quotes(spark, tmp_path):
     write(tmp_path, "registered_a.csv", ",".join(HEADER[:8]) + '\ns,t,line,k,1,"' + '""' * 100_000 + '",t,t\n')
     assert delimited.read_events(spark, str(tmp_path), REQUIRED, OPTIONAL).first()["component_name"] == '"' * 100_000
