@@ -1268,12 +1268,15 @@ def _(m):
 
 
 # ---- the same shapes on the large table ---------------------------------------------------------------------------------------------
-def lineitem_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as sessions of line items: grams are quantities, names are part names, the population is the line status."""
+def lineitem_sessions(spark: SparkSession, sf_dir: str, names: bool = True) -> DataFrame:
+    """Orders as sessions of line items: grams are quantities, names are part names, the population is the line status. Names are only
+    joined and counted where they are wanted."""
     li = roles.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linestatus", c("l_quantity").cast("bigint").alias("g"))
-    part = roles.table(spark, sf_dir, "part").select(c("p_partkey").alias("l_partkey"), X.norm_name(c("p_name")).alias("component"))
-    per = li.join(part, "l_partkey").groupBy("l_orderkey", "l_linestatus").agg(
-        F.count("*").alias("events"), S.strict_sum(c("g")).alias("weight"), F.count_distinct("component").alias("components"))
+    sums = [F.count("*").alias("events"), S.strict_sum(c("g")).alias("weight")]
+    if names:
+        part = roles.table(spark, sf_dir, "part").select(c("p_partkey").alias("l_partkey"), X.norm_name(c("p_name")).alias("component"))
+        li, sums = li.join(part, "l_partkey"), [*sums, F.count_distinct("component").alias("components")]
+    per = li.groupBy("l_orderkey", "l_linestatus").agg(*sums)
     crossing = F.count("*").over(Window.partitionBy("l_orderkey")) > 1
     return per.withColumn("crossover", crossing)
 
@@ -1291,7 +1294,7 @@ def _(spark, sf_dir):
 
 @table_query("lineitem_daily_volume")
 def _(spark, sf_dir):
-    s = lineitem_sessions(spark, sf_dir)
+    s = lineitem_sessions(spark, sf_dir, names=False)
     orders = roles.table(spark, sf_dir, "orders").select(c("o_orderkey").alias("l_orderkey"), c("o_orderdate").cast("date").alias("day"))
     return s.join(orders, "l_orderkey").groupBy(c("day").cast("string").alias("day"), "l_linestatus").agg(
         F.count_if(~c("crossover")).alias("sessions"), F.count_if("crossover").alias("crossing"), F.sum("events").alias("events"))

@@ -71,10 +71,14 @@ def fingerprint(line: str, source: str, name: str = "fingerprint") -> str:
     return f"SELECT sha256(concat_ws(',', {', '.join(f'CAST({n} AS VARCHAR)' for n in numbers)})) AS {name} FROM (SELECT sha256({line}) AS h FROM {source})"
 
 
-add("src08_snapshot_id", fingerprint("'events|' || source_file || '|' || sha256(source_file || '/' || n) || '|' || n",
+def written(*cells: str) -> str:
+    return " || ".join(f"coalesce(strlen(({x})::VARCHAR) || ':' || ({x})::VARCHAR, '-')" for x in cells)
+
+
+add("src08_snapshot_id", fingerprint(written("'events'", "source_file", "sha256(source_file || '/' || n)", "n"),
                                      "(SELECT source_file, count(*) AS n FROM cells GROUP BY ALL)", "snapshot_id"))
-add("src09_content_hash", fingerprint("time_raw || '|' || parameter || '|' || value_raw", "obs"))
-add("src09_document_fingerprint", fingerprint("doc_id || '|' || lang || '|' || source || '|' || text || '|' || n_chars", "documents"))
+add("src09_content_hash", fingerprint(written("time_raw", "parameter", "value_raw"), "obs"))
+add("src09_document_fingerprint", fingerprint(written("doc_id", "lang", "source", "text", "n_chars"), "documents"))
 add("src13_calendar", """SELECT w.population, CAST(w.day AS VARCHAR) AS day, CAST(CAST(date_trunc('week', w.day) AS DATE) AS VARCHAR) AS week, coalesce(v.sessions, 0) AS sessions
   FROM want_days w LEFT JOIN vdays v ON v.population = w.population AND v.service_date = w.day""")
 add("src13_hour_calendar", """SELECT CAST(hour(h.hour) AS INTEGER) AS hour_of_day, count(*) AS hours, count(o.obs_utc) AS observed

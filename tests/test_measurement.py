@@ -360,3 +360,17 @@ def test_day_flags_of_a_session(spark):
     m = measure(spark, [row(1)])
     flags = P.with_day_flags(m.session_flags, m.volume).select("session_key", "low_volume_day").collect()
     assert [tuple(r) for r in flags] == [("s1|primary", True)]
+
+
+def scans_of(df, table: str) -> int:
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    nodes = [leaves.apply(k) for k in range(leaves.size())]
+    return sum(n.getClass().getSimpleName() == "LogicalRelation" and n.relation().location().rootPaths().mkString(" ").endswith(f"/{table}") for n in nodes)
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.001"), reason="test tables are not here")
+def test_checks_read_the_events_a_few_times_at_most(spark):
+    from measurekit.plans import queries
+
+    seen = {name: scans_of(queries.QUERIES[name](spark, "/root/testdata/sf0.001"), "events") for name in ("check_E", "check_M", "check_MC")}
+    assert max(seen.values()) <= 4, seen

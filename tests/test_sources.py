@@ -139,6 +139,11 @@ def test_inventory_pins_and_changes(spark, tmp_path):
     assert a == b != inventory.content_fingerprint(inv.limit(2), ["source_file", "size"]).first()[0]
 
 
+def test_fingerprints_tell_cells_apart(spark):
+    prints = lambda *rows: inventory.content_fingerprint(spark.createDataFrame(list(rows), "a string, b string"), ["a", "b"]).first()[0]
+    assert len({prints(("a|b", "c")), prints(("a", "b|c")), prints((None, "x")), prints(("", "x")), prints(("-", "x")), prints(("x", None))}) == 6
+
+
 def test_file_contract(spark, csv_dir):
     inv = inventory.file_inventory(spark, csv_dir)
     headers = delimited.classify_headers(delimited.file_headers(spark, [csv_dir]), {"V8": HEADER}, list(REQUIRED))
