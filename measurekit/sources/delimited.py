@@ -249,7 +249,7 @@ def rows_of(every: DataFrame, required: tuple[str, ...], optional: tuple[str, ..
     what has no declared column: `extra_columns`, `blank_header_columns`, `beyond_header`; NULL when there is nothing.
     """
     c = F.col
-    headers = headers_of(every)
+    headers = settled(headers_of(every))
     _refuse(headers, required)
     rows = every.where("source_row_number > 0").join(headers.drop("source_file"), "source_path")
     names = list(dict.fromkeys((*required, *optional)))
