@@ -10,9 +10,10 @@ Comparing has two rounds. The first proposes a maximum spanning forest of the si
 m near copies costs about m exact checks. The second takes the nodes that still hold more than one group, compares the full sets
 of all members of different groups there, and returns a spanning forest of the links it finds. A large node of like documents is cut into
 its main group and the rest, its guests: guests are dealt into tables, hosts of the main group are dealt over these tables once, and
-full sets are compared at each table, so a node costs as much as it has members; and the guests branch on by fresh lanes, where those
-that are like each other meet. Tables are bounded by rows and by shingles. Only full sets decide. Groups are joined over links after
-each round.
+full sets are compared at each table, so a node costs as much as it has members. Guests that sat at different tables are a node of
+their own in the next round, where most belong to the main group by now. What is left after ROUNDS of these, or is small, is compared
+in full: it is dealt into parts, and every two parts meet. Tables are bounded by rows and by shingles. Only full sets decide. Groups
+are joined over links after each round.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ LOOSE = 0.5                         # estimated similarity from which a pair is
 GUESTS = 64                         # guests at a table
 BLOCK = 512                         # hosts at a table
 SHINGLES = 1 << 19                  # shingles of the guests, and of the hosts, at a table
-FRESH = 4                           # lanes that guests branch by
+ROUNDS = 4                          # times the guests of a large node meet its main group, the last time all members
 COLUMNS = 8192
 
 _U = np.uint64
@@ -334,32 +335,26 @@ def group_near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     roots = linked_groups(scratch, links, "groups-1")
 
     # second round: only where a node holds more than one group
-    rooted = lambda m: m.filter(F.col("lane") < SECOND).join(roots.withColumnRenamed("id", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    tail = rooted(tail.join(ends, "set"))
+    rooted = lambda m: m.join(roots.withColumnRenamed("id", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    tail = rooted(tail.filter(F.col("lane") < SECOND).join(ends, "set"))
     mixed = tail.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("node")
     rows = tail.join(mixed, "node").select(F.xxhash64("node").alias("group"), "set", "root", F.lit(False).alias("guest"))
     if big is not None:
-        big = scratch.keep(rooted(big).join(sets.select("set", "n"), "set"), "big")
-        of = big.groupBy("node", "root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).groupBy("node").agg(
-            F.max(F.struct("members", "root", "shingles")).alias("main"), F.sum("members").alias("all"), F.sum("shingles").alias("shingles"))
-        most, rest = F.col("main.members"), F.col("all") - F.col("main.members")
-        of = of.filter(rest > 0).withColumn("tables", F.greatest(F.ceil(rest / GUESTS), F.ceil((F.col("shingles") - F.col("main.shingles")) / SHINGLES)))
-        of = of.select("node", F.col("main.root").alias("main"), "tables", F.greatest(
-            F.ceil(most / F.col("tables") / BLOCK), F.ceil(F.col("main.shingles") / F.col("tables") / SHINGLES)).alias("blocks"))
-        placed = big.join(of, "node").withColumn("guest", F.col("root") != F.col("main")).withColumn("table", F.pmod(F.xxhash64("set", "node"), "tables"))
-        # a host sits at one block of one table, a guest at all blocks of its table
-        block = F.when(F.col("guest"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", "set"), "blocks")))
-        placed = scratch.keep(placed.select("node", "lane", "set", "root", "guest", "table", block.alias("blocks")), "placed")
-        seated = placed.withColumn("block", F.explode("blocks")).select(F.xxhash64("node", "table", "block").alias("group"), "set", "root", "guest")
-        # guests that are like each other meet in the children of fresh lanes, cut where these are large
-        branched = placed.filter("guest").select("node", "lane", "set", "root").join(lanes.select("set", "sig"), "set")
-        met = branched.select("node", "lane", "set", "sig").mapInArrow(lean(_branch(FRESH)), "node long, lane long, `set` long")
-        met = _counted(scratch.keep(met, "met")).join(placed.filter("guest").select("set", "root").distinct(), "set")
-        spread = F.ceil(F.col("size") / LIMIT)
-        met = met.select(F.xxhash64("node", F.pmod(F.xxhash64("set", "node"), spread)).alias("group"), "set", "root", F.lit(False).alias("guest"))
-        rows = rows.union(seated).union(met)
-    more = scratch.keep(_compared(rows.join(texts, "set"), _second_round).distinct(), "links-2")
-    roots = linked_groups(scratch, links.union(more), "groups-2")
+        big = big.filter(F.col("lane") < SECOND).join(sets.select("set", "n"), "set").select("node", "set", "n")
+        seated, guests = _seated(scratch, rooted(big), "placed-0", last=False)
+        rows = rows.union(seated)
+    links = links.union(scratch.keep(_compared(rows.join(texts, "set"), _second_round).distinct(), "links-2"))
+    roots = linked_groups(scratch, links, "groups-2")
+
+    # guests have met the whole main group of their node; what is left of the node is the guests among themselves
+    for k in range(1, ROUNDS if big is not None else 1):
+        if guests.isEmpty():
+            break
+        seated, guests = _seated(scratch, rooted(guests), f"placed-{k}", last=k == ROUNDS - 1)
+        more = scratch.keep(_compared(seated.join(texts, "set"), _second_round).distinct(), f"links-{k + 2}")
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = linked_groups(scratch, links, f"groups-{k + 2}")
 
     named = sets.select("set", "least").join(roots.withColumnRenamed("id", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     named = scratch.keep(named, "named")
@@ -369,6 +364,30 @@ def group_near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return out.select("doc_id", "doc", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _seated(scratch: Scratch, members: DataFrame, name: str, last: bool) -> tuple[DataFrame, DataFrame]:
+    """Members (node, set, n, root) of large nodes with more than one group as rows (group, set, root, guest) to compare, and the
+    guests (node, set, n) that have not all met each other yet. Small nodes, and on the `last` round all, meet in full."""
+    of = members.groupBy("node", "root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).groupBy("node").agg(
+        F.max(F.struct("members", "root", "shingles")).alias("main"), F.sum("members").alias("all"), F.sum("shingles").alias("shingles"))
+    most, rest = F.col("main.members"), F.col("all") - F.col("main.members")
+    of = of.filter(rest > 0).withColumn("tables", F.greatest(F.ceil(rest / GUESTS), F.ceil((F.col("shingles") - F.col("main.shingles")) / SHINGLES)))
+    of = of.select("node", F.col("main.root").alias("main"), "tables", F.greatest(
+        F.ceil(most / F.col("tables") / BLOCK), F.ceil(F.col("main.shingles") / F.col("tables") / SHINGLES)).alias("blocks"),
+        (F.lit(last) | (F.col("all") <= 2 * LIMIT)).alias("whole"), F.ceil(F.greatest(2 * F.col("all") / BLOCK, 2 * F.col("shingles") / SHINGLES)).alias("parts"))
+    placed = members.join(of, "node").withColumn("guest", F.col("root") != F.col("main")).withColumn("table", F.pmod(F.xxhash64("set", "node"), "tables"))
+    # a host sits at one block of one table, a guest at all blocks of its table
+    block = F.when(F.col("guest"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", "set"), "blocks")))
+    # where all meet, every two parts do
+    part = F.pmod(F.xxhash64("set", "node"), "parts")
+    placed = scratch.keep(placed.select("node", "set", "n", "root", "guest", "tables", "table", "whole", part.alias("part"), F.when(
+        F.col("whole"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(block).alias("blocks")), name)
+    seats = placed.withColumn("block", F.explode("blocks"))
+    lo, hi = F.least("part", "block"), F.greatest("part", "block")
+    seats = seats.select(F.when(F.col("whole"), F.xxhash64("node", lo, hi)).otherwise(F.xxhash64("node", "table", "block")).alias("group"), "set", "root",
+                         F.when(F.col("whole"), F.col("part") < F.col("block")).otherwise(F.col("guest")).alias("guest"))
+    return seats, placed.filter("guest AND NOT whole AND tables > 1").select("node", "set", "n")
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The share of lanes in which a member equals its node's leader."""
     for batch in batches:

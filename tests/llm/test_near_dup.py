@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from measurekit.llm import near_dup as n
-from measurekit.llm.shared import tune
+from measurekit.llm.shared import Scratch, tune
 
 SCHEMA = "doc_id long, text string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -90,6 +90,35 @@ def test_pairs_that_quote_a_hot_group(spark):
     assert {r.doc_id: r.component_id for r in rows} == dict.fromkeys(range(1500), 0) | pairs
 
 
+def test_pairs_among_many_alike_that_do_not_link(spark, monkeypatch):
+    """Pairs in nodes that are many times LIMIT, of documents that are alike but below the threshold."""
+    monkeypatch.setattr(n, "LIMIT", 4)
+    monkeypatch.setattr(n, "GUESTS", 4)
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    quoted, docs = [word() for _ in range(100)], []
+    for k in range(370):
+        text = [*quoted, word()]
+        docs += [(len(docs) + j, " ".join([*text, *(word() for _ in range(16))])) for j in range(2 if k < 30 else 1)]
+    rows = n.near_duplicates(tune(spark).createDataFrame(docs, SCHEMA).repartition(4)).collect()
+    want = brute(docs)
+    assert {r.doc_id: (r.n, r.component_id) for r in rows} == want and len({c for _, c in want.values()}) == 370
+
+
+def test_all_members_of_a_large_node_meet(spark):
+    members = tune(spark).createDataFrame([(1, k, 10, k // 3) for k in range(900)], "node long, `set` long, n long, root long")
+    seats, guests = n._seated(Scratch(spark, "seats"), members, "placed", last=True)
+    groups = {}
+    for row in seats.collect():
+        groups.setdefault(row["group"], []).append(row)
+    met = set()
+    for rows in groups.values():
+        assert len(rows) <= n.BLOCK + 100
+        left = [x["set"] for x in rows if x["guest"]] or [x["set"] for x in rows]
+        met |= {(min(a, b["set"]), max(a, b["set"])) for a in left for b in rows if a != b["set"]}
+    assert len(met) == 900 * 899 // 2 and guests.isEmpty()
+
+
 def test_sets_of_a_batch_do_not_depend_on_their_neighbours():
     texts = [b"", b"a b c d e f", b"  lead and trail  ", b"x", "ü ö ä ß a b".encode(), b"end"]
     at = np.cumsum([0, *map(len, texts)])
