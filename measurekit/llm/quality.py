@@ -4,29 +4,33 @@ A document is described by measures of its whole text: kinds of characters, shap
 document of quality 1 is preferred to some of quality 0, drawn by a fixed seed; the model is the linear score whose differences fit these
 preferences best under logistic loss. The score at the quantile that the labels' share of quality 0 marks is the threshold.
 
-The model is fitted on at most SAMPLE labelled documents, chosen by a hash of their id; every document is scored.
+The model is fitted on all labelled documents outside the held-out fold: these are dealt into blocks by a hash of their id, rivals are
+drawn in a block, and every Newton step adds up slopes and curvatures of all blocks. Knots, threshold and scale come from exact ranks over
+all of them. Every document is measured once and scored.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from measurekit.llm.shared import by_bytes, fresh
+from measurekit.llm.shared import Scratch, by_bytes, fresh
 
-SAMPLE = 8192                       # labelled documents the model is fitted on, at most
-SAMPLE_SEED = 29
+BLOCK = 8192                        # labelled documents of a block, about
+BLOCK_SEED = 29
+RARE = 32                           # documents of the rarer label in a block, about; where there are fewer, they are in several blocks
 RIVALS = 4                          # preference pairs a document is drawn into
 KNOTS = (0.1, 0.5, 0.9)             # quantiles of a measure at which its effect may bend
 PENALTY = 1e-3                      # ridge of the logistic loss
+STEPS = 25                          # Newton steps, at most
 ACCEPT = 0.7                        # the score of the threshold
 FOLDS, HELD_OUT = 4, 2
 
@@ -110,6 +114,31 @@ class Ranker:
         return 1 / (1 + np.exp(-z.clip(-500, 500)))
 
 
+def preferences(label: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(winners, losers): each document in RIVALS pairs of its own, with documents of the other label; both labels must be there."""
+    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    rng = np.random.default_rng(seed)
+    winners = np.concatenate([np.repeat(good, RIVALS), rng.choice(good, len(bad) * RIVALS)])
+    return winners, np.concatenate([rng.choice(bad, len(good) * RIVALS), np.repeat(bad, RIVALS)])
+
+
+def slope_and_curve(rows: np.ndarray, winners: np.ndarray, losers: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and curvature of the logistic loss of differences, summed over the pairs."""
+    slope, curve = np.zeros(len(w)), np.zeros((len(w), len(w)))
+    for k in range(0, len(winners), 4096):
+        d = rows[winners[k:k + 4096]] - rows[losers[k:k + 4096]]
+        p = 1 / (1 + np.exp((d @ w).clip(-500, 500)))       # how likely the preference is missed
+        slope -= d.T @ p
+        curve += (d * (p * (1 - p))[:, None]).T @ d
+    return slope, curve
+
+
+def newton(w: np.ndarray, slope: np.ndarray, curve: np.ndarray, pairs: int) -> tuple[np.ndarray, float]:
+    """The weights after a Newton step on the mean loss with its ridge, and the length of the step."""
+    step = np.linalg.solve(curve / pairs + PENALTY * np.eye(len(w)), slope / pairs + PENALTY * w)
+    return w - step, float(np.abs(step).max())
+
+
 def fit(x: np.ndarray, label: np.ndarray, seed: int = 11) -> Ranker:
     """The ranker of measures x (rows in any fixed order) with labels 0 and 1. Without both labels it says 0.5 of everything."""
     x = np.asarray(x, np.float64).reshape(len(label), len(MEASURES))
@@ -118,20 +147,11 @@ def fit(x: np.ndarray, label: np.ndarray, seed: int = 11) -> Ranker:
         return Ranker(np.zeros((len(MEASURES), len(KNOTS))), np.ones(len(MEASURES)), np.zeros(0), 0.0, 1.0)
     model = Ranker(np.quantile(x, KNOTS, axis=0).T, np.maximum(x.std(0), 1e-6), np.zeros(0), 0.0, 1.0)
     rows = model.basis(x)
-    rng = np.random.default_rng(seed)
-    winners = np.concatenate([np.repeat(good, RIVALS), rng.choice(good, len(bad) * RIVALS)])
-    losers = np.concatenate([rng.choice(bad, len(good) * RIVALS), np.repeat(bad, RIVALS)])
+    winners, losers = preferences(label, seed)
     w = np.zeros(rows.shape[1])
-    for _ in range(25):                                     # Newton steps on the mean logistic loss of differences
-        slope, curve = PENALTY * w, PENALTY * np.eye(len(w))
-        for k in range(0, len(winners), 4096):
-            d = rows[winners[k:k + 4096]] - rows[losers[k:k + 4096]]
-            p = 1 / (1 + np.exp((d @ w).clip(-500, 500)))   # how likely the preference is missed
-            slope -= d.T @ p / len(winners)
-            curve += (d * (p * (1 - p))[:, None]).T @ d / len(winners)
-        step = np.linalg.solve(curve, slope)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+    for _ in range(STEPS):
+        w, step = newton(w, *slope_and_curve(rows, winners, losers, w), len(winners))
+        if step < 1e-6:
             break
     utility = np.sort(rows @ w)
     # the quantile of the share of label 0: half way between the two scores it falls between
@@ -146,21 +166,134 @@ def _fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Ranker:
-    """The ranker of labels 0 and 1 of documents outside the held-out fold.
+def order_statistics(rows: DataFrame, values: Callable[[pa.RecordBatch], np.ndarray], wanted: list[tuple[int, int]]) -> list[float]:
+    """The exact values at the wanted (column, rank) among all rows; ranks count from 0 and NaN is left out.
+
+    `values` gives the columns of a batch. A rank is narrowed down by 16 bits of the sortable form of its value at a time.
+    """
+    prefix, rank = [0] * len(wanted), [k for _, k in wanted]
+    for shift in (48, 32, 16, 0):
+        targets = sorted(set(zip([c for c, _ in wanted], prefix)))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = values(batch) + 0.0                     # -0.0 is 0.0
+                bits = x.view(np.uint64)
+                bits = np.where(bits >> np.uint64(63) == 1, ~bits, bits | np.uint64(1 << 63))
+                at, digit, n = [], [], []
+                for t, (column, head) in enumerate(targets):
+                    v = bits[~np.isnan(x[:, column]), column] >> np.uint64(shift)
+                    d, times = np.unique(v[v >> np.uint64(16) == np.uint64(head)] & np.uint64(0xFFFF), return_counts=True)
+                    at.append(np.full(len(d), t))
+                    digit.append(d)
+                    n.append(times)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p).astype(np.int64)) for p in (at, digit, n)], ["target", "digit", "n"])
+
+        counts = rows.mapInArrow(count, "target long, digit long, n long").groupBy("target", "digit").agg(F.sum("n").alias("n"))
+        upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("target").orderBy("digit")))
+        at = {t: k for k, t in enumerate(targets)}
+        ranks = rows.sparkSession.createDataFrame([(k, at[c, prefix[k]], rank[k]) for k, (c, _) in enumerate(wanted)], "k long, target long, rank long")
+        hits = upto.join(F.broadcast(ranks), "target").filter("rank >= upto - n AND rank < upto").selectExpr("k", "digit", "upto - n AS before").collect()
+        for hit in hits:
+            prefix[hit["k"]] = prefix[hit["k"]] << 16 | hit["digit"]
+            rank[hit["k"]] -= hit["before"]
+    bits = np.array(prefix, np.uint64)
+    return np.where(bits >> np.uint64(63) == 1, bits & np.uint64((1 << 63) - 1), ~bits).view(np.float64).tolist()
+
+
+def _matrix(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    return np.array(table.column("measures").to_pylist(), np.float64).reshape(table.num_rows, len(MEASURES))
+
+
+def _moments(table: pa.Table) -> pa.Table:
+    """Of a block: how many documents it counts, and sums of their measures and of the squares."""
+    x = _matrix(table.filter(table.column("first")))
+    return pa.table({"block": table.column("block")[:1], "n": pa.array([len(x)], pa.int64()), "total": [x.sum(0).tolist()], "square": [(x * x).sum(0).tolist()]})
+
+
+def _step(model: Ranker, w: np.ndarray, seed: int) -> Callable[[pa.Table], pa.Table]:
+    """Of a block: pairs, slope and curvature, a row a weight."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        label, block = np.array(table.column("label")), table.column("block")[0].as_py()
+        if label.min() == label.max():
+            return pa.table({k: pa.array([], t) for k, t in (("at", pa.int64()), ("block", pa.int64()), ("sums", pa.list_(pa.float64())))})
+        winners, losers = preferences(label, seed + block)
+        slope, curve = slope_and_curve(model.basis(_matrix(table)), winners, losers, w)
+        sums = np.c_[np.full(len(w), len(winners)), slope, curve]
+        return pa.table({"at": np.arange(len(w)), "block": np.full(len(w), block), "sums": pa.array(list(sums), pa.list_(pa.float64()))})
+
+    return run
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """The sums of all blocks, in the order of the blocks, so that runs agree."""
+    sums = np.array(table.sort_by("block").column("sums").to_pylist()).sum(0)
+    return pa.table({"at": table.column("at")[:1], "sums": pa.array([sums], pa.list_(pa.float64()))})
+
+
+def fit_blocks(known: DataFrame, good: int, bad: int, start: Ranker, seed: int = 11) -> Ranker:
+    """The ranker of all of known(id, label, measures, block, first), from the weights of `start` on; `first` marks a document's own block."""
+    def at(q: float, n: int) -> tuple[int, int, float]:
+        k = int(q * (n - 1))
+        return k, min(k + 1, n - 1), q * (n - 1) - k
+
+    n, own = good + bad, known.filter("first").select("label", "measures")
+    cuts = [at(q, n) for q in KNOTS]
+    found = np.array(order_statistics(own, _matrix, [(m, k) for m in range(len(MEASURES)) for lo, hi, _ in cuts for k in (lo, hi)])).reshape(-1, len(KNOTS), 2)
+    knots = found[:, :, 0] + np.array([f for *_, f in cuts]) * (found[:, :, 1] - found[:, :, 0])
+    sums = sorted(known.groupBy("block").applyInArrow(_moments, "block long, n long, total array<double>, square array<double>").collect(), key=lambda r: r["block"])
+    mean, square = (np.sum([r[c] for r in sums], 0) / n for c in ("total", "square"))
+    model = Ranker(knots, np.maximum(np.sqrt(np.maximum(square - mean * mean, 0)), 1e-6), np.zeros(0), 0.0, 1.0)
+    w = start.weights if len(start.weights) else np.zeros(len(MEASURES) * (1 + len(KNOTS)))
+    for _ in range(STEPS):
+        parts = known.groupBy("block").applyInArrow(_step(model, w, seed), "at long, block long, sums array<double>")
+        rows = sorted(parts.groupBy("at").applyInArrow(_added, "at long, sums array<double>").collect(), key=lambda r: r["at"])
+        sums = np.array([r["sums"] for r in rows])
+        w, step = newton(w, sums[:, 1], sums[:, 2:], int(sums[0, 0]))
+        if step < 1e-6:
+            break
+    model.weights = w
+
+    def utilities(batch: pa.RecordBatch) -> np.ndarray:
+        u, label = (model.basis(_matrix(batch)) * w).sum(1), np.array(batch.column("label"))
+        return np.c_[u, np.where(label == 1, u, np.nan), np.where(label == 0, u, np.nan)]
+
+    k = min(max(bad, 1), n - 1)
+    ranks = [(0, k - 1), (0, k), (1, (good - 1) // 2), (1, good // 2), (2, (bad - 1) // 2), (2, bad // 2)]
+    below, above, g1, g2, b1, b2 = order_statistics(own, utilities, ranks)
+    model.threshold, model.scale = (below + above) / 2, max((g1 + g2 - b1 - b2) / 2 / 8, 1e-6)
+    return model
+
+
+def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", measures: str | None = None, block: int = BLOCK) -> Ranker:
+    """The ranker of labels 0 and 1 of all documents outside the held-out fold.
 
     labels names documents by the same id; ids that are null, labels that are null or neither, and ids with both labels say nothing. Of rows that share an id
-    one counts, chosen by its measures. The labelled ids are thinned by a hash to about `sample`, never more than 5 / 4 of it.
+    one counts, chosen by its measures. `measures` names a column that already holds the measures of the texts.
     """
+    scratch = Scratch(docs.sparkSession, "quality-fit")
     judged = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)")
     judged = judged.filter(_fold(F.col("id")) != HELD_OUT).groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").drop("most")
-    share = min(1.0, sample / max(judged.count(), 1))
-    judged = judged.filter(F.pmod(F.xxhash64("id", F.lit(SAMPLE_SEED)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).limit(sample + sample // 4)
-    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    # a bounded table of ids and labels: at most 5 / 4 of the sample
-    known = texts.join(F.broadcast(judged), "id").mapInArrow(_measured("text", ["id", "label"]), "id long, label int, measures array<double>")
-    known = known.groupBy("id", "label").agg(F.min("measures").alias("measures")).orderBy("id").collect()
-    return fit(np.array([r["measures"] for r in known]), np.array([r["label"] for r in known]))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{measures or text}`").alias("measures" if measures else "text")).join(judged, "id")
+    if not measures:
+        rows = rows.mapInArrow(_measured("text", ["id", "label"]), "id long, label int, measures array<double>")
+    known = scratch.keep(rows.groupBy("id", "label").agg(F.min("measures").alias("measures")), "known")
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    good, bad = counts.get(1, 0), counts.get(0, 0)
+    blocks = -(-(good + bad) // block) if good and bad else 1
+    home = F.xxhash64("id", F.lit(BLOCK_SEED))
+    copies = min(blocks, -(-RARE * blocks // max(min(good, bad), 1)))
+    rare = F.col("label") == (1 if good < bad else 0)
+    known = known.withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(rare, F.lit(copies - 1)).otherwise(F.lit(0)))))
+    known = known.withColumn("block", F.pmod(F.pmod(home, F.lit(blocks)) + F.col("copy"), F.lit(blocks)).cast("long")).withColumn("first", F.col("copy") == 0)
+    # one block is all there is; of several, one is where the steps begin
+    one = known.filter("block = 0").orderBy("id").select("label", "measures").collect() if good and bad else []
+    start = fit(np.array([r["measures"] for r in one]), np.array([r["label"] for r in one]))
+    if blocks > 1:
+        start = fit_blocks(scratch.keep(known.drop("copy"), "blocks"), good, bad, start)
+    scratch.drop_others()
+    return start
 
 
 def _measured(text: str, kept: list[str]):
@@ -172,18 +305,31 @@ def _measured(text: str, kept: list[str]):
     return run
 
 
-def rank_documents(docs: DataFrame, ranker: Ranker, *, text: str = "text") -> DataFrame:
+def measure_documents(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """The rows of docs with quality_measures, under a name no column has, in place of the text; no shuffle."""
+    name = fresh(docs, "quality_measures")[0]
+    kept = [f for f in docs.schema.fields if f.name != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _measured(text, [f.name for f in kept])(batches):
+            yield batch.rename_columns([*(f.name for f in kept), name])
+
+    return docs.mapInArrow(run, StructType([*kept, StructField(name, ArrayType(DoubleType()))]))
+
+
+def rank_documents(docs: DataFrame, ranker: Ranker, *, text: str = "text", measures: str | None = None) -> DataFrame:
     """Adds quality_score (0 to 1) to the rows of docs, under a name no column has; no shuffle.
 
     A null text is scored as an empty one, and both like any other by the measures of no words at all. Equal texts have equal scores; a text of any length is measured whole.
-    An empty table stays empty.
+    An empty table stays empty. `measures` names a column that already holds the measures of the texts.
     """
     name = fresh(docs, "quality_score")[0]
     model = docs.sparkSession.sparkContext.broadcast(ranker)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, text):
-            score = model.value.score(np.array([measure(t) for t in batch.column(text).to_pylist()]).reshape(-1, len(MEASURES)))
+        for batch in batches if measures else by_bytes(batches, text):
+            x = batch.column(measures).to_pylist() if measures else [measure(t) for t in batch.column(text).to_pylist()]
+            score = model.value.score(np.array(x, np.float64).reshape(-1, len(MEASURES)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
@@ -191,7 +337,8 @@ def rank_documents(docs: DataFrame, ranker: Ranker, *, text: str = "text") -> Da
 
 def op12_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    ranker = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    out = rank_documents(docs, ranker)
+    measured = Scratch(spark, "quality").keep(measure_documents(docs), "measured")
+    ranker = learn(measured, spark.read.parquet(f"{sf_dir}/labels.parquet"), measures="quality_measures")
+    out = rank_documents(measured, ranker, measures="quality_measures")
     held_out = F.coalesce(_fold(F.col("doc_id")) == HELD_OUT, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= ACCEPT).cast("int").alias("predicted"))

@@ -126,6 +126,33 @@ def test_weights_are_where_the_slope_of_the_loss_is_zero():
     assert abs(np.mean(rows @ model.weights < model.threshold) - np.mean(y == 0)) < 0.02
 
 
+def test_all_labelled_documents_are_learned_from(spark):
+    """Many blocks, a rare label and ties: knots, threshold and weights are those of all documents, and no label is left out."""
+    tune(spark)
+    docs, labels = corpus(900, 6)
+    told = [(k, 1 if k % 9 else 0, t) for k, _, t in labels]
+    x = np.array([quality.measure(t) for _, t in docs])
+    kept = [k for k, _, _ in told if not held_out(k)]
+    model = quality.learn(spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(told, LABELS), block=100)
+    y = np.array([told[k][1] for k in kept])
+    assert np.allclose(model.knots, np.quantile(x[kept], quality.KNOTS, axis=0).T, rtol=1e-12, atol=1e-15)
+    assert np.allclose(model.spread, np.maximum(x[kept].std(0), 1e-6), rtol=1e-6, atol=1e-9)
+    utility = (model.basis(x[kept]) * model.weights).sum(1)
+    ranked, bad = np.sort(utility), int((y == 0).sum())
+    assert abs(model.threshold - (ranked[bad - 1] + ranked[bad]) / 2) < 1e-9
+    assert abs(model.scale - max((np.median(utility[y == 1]) - np.median(utility[y == 0])) / 8, 1e-6)) < 1e-9
+    again = quality.learn(spark.createDataFrame(docs, DOCS).repartition(2), spark.createDataFrame(told, LABELS), block=100)
+    assert np.array_equal(again.weights, model.weights) and again.threshold == model.threshold
+
+
+def test_order_statistics_are_exact(spark):
+    rng = np.random.default_rng(2)
+    v = np.r_[rng.normal(size=300), np.zeros(50), -0.0, 1e300, -1e-300]
+    rows = tune(spark).createDataFrame([(float(a),) for a in v], "v double").repartition(3)
+    found = quality.order_statistics(rows, lambda b: np.array(b.column("v"), np.float64).reshape(-1, 1), [(0, k) for k in range(len(v))])
+    assert found == np.sort(v).tolist()
+
+
 def test_other_columns_stay(spark):
     tune(spark)
     docs = spark.createDataFrame([(1, "a b", 0.5)], "Quality_Score long, text string, score double")
