@@ -150,6 +150,7 @@ def quote_spans(lines: DataFrame, most_lines: int = MOST_LINES) -> DataFrame:
 
 def joined_records(lines: DataFrame, most_lines: int = MOST_LINES) -> DataFrame:
     """Numbered records of lines (source_path, source_file, line_no, line); line_no grows by one along a file. Only lines of one record meet."""
+    lines = settled(lines)
     spans = settled(quote_spans(lines, most_lines))
     member = spans.select("source_path", "first", "open_quote", F.explode(F.sequence("first", "last")).alias("line_no"))
     placed = lines.join(member, ["source_path", "line_no"], "left")
@@ -158,7 +159,7 @@ def joined_records(lines: DataFrame, most_lines: int = MOST_LINES) -> DataFrame:
     whole = placed.where(~alone).groupBy("source_path", "source_file", "first").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("parts"))
     whole = whole.select("source_path", "source_file", F.col("first").alias("record"), F.lit(False).alias("open_quote"), F.array_join("parts.line", "\n").alias("line"))
     record = placed.where(alone).select(*keys, "line").unionByName(whole).withColumn("cells", cells_of(F.col("line"))).where(_not_blank(F.col("cells")))
-    record = record.withColumn("block", F.floor(F.col("record") / _BLOCK))
+    record = settled(record.withColumn("block", F.floor(F.col("record") / _BLOCK)))
     return running_sum(record, ["source_path"], "block", "record", F.lit(1), "source_row_number").select(*_RECORD)
 
 

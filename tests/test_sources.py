@@ -311,3 +311,15 @@ def test_facts_are_the_same_with_and_without_a_store(spark, tmp_path):
         a, b = getattr(lazy, step), getattr(kept, step)
         assert sorted(a.columns) == sorted(b.columns), step
         assert sorted(map(str, a.select(sorted(a.columns)).collect())) == sorted(map(str, b.select(sorted(a.columns)).collect())), step
+
+
+def test_lines_of_records_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def line(k: int) -> str:
+        made.add(1)
+        return "a,b" if k == 0 else f'{k},"x' if k % 9 == 1 else 'y",z' if k % 9 == 2 else f"{k},v"
+
+    lines = spark.range(90).select(F.lit("f.csv").alias("source_path"), F.lit("f.csv").alias("source_file"), F.col("id").alias("line_no"), F.udf(line, "string")("id").alias("line"))
+    rows = delimited.rows_of(delimited.joined_records(lines), ("a",), ("b",)).collect()
+    assert len(rows) == 79 and made.value == 90
