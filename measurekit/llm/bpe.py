@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from measurekit.llm.shared import fresh
+from measurekit.llm.shared import fresh, lean
 
 # Fixed values of byte-level BPE: how words are split, and which characters stand for bytes in a vocabulary file.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -213,7 +213,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, text: str = "text") ->
             arrays = [*batch.columns, pa.array(ids, pa.binary()), pa.array([bpe.decode(i) for i in ids], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(names[0], BinaryType()), StructField(names[1], StringType())]))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField(names[0], BinaryType()), StructField(names[1], StringType())]))
 
 
 def default_vocabulary() -> str:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from measurekit.llm.shared import Scratch, by_bytes, fresh, mix64
+from measurekit.llm.shared import Scratch, by_bytes, fresh, lean, mix64
 
 ORDER = 4
 SLOT_BITS = 22
@@ -126,7 +126,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                     rows = 0
         yield from flush()
 
-    return docs.select("text", "lang").mapInArrow(run, "lang string, gram long, n long")
+    return docs.select("text", "lang").mapInArrow(lean(run), "lang string, gram long, n long")
 
 
 class Model:
@@ -291,7 +291,7 @@ def calibrate(model: Model, labelled: DataFrame) -> Model:
         keys = list(sums)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.float64()), pa.array([sums[k] for k in keys], pa.float64())], ["what", "at", "x"])
 
-    rows = {(r.what, r["at"]): r.x for r in labelled.select("text", "lang").mapInArrow(run, "what string, at double, x double").groupBy("what", "at").agg(F.sum("x").alias("x")).collect()}
+    rows = {(r.what, r["at"]): r.x for r in labelled.select("text", "lang").mapInArrow(lean(run), "what string, at double, x double").groupBy("what", "at").agg(F.sum("x").alias("x")).collect()}
     if any(k[0] == "t" for k in rows):
         model.temperature = min(TEMPERATURES, key=lambda t: (rows.get(("t", t), np.inf), t))
     for k, lang in enumerate(langs):
@@ -326,7 +326,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
     batch_column = docs.columns[column]
     schema = docs.select("*", F.lit("").alias(names[0]), F.lit(0.0).alias(names[1]), F.lit(True).alias(names[2])).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from measurekit.llm.shared import Scratch, by_bytes, fresh, mix64, text_bytes
+from measurekit.llm.shared import Scratch, by_bytes, fresh, lean, mix64, text_bytes
 
 LENGTH = 200
 GRAM = 48
@@ -249,7 +249,7 @@ def _remove(keep_text: bool):
 
 def repeated_windows(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc, spans) of docs(doc, data): per document with repeats, the runs of repeated windows, packed as first << 16 | last - first."""
-    named = scratch.keep(docs.mapInArrow(_name_positions, "name long, surround long, doc long, at long"), "named")
+    named = scratch.keep(docs.mapInArrow(lean(_name_positions), "name long, surround long, doc long, at long"), "named")
     again = named.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name")
     named = scratch.keep(named.join(again, "name"), "again")
     scratch.drop("named")
@@ -259,10 +259,10 @@ def repeated_windows(docs: DataFrame, scratch: Scratch) -> DataFrame:
     many = kinds.groupBy("name").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     edge = kinds.join(many, "name").select("name", F.least("n", F.lit(2)).alias("n"), "kinds", "one.*")
     rows = edge.groupBy("doc").agg(F.collect_list(F.struct("name", "n", "kinds", "at")).alias("rows"))
-    around = rows.join(docs, "doc").select("doc", "rows", "data").mapInArrow(_cut_surroundings, "name long, n long, kinds long, doc long, at long, around binary")
+    around = rows.join(docs, "doc").select("doc", "rows", "data").mapInArrow(lean(_cut_surroundings), "name long, n long, kinds long, doc long, at long, around binary")
     around = scratch.keep(around, "around")
-    small = around.filter(F.col("kinds") <= GROUP).repartition("name").sortWithinPartitions("name").mapInArrow(_compare_groups, "doc long, at long")
-    large = scratch.keep(around.filter(F.col("kinds") > GROUP).mapInArrow(_name_windows, "name long, back long, window long, n long, doc long, at long"), "windows")
+    small = around.filter(F.col("kinds") <= GROUP).repartition("name").sortWithinPartitions("name").mapInArrow(lean(_compare_groups), "doc long, at long")
+    large = scratch.keep(around.filter(F.col("kinds") > GROUP).mapInArrow(lean(_name_windows), "name long, back long, window long, n long, doc long, at long"), "windows")
     twice = large.groupBy("name", "back", "window").agg(F.sum("n").alias("all")).filter("`all` > 1").drop("all")
     large = large.filter("n = 1").join(twice, ["name", "back", "window"]).select("doc", "at")
     spans = whole.union(small).union(large).groupBy("doc").agg(F.collect_set("at").alias("spans"))
@@ -287,7 +287,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     others = [c for c in docs.columns if c != text] if keep_text else [doc_id]
     rows = docs.select(F.struct(*others).alias(row), key.alias(doc), data.alias("data")).join(spans.withColumnRenamed("doc", doc), doc, "left").select(row, "data", "spans")
     kinds = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
-    out = rows.mapInArrow(_remove(keep_text), f"`{row}` {rows.schema[row].dataType.simpleString()}, {kinds}")
+    out = rows.mapInArrow(lean(_remove(keep_text)), f"`{row}` {rows.schema[row].dataType.simpleString()}, {kinds}")
     given = [(F.col("kept") if keep_text and c == text else F.col(f"{row}.`{c}`")).alias(c) for c in docs.columns if keep_text or c == doc_id]
     return out.select(*given, *[F.col(k).alias(n) for k, n in zip(("n_bytes", "n_removed", "n_spans", "kept_sha256"), names)])
 
