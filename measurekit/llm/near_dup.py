@@ -10,9 +10,9 @@ Comparing has two rounds. The first proposes a maximum spanning forest of the si
 m near copies costs about m exact checks. The second takes the nodes that still hold more than one group, compares the full sets
 of all members of different groups there, and returns a spanning forest of the links it finds. A large node of like documents is cut into
 its main group and the rest, its guests: guests are dealt into tables, hosts of the main group are dealt over these tables once, and
-full sets are compared at each table, so a node costs as much as it has members. Guests that sat at different tables are a node of
-their own in the next round, where most belong to the main group by now. What is left after ROUNDS of these, or is small, is compared
-in full: it is dealt into parts, and every two parts meet. Tables are bounded by rows and by shingles. Only full sets decide. Groups
+full sets are compared at each table, so a node costs as much as it has members. Guests that are not linked there sit down again at
+other tables, and those that are left in the end are compared with all members of the node, part by part: this costs guests times
+members, of large nodes only. Tables are bounded by rows and by shingles. Only full sets decide. Groups
 are joined over links after each round.
 """
 
@@ -41,7 +41,7 @@ LOOSE = 0.5                         # estimated similarity from which a pair is
 GUESTS = 64                         # guests at a table
 BLOCK = 512                         # hosts at a table
 SHINGLES = 1 << 19                  # shingles of the guests, and of the hosts, at a table
-ROUNDS = 4                          # times the guests of a large node meet its main group, the last time all members
+ROUNDS = 3                          # times the guests of a large node sit down, the last time with everyone
 COLUMNS = 8192
 
 _U = np.uint64
@@ -341,16 +341,16 @@ def group_near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     rows = tail.join(mixed, "node").select(F.xxhash64("node").alias("group"), "set", "root", F.lit(False).alias("guest"))
     if big is not None:
         big = big.filter(F.col("lane") < SECOND).join(sets.select("set", "n"), "set").select("node", "set", "n")
-        seated, guests = _seated(scratch, rooted(big), "placed-0", last=False)
+        seated, unmet = _seated(scratch, rooted(big), 0)
         rows = rows.union(seated)
     links = links.union(scratch.keep(_compared(rows.join(texts, "set"), _second_round).distinct(), "links-2"))
     roots = linked_groups(scratch, links, "groups-2")
 
-    # guests have met the whole main group of their node; what is left of the node is the guests among themselves
+    # a guest has met the hosts of its table only: what is still no part of the main group meets others, at last everyone
     for k in range(1, ROUNDS if big is not None else 1):
-        if guests.isEmpty():
+        if unmet.isEmpty():
             break
-        seated, guests = _seated(scratch, rooted(guests), f"placed-{k}", last=k == ROUNDS - 1)
+        seated, unmet = _seated(scratch, rooted(unmet), k)
         more = scratch.keep(_compared(seated.join(texts, "set"), _second_round).distinct(), f"links-{k + 2}")
         if not more.isEmpty():
             links = links.union(more)
@@ -364,28 +364,31 @@ def group_near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return out.select("doc_id", "doc", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _seated(scratch: Scratch, members: DataFrame, name: str, last: bool) -> tuple[DataFrame, DataFrame]:
-    """Members (node, set, n, root) of large nodes with more than one group as rows (group, set, root, guest) to compare, and the
-    guests (node, set, n) that have not all met each other yet. Small nodes, and on the `last` round all, meet in full."""
+def _seated(scratch: Scratch, members: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Members (node, set, n, root) of large nodes with more than one group as rows (group, set, root, guest) to compare in round k, and the
+    members (node, set, n) of nodes whose groups have not met in full yet. In small nodes, and in the last round in all, guests meet everyone."""
     of = members.groupBy("node", "root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).groupBy("node").agg(
         F.max(F.struct("members", "root", "shingles")).alias("main"), F.sum("members").alias("all"), F.sum("shingles").alias("shingles"))
-    most, rest = F.col("main.members"), F.col("all") - F.col("main.members")
-    of = of.filter(rest > 0).withColumn("tables", F.greatest(F.ceil(rest / GUESTS), F.ceil((F.col("shingles") - F.col("main.shingles")) / SHINGLES)))
+    most, rest, long = F.col("main.members"), F.col("all") - F.col("main.members"), F.col("shingles") - F.col("main.shingles")
+    of = of.filter(rest > 0).withColumn("tables", F.greatest(F.ceil(rest / GUESTS), F.ceil(long / SHINGLES)))
     of = of.select("node", F.col("main.root").alias("main"), "tables", F.greatest(
         F.ceil(most / F.col("tables") / BLOCK), F.ceil(F.col("main.shingles") / F.col("tables") / SHINGLES)).alias("blocks"),
-        (F.lit(last) | (F.col("all") <= 2 * LIMIT)).alias("whole"), F.ceil(F.greatest(2 * F.col("all") / BLOCK, 2 * F.col("shingles") / SHINGLES)).alias("parts"))
-    placed = members.join(of, "node").withColumn("guest", F.col("root") != F.col("main")).withColumn("table", F.pmod(F.xxhash64("set", "node"), "tables"))
-    # a host sits at one block of one table, a guest at all blocks of its table
-    block = F.when(F.col("guest"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", "set"), "blocks")))
-    # where all meet, every two parts do
-    part = F.pmod(F.xxhash64("set", "node"), "parts")
-    placed = scratch.keep(placed.select("node", "set", "n", "root", "guest", "tables", "table", "whole", part.alias("part"), F.when(
-        F.col("whole"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(block).alias("blocks")), name)
-    seats = placed.withColumn("block", F.explode("blocks"))
-    lo, hi = F.least("part", "block"), F.greatest("part", "block")
-    seats = seats.select(F.when(F.col("whole"), F.xxhash64("node", lo, hi)).otherwise(F.xxhash64("node", "table", "block")).alias("group"), "set", "root",
-                         F.when(F.col("whole"), F.col("part") < F.col("block")).otherwise(F.col("guest")).alias("guest"))
-    return seats, placed.filter("guest AND NOT whole AND tables > 1").select("node", "set", "n")
+        (F.lit(k == ROUNDS - 1) | (F.col("all") <= 2 * LIMIT)).alias("whole"),
+        F.ceil(F.greatest(2 * most / BLOCK, 2 * F.col("main.shingles") / SHINGLES)).alias("hosts"), F.ceil(F.greatest(2 * rest / BLOCK, 2 * long / SHINGLES)).alias("guests"))
+    at = F.xxhash64("set", "node", F.lit(k))
+    placed = members.join(of, "node").withColumn("guest", F.col("root") != F.col("main")).withColumn("table", F.pmod(at, "tables"))
+    placed = placed.withColumn("part", F.pmod(at, F.when(F.col("guest"), F.col("guests")).otherwise(F.col("hosts"))))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    # a host sits at one block of one table, a guest at all blocks of its table; in full, a part of guests meets every part
+    block = F.when(F.col("guest"), upto(F.col("blocks"))).otherwise(F.array(F.pmod(F.xxhash64("node", "set"), "blocks")))
+    whole = F.when(F.col("guest"), upto(F.col("hosts") + F.col("guests"))).otherwise(upto(F.col("guests")))
+    placed = scratch.keep(placed.withColumn("to", F.when(F.col("whole"), whole).otherwise(block)), f"placed-{k}")
+    seats, to = placed.withColumn("to", F.explode("to")), F.col("to")
+    other = to - F.col("hosts")                             # of a guest: the part of guests it meets, below 0 one of hosts
+    cell = (F.when(~F.col("whole"), F.xxhash64("node", "table", "to")).when(~F.col("guest"), F.xxhash64("node", F.lit("hosts"), "to", "part"))
+            .when(other < 0, F.xxhash64("node", F.lit("hosts"), "part", "to")).otherwise(F.xxhash64("node", F.lit("guests"), F.least("part", other), F.greatest("part", other))))
+    left = F.col("guest") & (~F.col("whole") | (other < 0) | (F.col("part") < other))
+    return seats.select(cell.alias("group"), "set", "root", left.alias("guest")), placed.filter("NOT whole AND tables > 1").select("node", "set", "n")
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
