@@ -71,6 +71,27 @@ def test_every_pair_of_tokens_of_a_small_vocabulary():
             assert automaton.encode_word(word) == merged(word)
 
 
+def test_words_read_together_are_words_read_alone(codec, monkeypatch):
+    r = random.Random(3)
+    words = [bytes(r.choice(b" aehnrst\xc3\xa4") for _ in range(r.randrange(1, 40))) for _ in range(1000)] + [b"x" * 300]
+    alone = [codec.automaton.encode_word(w) for w in words]
+    for slots in (20, 3):                                   # also where nearly every slot is taken over by another key
+        monkeypatch.setattr(bpe, "SLOTS", slots)
+        ids, count = bpe.ByteBpe(bpe.default_vocabulary()).automaton.encode_words(words)
+        assert ids.tolist() == [i for w in alone for i in w] and count.tolist() == list(map(len, alone))
+
+
+def test_what_a_worker_keeps_does_not_grow_with_the_words(monkeypatch):
+    # states were a token path each, so words of many letters made many and their tables grew with them
+    made = bpe.ByteBpe(bpe.default_vocabulary()).automaton
+    r = random.Random(4)
+    words = ["".join(r.choice("aeinorstdhl") for _ in range(12)).encode() for _ in range(20000)]
+    made.encode_words(words[:10000])
+    before = len(made.step)
+    made.encode_words(words[10000:])
+    assert len(made.step) < 1.5 * before and not made.table
+
+
 def test_rows_keep_their_columns(spark, library):
     docs = tune(spark).createDataFrame([(1, "Hello <|endoftext|> world", 5), (2, None, None), (3, "", 6), (3, "", 6)], "doc_id long, text string, bpe_ids long")
     out = bpe.encode_documents(docs, bpe.default_vocabulary())
