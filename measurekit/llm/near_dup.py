@@ -33,7 +33,7 @@ SIGNATURE = 64                      # lanes of a signature
 TREES = ((0,), (1, 2), (3,), (4,), (5, 6), (7,), (8,), (9, 10))     # lanes selected at the roots: 4/3 = 1 / 0.75 a tree
 LANES = sum(map(len, TREES))
 SECOND = 7                          # lanes whose nodes the second round goes through: a pair at 0.75 is in none with 0.25^7
-LIMIT = 128                         # documents of a node that is compared as a whole
+LIMIT = 256                         # documents of a node that is compared as a whole
 BRANCHES = 2                        # lanes a large node branches by
 DEPTH = 6
 DENSE = 0.55                        # mean similarity to one of its documents from which a large node no longer branches
@@ -343,8 +343,8 @@ def group_near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
         big = big.filter(F.col("lane") < SECOND).join(sets.select("set", "n"), "set").select("node", "set", "n")
         seated, unmet = _seated(scratch, rooted(big), 0)
         rows = rows.union(seated)
-    links = links.union(scratch.keep(_compared(rows.join(texts, "set"), _second_round).distinct(), "links-2"))
-    roots = linked_groups(scratch, links, "groups-2")
+    links = scratch.keep(_compared(rows.join(texts, "set"), _second_round).distinct(), "links-2")
+    roots = linked_groups(scratch, links, "groups-2", roots)
 
     # a guest has met the hosts of its table only: what is still no part of the main group meets others, at last everyone
     for k in range(1, ROUNDS if big is not None else 1):
@@ -353,8 +353,7 @@ def group_near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
         seated, unmet = _seated(scratch, rooted(unmet), k)
         more = scratch.keep(_compared(seated.join(texts, "set"), _second_round).distinct(), f"links-{k + 2}")
         if not more.isEmpty():
-            links = links.union(more)
-            roots = linked_groups(scratch, links, f"groups-{k + 2}")
+            roots = linked_groups(scratch, more, f"groups-{k + 2}", roots)
 
     named = sets.select("set", "least").join(roots.withColumnRenamed("id", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     named = scratch.keep(named, "named")

@@ -140,14 +140,17 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return keep
 
 
-def linked_groups(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
+def linked_groups(scratch: Scratch, links: DataFrame, name: str, before: DataFrame | None = None) -> DataFrame:
     """(id, root): for each id in links (a, b), the smallest id it is linked to over any number of links.
 
+    `before` is the result for earlier links, to which these are added: they are followed from its roots, in as many rounds as they need.
     Rounds of hooking to the smallest neighbour and halving paths, each written to the shared folder. A round takes minima by
     key with partial sums before the shuffle, and joins that adaptive execution splits, so a hub is no hot group.
     """
     links = scratch.keep(links.filter("a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct(), f"{name}-links")
     done = links.selectExpr("a AS id").union(links.selectExpr("b AS id")).distinct().withColumn("root", F.col("id"))
+    if before is not None:
+        done = before.select("id", "root").unionByName(done.join(before, "id", "left_anti"))
     done = scratch.keep(done, f"{name}-0")
     k = 0
     while True:
